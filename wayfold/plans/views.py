@@ -70,6 +70,40 @@ VIEWS = {
         FROM (SELECT way_id, seq, node_id, lead(node_id) OVER (PARTITION BY way_id ORDER BY seq) AS next_node
               FROM {way_nodes}) t
         WHERE next_node IS NOT NULL AND next_node <> node_id""",
+    "tagged_ways": """
+        SELECT o_orderkey AS way_id,
+               CASE o_orderkey % 16 WHEN 0 THEN 'motorway' WHEN 1 THEN 'motorway_link' WHEN 2 THEN 'trunk' WHEN 3 THEN 'primary'
+                    WHEN 4 THEN 'primary_link' WHEN 5 THEN 'secondary' WHEN 6 THEN 'tertiary' WHEN 7 THEN 'unclassified'
+                    WHEN 8 THEN 'residential' WHEN 9 THEN 'service' WHEN 10 THEN 'living_street' WHEN 11 THEN 'footway'
+                    WHEN 12 THEN 'construction' WHEN 13 THEN 'cycleway' END AS highway,
+               CASE WHEN o_orderkey % 16 = 12 THEN CASE o_orderkey % 3 WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary'
+                    ELSE 'residential' END END AS construction,
+               CASE WHEN o_orderkey % 16 = 14 THEN CASE o_orderkey % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'light_rail' ELSE 'subway' END
+                    WHEN o_orderkey % 16 = 8 AND o_orderkey % 5 = 0 THEN 'tram' END AS railway,
+               CASE WHEN o_orderkey % 16 = 15 THEN 'ferry' END AS route,
+               CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS oneway,
+               CASE WHEN o_orderkey % 11 = 0 THEN 'roundabout' END AS junction,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 5 AS VARCHAR(10)) END AS lanes,
+               CASE WHEN o_orderkey % 5 < 2 THEN NULL ELSE CAST(30 + 10 * (o_orderkey % 11) AS VARCHAR(10)) END AS maxspeed,
+               CASE o_orderkey % 23 WHEN 0 THEN 'private' WHEN 1 THEN 'yes' END AS access,
+               CASE WHEN o_orderkey % 29 = 0 THEN 'yes' END AS area,
+               CASE o_orderkey % 17 WHEN 0 THEN 'yard' WHEN 1 THEN 'main' END AS service,
+               CASE WHEN o_orderkey % 19 = 0 THEN 'yes' END AS disused,
+               CASE o_orderkey % 7 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'designated' END AS foot,
+               CASE o_orderkey % 9 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END AS bicycle,
+               CASE WHEN o_orderkey % 6 = 0 THEN 'no' END AS hgv,
+               CASE WHEN o_orderkey % 10 = 5 THEN 'no' END AS car,
+               CASE o_orderkey % 6 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'gravel' WHEN 2 THEN 'dirt' END AS surface,
+               CASE o_orderkey % 21 WHEN 0 THEN 'yes' WHEN 1 THEN 'viaduct' END AS bridge,
+               CASE WHEN o_orderkey % 22 = 0 THEN 'yes' END AS tunnel,
+               CASE WHEN o_orderkey % 4 <> 0 THEN concat('Street ', CAST(o_orderkey % 97 AS VARCHAR(10))) END AS name,
+               concat('R', CAST(o_orderkey % 31 AS VARCHAR(10))) AS ref,
+               CASE WHEN o_orderkey % 14 = 0 THEN '1' END AS layer,
+               CASE WHEN o_orderkey % 15 = 0 THEN '2' END AS level,
+               CASE o_orderkey % 12 WHEN 0 THEN 'lane' WHEN 1 THEN 'opposite' END AS cycleway,
+               CASE WHEN o_orderkey % 13 = 0 THEN 'both' END AS sidewalk,
+               CASE WHEN o_orderkey % 18 = 0 THEN '2' END AS tracks
+        FROM {orders}""",
     "extract_a": """
         SELECT 'way' AS kind, o_orderkey AS id, 1 AS version, o_orderstatus AS payload
         FROM {orders} WHERE o_orderpriority <> '5-LOW'""",
@@ -119,7 +153,7 @@ class Views:
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run Spark SQL where `{name}` stands for a view, a table or one of `frames`."""
-        return self.spark.sql(text, **{n: frames.get(n, None) or getattr(self, n) for n in _needs(text)})
+        return self.spark.sql(text, **{n: frames[n] if n in frames else getattr(self, n) for n in _needs(text)})
 
 
 def check_sql(body: str) -> str:
