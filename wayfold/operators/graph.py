@@ -153,7 +153,7 @@ def _judge(pairs: DataFrame, near) -> DataFrame:
     )
     return (
         pairs.filter(near(_gap("", "q")))
-        .withColumn("verdict", F.when(near(closest), 1).when((F.col("n") <= 2) & (F.col("qn") <= 2), -1)  # the extreme points are all points.otherwise(0))
+        .withColumn("verdict", F.when(near(closest), 1).when((F.col("n") <= 2) & (F.col("qn") <= 2), -1).otherwise(0))
         .filter("verdict >= 0")
         .drop("ends", "qends")
     )

@@ -126,7 +126,7 @@ VIEWS = {
         FROM {events}""",
 }
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def _needs(text: str) -> list[str]:
