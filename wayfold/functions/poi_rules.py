@@ -223,34 +223,59 @@ def is_relevant(df: DataFrame) -> Column:
     return any_of(df, WHITELIST)
 
 
+def _rank(df: DataFrame, rules: list[tuple[str, str, int]], default: int) -> Column:
+    """Smallest rank among the rules (key, value, rank) that a row's tags meet, by one literal lookup per key."""
+    by_key: dict[str, dict[str, int]] = {}
+    for key, value, rank in rules:
+        table = by_key.setdefault(key, {})
+        table[value] = min(rank, table.get(value, rank))
+    found = [F.lit(default)]
+    for key, table in by_key.items():
+        lookup = F.create_map(*[F.lit(item) for pair in table.items() for item in pair])
+        found.append(F.coalesce(lookup[tag(df, key)], F.lit(default)))
+    return F.least(*found)
+
+
+def _at(rank: Column, results: list) -> Column:
+    return F.element_at(F.array(*[F.lit(r) for r in results]), rank)
+
+
 def poi_sector(df: DataFrame) -> Column:
-    chain = F
-    for sector, wanted in SECTORS.items():
-        chain = chain.when(any_of(df, wanted), F.lit(sector))
-    return chain.otherwise(F.lit("OTHER"))
+    rules = [
+        (key, value, rank)
+        for rank, wanted in enumerate(SECTORS.values(), 1)
+        for key, values in wanted.items()
+        for value in values
+    ]
+    other = len(SECTORS) + 1
+    return _at(_rank(df, rules, default=other), [*SECTORS, "OTHER"])
 
 
 def poi_class(df: DataFrame, sector: Column) -> Column:
     """Letter inside the sector; NULL outside the five sectors."""
     names = F.lower(F.concat_ws(" ", *[F.coalesce(tag(df, key), F.lit("")) for key in NAME_KEYS]))
+    level = tag(df, "isced:level")
     by_sector = F
-    for name, rules in CLASSES.items():
-        *tests, default = rules
-        chain = F
-        for letter, level_pattern, wanted, name_pattern in tests:
-            hit = any_of(df, wanted) | names.rlike(name_pattern)
-            if level_pattern:
-                hit = hit | F.coalesce(tag(df, "isced:level").rlike(level_pattern), F.lit(False))
-            chain = chain.when(hit, F.lit(letter))
-        by_sector = by_sector.when(sector == name, chain.otherwise(F.lit(default[0])))
-    return by_sector.otherwise(F.lit(None).cast("string"))
+    for name, (first, second, default) in CLASSES.items():
+        tags = [
+            (key, value, rank)
+            for rank, (_, _, wanted, _) in enumerate((first, second), 1)
+            for key, values in wanted.items()
+            for value in values
+        ]
+        ranks = [
+            _rank(df, tags, default=3),
+            F.when(names.rlike(first[3]), 1).when(names.rlike(second[3]), 2).otherwise(3),
+        ]
+        if first[1]:
+            ranks.append(F.when(level.rlike(first[1]), 1).when(level.rlike(second[1]), 2).otherwise(3))
+        by_sector = by_sector.when(sector == name, _at(F.least(*ranks), [first[0], second[0], default[0]]))
+    return by_sector
 
 
 def _first_match(df: DataFrame, rules, default) -> Column:
-    chain = F
-    for key, value, result in rules:
-        chain = chain.when(tag(df, key) == value, F.lit(result))
-    return chain.otherwise(F.lit(default))
+    rank = _rank(df, [(key, value, i) for i, (key, value, _) in enumerate(rules, 1)], default=len(rules) + 1)
+    return _at(rank, [result for _, _, result in rules] + [default])
 
 
 def poi_weight(df: DataFrame) -> Column:

@@ -112,3 +112,19 @@ def merge_first_seen(extracts: list[DataFrame], key: list[str]) -> DataFrame:
         merged = merged.unionByName(part)
     rest = [c for c in merged.columns if c not in key and c != "_src"]
     return keep_first(merged, key, [F.col("_src"), F.to_json(F.struct(*rest))]).drop("_src")
+
+
+def robust_stats(df: DataFrame, value: str) -> DataFrame:
+    """One row: low, middle (exact median), mean and high."""
+    simple = df.agg(F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
+    return simple.join(F.broadcast(exact_quantiles(df, value, {"middle": 0.5})))  # two one-row tables
+
+
+def focus_extent(points: DataFrame, low: float = 0.005, high: float = 0.995, margin: float = 0.05) -> DataFrame:
+    """One row: the window that holds all but the outermost coordinates, widened by a margin."""
+    x = exact_quantiles(points, "x", {"x0": low, "x1": high})
+    y = exact_quantiles(points, "y", {"y0": low, "y1": high})
+    grow = lambda a, b, sign: F.col(a if sign < 0 else b) + sign * (F.col(b) - F.col(a)) * margin
+    return x.join(F.broadcast(y)).select(
+        grow("x0", "x1", -1).alias("xmin"), grow("x0", "x1", 1).alias("xmax"), grow("y0", "y1", -1).alias("ymin"), grow("y0", "y1", 1).alias("ymax")
+    )

@@ -17,3 +17,89 @@ def extend_tsys(types: DataFrame, has: str, add: str) -> DataFrame:
     systems = F.filter(F.transform(F.split("tsys", ","), lambda s: F.trim(s)), lambda s: s != "")
     extended = F.when(F.array_contains(systems, has), F.array_union(systems, F.array(F.lit(add)))).otherwise(systems)
     return types.withColumn("tsys", F.array_join(extended, ","))
+
+
+# ---- fixed values: speed and lanes of a class without any observation ----------------------------------------------
+CLASS_DEFAULTS = (
+    ("motorway", 130, 2), ("trunk", 100, 2), ("primary", 100, 2), ("secondary", 80, 2), ("tertiary", 70, 1),
+    ("unclassified", 50, 1), ("residential", 30, 1),
+)
+UNKNOWN_SPEED, UNKNOWN_LANES = 130, 2
+
+# ---- fixed values: abbreviations in the names of target link types, and classes of ways -------------------------------
+TYPE_ABBREVIATIONS = {
+    "Mo": "Motorway", "Tr": "Trunk", "Pr": "Primary", "Se": "Secondary", "Te": "Tertiary", "Un": "Unclassified",
+    "Re": "Residential", "Link Mo": "Motorway_link", "Link Tr": "Trunk_link", "Link Pr": "Primary_link",
+    "Link Se": "Secondary_link", "Link Te": "Tertiary_link",
+}
+STRUCTURED = (
+    "Motorway", "Trunk", "Primary", "Secondary", "Tertiary", "Unclassified", "Motorway_link", "Trunk_link",
+    "Primary_link", "Secondary_link", "Tertiary_link",
+)
+WAY_CATEGORIES = STRUCTURED + ("Residential",)
+SIMPLE = (
+    "Blocked Oneway", "Construction", "Residential", "Road", "Living_Street", "Service", "Footway/Pedestrian", "Steps",
+    "Path", "Cycleway", "Track", "General rail", "Rail", "Light rail", "Subway", "Tram", "Ferry", "Ferry_Access",
+    "ZK_Hilfsstrecken",
+)
+
+
+def regional_means(ways: DataFrame) -> DataFrame:
+    """Mean speed and lanes per class; classes without observations get the fixed defaults, lanes are at least 1."""
+    spark = ways.sparkSession
+    defaults = spark.createDataFrame(list(CLASS_DEFAULTS), "highway string, _s int, _l int")
+    means = ways.groupBy("highway").agg(
+        F.avg(first_int(F.col("maxspeed"))).alias("_ms"), F.avg(first_int(F.col("lanes"))).alias("_ml")
+    )
+    both = means.join(defaults, "highway", "full")
+    return both.select(
+        "highway",
+        F.coalesce("_ms", F.col("_s").cast("double"), F.lit(float(UNKNOWN_SPEED))).alias("mean_speed"),
+        F.greatest(F.lit(1.0), F.coalesce("_ml", F.col("_l").cast("double"), F.lit(float(UNKNOWN_LANES)))).alias("mean_lanes"),
+    )
+
+
+def type_category(name: Column) -> Column:
+    """Category of a target link type from the abbreviation its name starts with (the name itself without one)."""
+    words = F.split(name, " ")
+    table = F.create_map(*[F.lit(x) for pair in TYPE_ABBREVIATIONS.items() for x in pair])
+    two = F.when(F.size(words) > 1, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
+    return F.coalesce(table[F.coalesce(two, F.lit(""))], table[F.get(words, F.lit(0))], name)
+
+
+def old_type_category(name: Column) -> Column:
+    """Category of an importer link type: the part of its name before the lane count."""
+    stem = F.regexp_replace(name, r", \d+ lanes?$", "")
+    known = F.when(stem.isin(*STRUCTURED), stem).when(name.isin(*SIMPLE), name)
+    return F.coalesce(known, F.when(name == "UnknownByImporter(Default)", "UnknownByImporter"), F.lit("Unknown"))
+
+
+def target_types(types: DataFrame) -> DataFrame:
+    """The usable target types (number from 100, no bus lanes) with their category."""
+    kept = types.filter((F.col("type_no") >= 100) & ~F.lower("name").contains("bus"))
+    return kept.withColumn("category", type_category(F.col("name")))
+
+
+def speed_brackets(types: DataFrame) -> DataFrame:
+    """Half-open speed ranges per (category, lanes): bounds midway between neighbouring speeds, 0 and infinity at the ends.
+
+    The window runs over a rule table (a few dozen types per category).
+    """
+    order = Window.partitionBy("category", "lanes").orderBy(F.col("v0").desc(), "type_no")
+    return types.withColumns(
+        {
+            "lower_bound": F.coalesce((F.col("v0") + F.lead("v0").over(order)) / 2, F.lit(0.0)),
+            "upper_bound": F.coalesce((F.col("v0") + F.lag("v0").over(order)) / 2, F.lit(float("inf"))),
+        }
+    )
+
+
+def top_degree(links: DataFrame, n: int, node: str) -> DataFrame:
+    """The n nodes with most links (smaller number on ties)."""
+    counts = links.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    return counts.orderBy(F.col("degree").desc(), "node").limit(n)
+
+
+def plausible(value: Column, most: int) -> Column:
+    """The value, or NULL when it is too large to believe."""
+    return F.when(value <= most, value)

@@ -64,3 +64,36 @@ def repair_places(df: DataFrame) -> DataFrame:
             "zone_type": F.coalesce(F.col("zone_type"), F.lit("OA")),
         }
     )
+
+
+def aggregate_zones(df: DataFrame, key: str, order: Column, sums: tuple[str, ...] = ("POP",)) -> DataFrame:
+    """One row per zone: the attributes of its first part, the sum of the additive columns."""
+    rest = [c for c in df.columns if c != key and c not in sums]
+    first = F.min_by(F.struct(*rest), order)
+    out = df.groupBy(key).agg(first.alias("_first"), *[F.sum(c).alias(c) for c in sums])
+    return out.select(key, "_first.*", *sums)
+
+
+def in_countries(df: DataFrame, iso_list: str, column: str = "GID_0") -> DataFrame:
+    """Rows whose country is among the first eight requested codes."""
+    from ..functions.names import requested_countries
+
+    return df.filter(F.col(column).isin(*requested_countries(iso_list)))
+
+
+def place_sort_key() -> Column:
+    """Orders the places of a zone: with a coordinate first, then by population."""
+    return (
+        F.col("zoneno") * 100000000 + F.when(F.col("xcoord").isNotNull(), 0).otherwise(1) * 100000 + F.col("pop") * -1
+    ).cast("long")
+
+
+def tier_sort_key(tier: str, intensity: str) -> Column:
+    """Orders candidates by tier of their administrative centre (none counts as 9), then by intensity."""
+    return (10 - F.coalesce(F.col(tier), F.lit(9))) * 1000 + F.col(intensity)
+
+
+def zone_type(df: DataFrame) -> Column:
+    """The area type under any of its three spellings."""
+    spellings = [c for c in ("ZoneType", "Zone Type", "zone_type") if c in df.columns]
+    return F.coalesce(*[F.col(f"`{c}`") for c in spellings])

@@ -114,6 +114,13 @@ VIEWS = {
         SELECT s_suppkey AS no, s_name AS name, CAST(s_suppkey % 5 AS INT) AS type_no,
                {_hash_xy('s_suppkey', 100003, 99991, 'supplier')}
         FROM {{supplier}}""",
+    "cells": """
+        SELECT CAST(cx * 1000 + cy AS BIGINT) AS cell_id, CAST(cx * 4500 AS DOUBLE) AS xmin, CAST((cx + 1) * 4500 AS DOUBLE) AS xmax,
+               CAST(cy * 4500 AS DOUBLE) AS ymin, CAST((cy + 1) * 4500 AS DOUBLE) AS ymax
+        FROM (SELECT DISTINCT CAST(floor(x / 4500) AS BIGINT) AS cx, CAST(floor(y / 4500) AS BIGINT) AS cy FROM {nodes}) g""",
+    "blocks": """
+        SELECT node_id AS block_id, x AS xmin, x + 200 + 40 * (node_id % 50) AS xmax, y AS ymin, y + 300 + 30 * (node_id % 70) AS ymax
+        FROM {nodes}""",
     "regions": """
         SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS parent,
                CAST((n_nationkey % 5) * 60000 AS DOUBLE) AS xmin, CAST((n_nationkey % 5 + 1) * 60000 AS DOUBLE) AS xmax,
