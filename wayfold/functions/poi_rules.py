@@ -241,36 +241,31 @@ def _at(rank: Column, results: list) -> Column:
 
 
 def poi_sector(df: DataFrame) -> Column:
-    rules = [
-        (key, value, rank)
-        for rank, wanted in enumerate(SECTORS.values(), 1)
-        for key, values in wanted.items()
-        for value in values
-    ]
-    other = len(SECTORS) + 1
-    return _at(_rank(df, rules, default=other), [*SECTORS, "OTHER"])
+    chain = F
+    for sector, wanted in SECTORS.items():
+        chain = chain.when(any_of(df, wanted), F.lit(sector))
+    return chain.otherwise(F.lit("OTHER"))
 
 
 def poi_class(df: DataFrame, sector: Column) -> Column:
     """Letter inside the sector; NULL outside the five sectors."""
     names = F.lower(F.concat_ws(" ", *[F.coalesce(tag(df, key), F.lit("")) for key in NAME_KEYS]))
-    level = tag(df, "isced:level")
-    by_sector = F
-    for name, (first, second, default) in CLASSES.items():
-        tags = [
-            (key, value, rank)
-            for rank, (_, _, wanted, _) in enumerate((first, second), 1)
-            for key, values in wanted.items()
-            for value in values
-        ]
-        ranks = [
-            _rank(df, tags, default=3),
-            F.when(names.rlike(first[3]), 1).when(names.rlike(second[3]), 2).otherwise(3),
-        ]
-        if first[1]:
-            ranks.append(F.when(level.rlike(first[1]), 1).when(level.rlike(second[1]), 2).otherwise(3))
-        by_sector = by_sector.when(sector == name, _at(F.least(*ranks), [first[0], second[0], default[0]]))
-    return by_sector
+
+    def letter_of(row: Column) -> Column:
+        by_sector = F
+        for name, (*tests, default) in CLASSES.items():
+            letters = F
+            for letter, level_pattern, wanted, name_pattern in tests:
+                hit = any_of(df, wanted) | row["names"].rlike(name_pattern)
+                if level_pattern:
+                    hit = hit | F.coalesce(tag(df, "isced:level").rlike(level_pattern), F.lit(False))
+                letters = letters.when(hit, F.lit(letter))
+            by_sector = by_sector.when(row["sector"] == name, letters.otherwise(F.lit(default[0])))
+        return by_sector
+
+    # Binding the two long inputs keeps them single however often the rules look at them.
+    bound = F.array(F.struct(sector.alias("sector"), names.alias("names")))
+    return F.element_at(F.transform(bound, letter_of), 1)
 
 
 def _first_match(df: DataFrame, rules, default) -> Column:

@@ -32,12 +32,12 @@ def join_first(left: DataFrame, right: DataFrame, key: list[str], order: list[Co
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row in a total order.
 
-    The rows are range-partitioned and sorted once and kept in the checkpoint folder; a position is then the row's
+    The rows are range-partitioned and sorted once and written with their place in their partition; a position is then the row's
     place in its partition plus the sizes of the partitions before it (one small row per partition).
     """
-    placed = cut(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumns(
-        {"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}
+    at = F.monotonically_increasing_id()
+    placed = cut(
+        df.orderBy(*order).withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +54,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> Data
     hold the whole column.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = cut(counts.orderBy("v")).withColumn("_part", F.spark_partition_id())
+    placed = cut(counts.orderBy("v").withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))

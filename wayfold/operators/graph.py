@@ -25,35 +25,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     )
     nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
+    before = None
     while True:
         both = now.unionByName(_flip(now))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(small_min, "u")
         small = (
-            kept.select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small_min.select("u", F.col("m").alias("v")))
             .filter("u <> v")
             .distinct()
         )
-        after = cut(small)
-        if _same(now, after):
+        now = cut(small)
+        after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if after == before:
             break
-        now = after
+        before = after
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    mark = lambda df: df.agg(
-        F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))
-    ).first()
-    return tuple(mark(a)) == tuple(mark(b))
-
-
 def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(seed, node): everything a seed reaches along directed edges, itself included. Breadth-first rounds."""
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to")).filter("node <> _to").distinct()
