@@ -126,19 +126,10 @@ KERNEL = """SELECT col, row_no, sector, sum(w * (1 - q) * (1 - q)) AS value FROM
 SAT = lambda s: f"5 * (1 - exp(-0.2773 * coalesce(sum(CASE WHEN sector = '{s.upper()}' THEN value END), 0)))"
 SURFACE = f"""src AS (SELECT x, y, sector, CAST(weight AS DOUBLE) AS w, CAST({RADIUS} AS DOUBLE) AS r FROM ({FULL}) f WHERE weight > 0),
     kern AS ({KERNEL}), surf AS (SELECT *, {' + '.join(mix.MIX_SECTORS)} AS total FROM (SELECT col, row_no, {', '.join(f'{SAT(s)} AS {s}' for s in mix.MIX_SECTORS)} FROM kern GROUP BY 1, 2) z),
-    tops AS (SELECT a.* FROM surf a WHERE a.total >= 7 AND NOT EXISTS (SELECT 1 FROM surf b WHERE b.col BETWEEN a.col - 1 AND a.col + 1
-      AND b.row_no BETWEEN a.row_no - 1 AND a.row_no + 1 AND b.total > a.total))"""
-# DuckDB evaluates the 3 x 3 window by equality joins on the nine shifts.
-SURFACE = SURFACE.replace(
-    """tops AS (SELECT a.* FROM surf a WHERE a.total >= 7 AND NOT EXISTS (SELECT 1 FROM surf b WHERE b.col BETWEEN a.col - 1 AND a.col + 1
-      AND b.row_no BETWEEN a.row_no - 1 AND a.row_no + 1 AND b.total > a.total))""",
-    """hi AS (SELECT * FROM surf WHERE total >= 7),
+    hi AS (SELECT * FROM surf WHERE total >= 7),
     foc AS (SELECT col, row_no, max(total) AS f FROM (SELECT col + dc AS col, row_no + dr AS row_no, total FROM hi, (SELECT unnest(range(-1, 2)) AS dc) i,
       (SELECT unnest(range(-1, 2)) AS dr) j) s GROUP BY 1, 2),
-    tops AS (SELECT h.* FROM hi h JOIN foc ON foc.col = h.col AND foc.row_no = h.row_no WHERE h.total = foc.f)""",
-)
-
-
+    tops AS (SELECT h.* FROM hi h JOIN foc ON foc.col = h.col AND foc.row_no = h.row_no WHERE h.total = foc.f)"""
 @register(
     "L03_intensity_surface",
     f"WITH {SURFACE} SELECT CAST(floor(col / 20.0) AS BIGINT) AS bc, CAST(floor(row_no / 20.0) AS BIGINT) AS br, count(*) AS n, {rnd('sum(total)', 3)} AS total FROM surf GROUP BY 1, 2",
@@ -150,10 +141,14 @@ def surface(v):
     )
 
 
-# Local maxima compare sums for equality, so the last bits of a sum decide on plateaus: rows only.
-@register("L03_intensity_peaks")
+@register(
+    "L03_intensity_peaks",
+    f"""WITH {SURFACE.replace('total >= 7', 'total >= 4')}, p AS (SELECT col, row_no, total, {', '.join(mix.MIX_SECTORS)}, {', '.join(rnd(f'{s} / total', 2) + f' AS p_{s}' for s in mix.MIX_SECTORS)} FROM tops)
+        SELECT col, row_no, {rnd('total', 3)} AS total_intensity, {', '.join(rnd(s, 3) + f' AS {s}' for s in mix.MIX_SECTORS)}, {rnd(f'-({ENT})', 3)} AS entropy FROM p""",
+)
 def peaks(v):
-    out = ops.intensity_peaks(classified(v))
+    # Few points are this close together in the small tables, so the threshold is below the default.
+    out = ops.intensity_peaks(classified(v), ops.CentralityParams(min_level4=4.0))
     return out.select("col", "row_no", *[round_half_up(F.col(s), 3).alias(s) for s in ("total_intensity", *mix.MIX_SECTORS)], "entropy")
 
 
