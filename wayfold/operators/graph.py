@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geom import dist_euclid
-from ..functions.maths import bucket
 from ..session import cut
-from .spatial import with_bucket
 
 
 def _flip(edges: DataFrame) -> DataFrame:
@@ -80,27 +78,29 @@ def drop_isolated(nodes: DataFrame, links: DataFrame, key: str, src: str, dst: s
     return nodes.join(used, key, "left_semi")
 
 
-def proximity_components(points: DataFrame, radius: float, strict: bool = True, by: list[str] | None = None) -> DataFrame:
+def proximity_components(points: DataFrame, radius: float | Column, strict: bool = True, by: list[str] | None = None) -> DataFrame:
     """(id, component): points linked when closer than `radius` (strict) or not farther (otherwise), within `by` groups.
 
-    Crowded places do not list their pairs: points of one fine cell (narrower than the radius) belong together, so
-    the graph is built on cells. Two cells are linked if some point of one is near some point of the other; this is
-    decided from the cells' extents and extreme points where possible, and for the remaining cell pairs by halving
-    the cells again and again, so that only the rim between two cells is ever looked at in detail.
-    The component is the smallest id in it.
+    The radius may be a column that is constant within a group. Crowded places do not list their pairs: points of one
+    fine cell (narrower than the radius) belong together, so the graph is built on cells. Two cells are linked if some
+    point of one is near some point of the other; this is decided from the cells' extents and extreme points where
+    possible, and for the remaining cell pairs by halving the cells again and again, so that only the rim between two
+    cells is ever looked at in detail. The component is the smallest id in it.
     """
-    by = by or []
-    size = radius / 1.5
-    near = (lambda d: d < radius) if strict else (lambda d: d <= radius)
-    base = points.select("id", "x", "y", *by)
-    celled = with_bucket(base, size)
+    by = [*(by or []), "_r"]
+    reach = F.lit(float(radius)) if isinstance(radius, (int, float)) else radius
+    near = (lambda d: d < F.col("_r")) if strict else (lambda d: d <= F.col("_r"))
+    size = F.col("_r") / 1.5
+    celled = points.withColumn("_r", reach).select("id", "x", "y", *by).withColumns(
+        {"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)}
+    )
     heads = celled.groupBy(*by, "bx", "by").agg(F.min("id").alias("head"))
     links = _linked_cells(celled, heads, by, size, near)
     joined = connected_components(links, "src", "dst")
     labels = heads.join(joined.withColumnRenamed("node", "head"), "head", "left").select(
         *by, "bx", "by", F.coalesce("component", "head").alias("component")
     )
-    return celled.join(labels, [*by, "bx", "by"]).select("id", *by, "component")
+    return celled.join(labels, [*by, "bx", "by"]).drop("_r").select("id", *[c for c in by if c != "_r"], "component")
 
 
 def _summaries(celled: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,8 +158,8 @@ def _refine(points, open_pairs, by, size, near, sure):
     found = sure
     while not open_pairs.isEmpty():
         level += 1
-        half = size / 2**level
-        fine = points.withColumns({"fx": bucket(F.col("x"), half), "fy": bucket(F.col("y"), half)})
+        half = size / float(2**level)
+        fine = points.withColumns({"fx": F.floor(F.col("x") / half), "fy": F.floor(F.col("y") / half)})
         parts = _summaries(
             fine.withColumns({"px": F.floor(F.col("fx") / 2), "py": F.floor(F.col("fy") / 2)}), [*by, "px", "py", "fx", "fy"]
         )

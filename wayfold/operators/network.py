@@ -449,23 +449,16 @@ BUFFERS = {
 def cluster_access_nodes(nodes: DataFrame, buffers: dict[str, float] = BUFFERS) -> DataFrame:
     """(id, detail, cluster): nodes of one type whose buffers overlap, directly or through others.
 
-    `nodes` has id, x, y and detail. Buffers lie on both sides, so two nodes are linked within twice the buffer; types
-    of equal buffer are treated in one pass, apart from each other. Without a buffer every node is its own cluster. The
-    cluster is its smallest node.
+    `nodes` has id, x, y and detail. Buffers lie on both sides, so two nodes are linked within twice the buffer; all
+    types are treated in one pass, apart from each other. Without a buffer every node is its own cluster. The cluster
+    is its smallest node.
     """
-    sizes: dict[float, list[str]] = {}
-    for kind, size in buffers.items():
-        sizes.setdefault(size, []).append(kind)
-    out = None
-    for size, kinds in sizes.items():
-        mine = nodes.filter(F.col("detail").isin(*kinds)).select("id", "x", "y", "detail")
-        if size > 0:
-            part = proximity_components(mine, 2 * size, strict=False, by=["detail"]).withColumnRenamed("component", "cluster")
-        else:
-            part = mine.select("id", "detail", F.col("id").alias("cluster"))
-        part = part.select("id", "detail", "cluster")
-        out = part if out is None else out.unionByName(part)
-    return out
+    reach = F.create_map(*[F.lit(x) for kind, size in buffers.items() for x in (kind, 2.0 * size)])[F.col("detail")]
+    known = nodes.filter(F.col("detail").isin(*buffers))
+    buffered = known.filter(reach > 0).select("id", "x", "y", "detail")
+    joined = proximity_components(buffered, reach, strict=False, by=["detail"]).withColumnRenamed("component", "cluster")
+    alone = known.filter(reach == 0).select("id", "detail", F.col("id").alias("cluster"))
+    return joined.select("id", "detail", "cluster").unionByName(alone)
 
 
 def access_nodes(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -567,41 +560,45 @@ def zone_category(zones: DataFrame, nodes: DataFrame, limit: float = 5000.0, far
     return joined.withColumn("category", category).drop("d", "risland")
 
 
-def connectors_for_level(zones: DataFrame, nodes: DataFrame, level, retries: tuple[int, ...]) -> DataFrame:
-    """Connectors (zone, node, d) of one level: the nearest usable nodes, with a ladder of weaker demands.
+def make_connectors(zones: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Connectors (level, zone_no, node_id, d): near zones by level 0..5, far zones by level 9.
 
-    Zones still without a connector retry with every weaker node class, then within the last-resort distance; a zone
-    that no node can serve raises an error.
+    A zone takes part in the levels of its category that name its tier, and gets the nearest usable nodes of each. If
+    there are none it retries with every weaker node class, then within the last-resort distance; a zone that no node
+    can serve raises an error. All zones and levels climb this ladder together, one search per rung. `zones` has id, x,
+    y, type_no and category.
     """
-    number, tiers, weakest, reach, count = level
-    waiting = cut(zones.filter(F.col("type_no").isin(*tiers)).select("id", "x", "y"))
-    steps = [(weakest, reach)] + [(c, reach) for c in retries if c > weakest] + [(5, LAST_RESORT)]
-    done = None
-    for klass, radius in steps:
-        if waiting.isEmpty():
-            break
-        usable = nodes.filter((F.col("zk_type") <= klass) & F.col("reachable"))
-        right = cut(usable.select(F.col("node_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")))
-        found = cut(join_knn(waiting, right, count, max_distance=radius).select("id", "rid", "d"))
+    classes = [level[2] for level in NEAR_LEVELS]
+    wanted = F
+    for category, levels in (("Near", NEAR_LEVELS), ("Far", FAR_LEVELS)):
+        offers = []
+        for number, tiers, weakest, reach, count in levels:
+            ladder = [(weakest, reach)] + [(c, reach) for c in classes if c > weakest] + [(5, LAST_RESORT)]
+            rungs = F.array(*[F.struct(F.lit(c).alias("klass"), F.lit(float(r)).alias("reach")) for c, r in ladder])
+            offer = F.struct(F.lit(number).alias("level"), F.lit(count).alias("k"), rungs.alias("rungs"))
+            offers.append(F.when(F.col("type_no").isin(*tiers), offer))
+        wanted = wanted.when(F.col("category") == category, F.array(*offers))
+    tasks = zones.select("id", "x", "y", F.explode(F.filter(wanted, lambda o: o.isNotNull())).alias("_o"))
+    waiting = cut(tasks.select(F.struct(F.col("_o.level").alias("level"), "id").alias("id"), "x", "y", "_o.k", "_o.rungs"))
+    usable = cut(
+        nodes.filter("reachable").select(F.col("node_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), "zk_type")
+    )
+    done, rung = None, 0
+    most = 2 + len(classes)
+    while rung < most and not waiting.isEmpty():
+        here = waiting.filter(F.size("rungs") > rung).withColumns(
+            {"klass": F.get("rungs", F.lit(rung)).klass, "reach": F.get("rungs", F.lit(rung)).reach}
+        ).drop("rungs")
+        found = join_knn(here, usable, "k", reach="reach", match=F.col("zk_type") <= F.col("klass"))
+        found = cut(found.select("id", F.col("rid").alias("node_id"), "d"))
         done = found if done is None else done.unionByName(found)
         waiting = cut(waiting.join(found.select("id").distinct(), "id", "left_anti"))
+        rung += 1
     if not waiting.isEmpty():
-        raise ValueError(f"level {number}: {waiting.count()} zones cannot be connected")
+        raise ValueError(f"{waiting.count()} zone levels cannot be connected")
     if done is None:
-        done = waiting.select("id", F.col("id").alias("rid"), F.lit(0.0).alias("d"))
-    return done.select(F.lit(number).alias("level"), F.col("id").alias("zone_no"), F.col("rid").alias("node_id"), "d")
-
-
-def make_connectors(zones: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All levels: near zones by level 0..5, far zones by level 9. `zones` has id, x, y, type_no and category."""
-    retries = tuple(level[2] for level in NEAR_LEVELS)
-    out = None
-    for category, levels in (("Near", NEAR_LEVELS), ("Far", FAR_LEVELS)):
-        mine = zones.filter(F.col("category") == category)
-        for level in levels:
-            part = connectors_for_level(mine, nodes, level, retries)
-            out = part if out is None else out.unionByName(part)
-    return out
+        done = waiting.select("id", F.lit(0).cast("long").alias("node_id"), F.lit(0.0).alias("d"))
+    return done.select("id.level", F.col("id.id").alias("zone_no"), "node_id", "d")
 
 
 def connector_rows(connectors: DataFrame, systems: str) -> DataFrame:

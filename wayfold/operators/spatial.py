@@ -181,15 +181,17 @@ def join_knn(
     max_distance: float | None = None,
     exclude_same: bool = False,
     skip: DataFrame | None = None,
+    reach: str | None = None,
+    match: Column | None = None,
 ) -> DataFrame:
     """The k nearest right points of each left point, as rows (left columns, right columns, d, nth).
 
-    Left needs id, x, y; right rid, rx, ry. Ties go to the smaller rid. `k` may name a left column. `skip` lists
-    (id, rid) pairs that do not count.
+    Left needs id, x, y; right rid, rx, ry. Ties go to the smaller rid. `k` and `reach` (a greatest distance) may name
+    left columns; `match` is a further condition on a pair, and `skip` lists (id, rid) pairs that do not count.
 
     Each left point looks into the 3 x 3 buckets around it, on a bucket width chosen from the local crowding (so
     that a crowded bucket is searched on a finer grid); its answer is final once the k-th distance is within one
-    bucket width. Points without a final answer move to twice the width.
+    bucket width. Points without a final answer move on to wider buckets.
     """
     limit = F.lit(k) if isinstance(k, int) else F.col(k)
     most = k if isinstance(k, int) else None
@@ -198,29 +200,29 @@ def join_knn(
     ).first()
     spans = left.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if not facts.n or spans.x0 is None:
-        empty = left.join(right, F.lit(False)).withColumns({"d": F.lit(0.0), "nth": F.lit(0)})
-        return empty
+        return left.join(right, F.lit(False)).withColumns({"d": F.lit(0.0), "nth": F.lit(0)})
     extent = max(max(facts.x1, spans.x1) - min(facts.x0, spans.x0), max(facts.y1, spans.y1) - min(facts.y0, spans.y0), 1.0)
     area = max((facts.x1 - facts.x0) * (facts.y1 - facts.y0), 1.0)
-    base = max(math.sqrt(area * max(most or 4, 1) / facts.n), extent / 2**20)
+    wanted = max(most or 4, 1)
+    base = max(math.sqrt(area * wanted / facts.n), extent / 2**20)
     if max_distance is not None:
         extent = min(extent, max_distance)
         base = min(base, max_distance)
 
     # Levels below 0 halve the width where the local bucket holds many right points.
-    crowd = (
-        right.groupBy(bucket(F.col("rx"), base).alias("bx"), bucket(F.col("ry"), base).alias("by"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("bx", "by", F.floor(F.log2(F.greatest(F.col("_n") / float(16 * max(most or 4, 1)), F.lit(1.0))) / 2).cast("int").alias("_fine"))
-        .filter("_fine > 0")
-    )
-    finest = crowd.agg(F.max("_fine")).first()[0] or 0
-    waiting = left
-    if finest:
-        waiting = with_bucket(left, base).join(crowd, ["bx", "by"], "left").drop("bx", "by")
-        waiting = waiting.withColumn("_level", -F.coalesce("_fine", F.lit(0))).drop("_fine")
-    else:
-        waiting = waiting.withColumn("_level", F.lit(0))
+    finest = 0
+    waiting = left.withColumn("_level", F.lit(0))
+    if facts.n > 64 * wanted:
+        crowd = (
+            right.groupBy(bucket(F.col("rx"), base).alias("bx"), bucket(F.col("ry"), base).alias("by"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .select("bx", "by", F.floor(F.log2(F.greatest(F.col("_n") / float(16 * wanted), F.lit(1.0))) / 2).cast("int").alias("_fine"))
+            .filter("_fine > 0")
+        )
+        finest = crowd.agg(F.max("_fine")).first()[0] or 0
+        if finest:
+            waiting = with_bucket(left, base).join(crowd, ["bx", "by"], "left").drop("bx", "by")
+            waiting = waiting.withColumn("_level", -F.coalesce("_fine", F.lit(0))).drop("_fine")
     pool = right
     done = None
     level = -finest
@@ -233,24 +235,28 @@ def join_knn(
         near = near.withColumn("d", dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))).drop("bx", "by")
         if max_distance is not None:
             near = near.filter(F.col("d") <= max_distance)
+        if reach is not None:
+            near = near.filter(F.col("d") <= F.col(reach))
+        if match is not None:
+            near = near.filter(match)
         if exclude_same:
             near = near.filter(F.col("id") != F.col("rid"))
         if skip is not None:
             near = near.join(skip, ["id", "rid"], "left_anti")
-        best = _bounded_best(near, limit, rcols)
-        best = best.withColumn(
-            "_final",
-            F.lit(last)
-            | ((F.size("_best") >= F.col("_k")) & (F.element_at("_best", -1).d <= F.lit(size))),
-        )
-        best = cut(best.filter("_final"))
+        far = F.col(reach) if reach is not None else F.lit(float("inf"))
+        best = _bounded_best(near.withColumn("_far", far), limit, rcols)
+        enough = (F.size("_best") >= F.col("_k")) & (F.element_at("_best", -1).d <= F.lit(size))
+        best = cut(best.filter(F.lit(last) | enough | (F.col("_far") <= F.lit(size))).drop("_far"))
         done = best if done is None else done.unionByName(best)
         if last:
             break
+        if reach is not None:
+            waiting = waiting.filter(F.col(reach) > F.lit(size))
         waiting = cut(waiting.join(best.select("id"), "id", "left_anti"))
         if waiting.isEmpty():
             break
-        level += 1
+        # Points still open have sparse surroundings, so the width may grow faster.
+        level += 1 if level < 0 else 2
     rows = done.select("id", F.posexplode("_best").alias("nth", "_b"))
     rows = rows.select("id", (F.col("nth") + 1).alias("nth"), "_b.*")
     return left.join(rows, "id")
@@ -260,8 +266,8 @@ def _bounded_best(near: DataFrame, limit: Column, rcols: list[str]) -> DataFrame
     """The nearest entries per id; candidates are cut to the wanted number in slices before they meet."""
     entry = F.struct("d", "rid", *[c for c in rcols if c != "rid"])
     sliced = near.withColumns({"_slice": F.pmod(F.xxhash64("rid"), F.lit(16)), "_k": limit.cast("int")})
-    part = sliced.groupBy("id", "_k", "_slice").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, F.col("_k")).alias("_part"))
-    return part.groupBy("id", "_k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_part"))), 1, F.col("_k")).alias("_best"))
+    part = sliced.groupBy("id", "_k", "_far", "_slice").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, F.col("_k")).alias("_part"))
+    return part.groupBy("id", "_k", "_far").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_part"))), 1, F.col("_k")).alias("_best"))
 
 
 # ---- existence questions --------------------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ CHECKS: dict[str, str] = {}
 
 FAMILIES = (
     "extracts",
+    "files",
     "expressions",
     "linkrules",
     "filters",

@@ -200,29 +200,33 @@ UTURNS = f"""{RAMPS}, um AS (SELECT c.no, c.from_node, c.to_node, c.length FROM
     ut AS (SELECT DISTINCT no FROM uu JOIN ul USING (component) JOIN un USING (component) WHERE names = 1 AND total <= 0.05 + 1e-12)"""
 
 
-# Few U-turns of one name exist by chance, so the streets of a block share their name here.
+# Motorways and their ramps alone, with one street name: elsewhere every ramp meets several classes by chance.
 NAMED = "CASE WHEN {0} = '' THEN '' ELSE 'Main Street' END"
+MOTORWAYS = UTURNS.replace(f"d0 AS ({DIRECTED})", f"d0 AS (SELECT * FROM ({DIRECTED}) q WHERE type_no IN (10, 19))").replace(
+    "cls AS (SELECT a.*", f"cls AS (SELECT a.* REPLACE ({NAMED.format('a.name')} AS name)"
+)
 
 
-@register("N11_uturn_links", f"WITH RECURSIVE {UTURNS.replace(CLASSED, CLASSED.replace('cls AS (SELECT a.*', 'cls AS (SELECT a.* REPLACE (' + NAMED.format('a.name') + ' AS name)'))} SELECT no FROM ut")
-def uturns(v):
+def motorways(v):
     from ...session import cut
 
-    links = cut(classed(v).withColumn("name", F.expr(NAMED.format("name"))))
-    return net.uturn_links(links, cut(net.ramp_components(links)))
+    only = v.sql(DIRECTED).filter("type_no IN (10, 19)")
+    links = cut(net.classify_links(only, types(v)).withColumn("name", F.expr(NAMED.format("name"))))
+    return links, net.uturn_links(links, cut(net.ramp_components(links)))
+
+
+@register("N11_uturn_links", f"WITH RECURSIVE {MOTORWAYS} SELECT no FROM ut")
+def uturns(v):
+    return motorways(v)[1]
 
 
 @register(
     "N09_final_link_classes",
-    f"""WITH RECURSIVE {UTURNS.replace(CLASSED, CLASSED.replace('cls AS (SELECT a.*', 'cls AS (SELECT a.* REPLACE (' + NAMED.format('a.name') + ' AS name)'))}
-        SELECT CAST(CASE WHEN ut.no IS NOT NULL AND gtype <> 99 THEN 88 ELSE gtype END AS INTEGER) AS class, count(*) AS n FROM cls LEFT JOIN ut ON ut.no = cls.no GROUP BY 1""",
+    f"""WITH RECURSIVE {MOTORWAYS} SELECT cls.no, cls.from_node, CAST(CASE WHEN ut.no IS NOT NULL AND gtype <> 99 THEN 88 ELSE gtype END AS INTEGER) AS class
+        FROM cls LEFT JOIN ut ON ut.no = cls.no""",
 )
 def final_classes(v):
-    from ...session import cut
-
-    links = cut(classed(v).withColumn("name", F.expr(NAMED.format("name"))))
-    final = net.link_class(links, net.uturn_links(links, cut(net.ramp_components(links))))
-    return final.groupBy(F.col("class").cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return net.link_class(*motorways(v)).select("no", "from_node", F.col("class").cast("int").alias("class"))
 
 
 @register("N12_node_types", f"""WITH RECURSIVE {RAMPS}, lk AS (SELECT c.*, r.classes FROM cls c LEFT JOIN ramps r ON r.no = c.no AND r.from_node = c.from_node AND r.to_node = c.to_node WHERE c.uclass <= 5),

@@ -49,3 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
