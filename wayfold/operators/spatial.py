@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import box_overlap, dist_euclid, dist_point_box, dist_point_ring, point_in_ring
@@ -174,6 +174,10 @@ def join_circle_boxes(circles: DataFrame, boxes: DataFrame, radius: float, size:
 # ---- nearest neighbours ------------------------------------------------------------------------------------------------
 
 
+# Right tables above this size are searched by cell extents first once the buckets have grown.
+CROWD = 2000
+
+
 def join_knn(
     left: DataFrame,
     right: DataFrame,
@@ -198,7 +202,9 @@ def join_knn(
     facts = right.agg(
         F.count(F.lit(1)).alias("n"), F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
     ).first()
-    spans = left.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    spans = left.agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(limit).alias("k")
+    ).first()
     if not facts.n or spans.x0 is None:
         return left.join(right, F.lit(False)).withColumns({"d": F.lit(0.0), "nth": F.lit(0)})
     extent = max(max(facts.x1, spans.x1) - min(facts.x0, spans.x0), max(facts.y1, spans.y1) - min(facts.y0, spans.y0), 1.0)
@@ -231,8 +237,11 @@ def join_knn(
         size = base * 2.0**level
         last = size >= extent
         now = waiting.filter(F.col("_level") <= level)
-        near = with_bucket(now, size).join(_spread(pool, _cells(size, 1, "rx", "ry")), ["bx", "by"])
-        near = near.withColumn("d", dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))).drop("bx", "by")
+        if level > 0 and facts.n > CROWD and match is None and skip is None:
+            near = _candidates_by_cell(now, pool, size, limit + (1 if exclude_same else 0))
+        else:
+            near = with_bucket(now, size).join(_spread(pool, _cells(size, 1, "rx", "ry")), ["bx", "by"]).drop("bx", "by")
+        near = near.withColumn("d", dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")))
         if max_distance is not None:
             near = near.filter(F.col("d") <= max_distance)
         if reach is not None:
@@ -244,30 +253,63 @@ def join_knn(
         if skip is not None:
             near = near.join(skip, ["id", "rid"], "left_anti")
         far = F.col(reach) if reach is not None else F.lit(float("inf"))
-        best = _bounded_best(near.withColumn("_far", far), limit, rcols)
-        enough = (F.size("_best") >= F.col("_k")) & (F.element_at("_best", -1).d <= F.lit(size))
-        best = cut(best.filter(F.lit(last) | enough | (F.col("_far") <= F.lit(size))).drop("_far"))
+        mine = Window.partitionBy("id")
+        near = near.select("id", limit.alias("_k"), far.alias("_far"), "d", *rcols)
+        near = near.withColumn("nth", F.row_number().over(mine.orderBy("d", "rid")))
+        # The literal bound lets every task keep only its own nearest rows before the shuffle.
+        near = near.filter(F.col("nth") <= int(spans.k)).filter(F.col("nth") <= F.col("_k"))
+        near = near.withColumns({"_found": F.count(F.lit(1)).over(mine), "_last": F.max("d").over(mine)})
+        enough = (F.col("_found") >= F.col("_k")) & (F.col("_last") <= F.lit(size))
+        best = cut(near.filter(F.lit(last) | enough | (F.col("_far") <= F.lit(size))).select("id", "nth", "d", *rcols))
         done = best if done is None else done.unionByName(best)
         if last:
             break
         if reach is not None:
             waiting = waiting.filter(F.col(reach) > F.lit(size))
-        waiting = cut(waiting.join(best.select("id"), "id", "left_anti"))
+        waiting = cut(waiting.join(best.filter("nth = 1").select("id"), "id", "left_anti"))
         if waiting.isEmpty():
             break
         # Points still open have sparse surroundings, so the width may grow faster.
         level += 1 if level < 0 else 2
-    rows = done.select("id", F.posexplode("_best").alias("nth", "_b"))
-    rows = rows.select("id", (F.col("nth") + 1).alias("nth"), "_b.*")
-    return left.join(rows, "id")
+    return left.join(done, "id")
 
 
-def _bounded_best(near: DataFrame, limit: Column, rcols: list[str]) -> DataFrame:
-    """The nearest entries per id; candidates are cut to the wanted number in slices before they meet."""
-    entry = F.struct("d", "rid", *[c for c in rcols if c != "rid"])
-    sliced = near.withColumns({"_slice": F.pmod(F.xxhash64("rid"), F.lit(16)), "_k": limit.cast("int")})
-    part = sliced.groupBy("id", "_k", "_far", "_slice").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, F.col("_k")).alias("_part"))
-    return part.groupBy("id", "_k", "_far").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_part"))), 1, F.col("_k")).alias("_best"))
+def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float, need: Column) -> DataFrame:
+    """Left rows with the right points of the fine cells around them that can hold one of the nearest `need`.
+
+    The 3 x 3 buckets are looked at as at most 48 x 48 fine cells with their extents and counts: the cells that surely
+    hold enough points bound the distance, and cells that begin beyond it are skipped. A left point far from a crowd
+    thus meets the near edge of the crowd only.
+    """
+    fine = size / 16.0
+    keyed = right.withColumns({"_sx": bucket(F.col("rx"), fine), "_sy": bucket(F.col("ry"), fine)})
+    cells = keyed.groupBy("_sx", "_sy").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
+    )
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    around = F.flatten(
+        F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(
+            (F.floor(F.col("_sx") / 16) + i).alias("bx"), (F.floor(F.col("_sy") / 16) + j).alias("by"))))
+    )
+    pairs = with_bucket(left.select("id", "x", "y", need.alias("_need")), size).join(_spread(cells, around), ["bx", "by"])
+    x, y = F.col("x"), F.col("y")
+    wide = F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1")))
+    high = F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1")))
+    entry = F.struct(
+        F.sqrt(wide * wide + high * high).alias("far"), "n", dist_point_box(x, y, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")).alias("near"), "_sx", "_sy"
+    )
+    lists = pairs.groupBy("id", "_need").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+
+    def bound(acc: Column, e: Column) -> Column:
+        total = acc["n"] + e["n"]
+        here = (acc["n"] < F.col("_need")) & (total >= F.col("_need"))
+        return F.struct(total.alias("n"), F.when(here, e["far"]).otherwise(acc["u"]).alias("u"))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("u"))
+    limited = lists.withColumn("_u", F.aggregate("_l", start, bound)["u"])
+    open_cells = limited.select("id", F.explode(F.filter("_l", lambda e: e["near"] <= F.col("_u"))).alias("_c"))
+    wanted = left.join(open_cells.select("id", "_c._sx", "_c._sy"), "id")
+    return wanted.join(keyed, ["_sx", "_sy"]).drop("_sx", "_sy")
 
 
 # ---- existence questions --------------------------------------------------------------------------------------------------
