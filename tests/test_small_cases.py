@@ -72,11 +72,13 @@ def test_long_chain_of_edges(spark):
     assert [r.component for r in got] == [0]
 
 
-def test_existence_and_dominance_in_a_crowd(spark):
+@pytest.mark.parametrize("pairs", [0, 10**9])
+def test_existence_and_dominance_in_a_crowd(spark, pairs, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
     rng = random.Random(3)
     pts = [(*p, rng.randrange(20)) for p in crowd(400, 2)]
     df = points(spark, pts, "id long, x double, y double, s long")
-    for radius in (25.0, 300.0, 2500.0):
+    for radius in (25.0, 900.0):
         got = {r.id for r in spatial.not_dominated(df, radius, "s").collect()}
         assert got == {p[0] for p in pts if not any(q[3] > p[3] and dist(p, q) <= radius for q in pts)}
         left, right = pts[::2], pts[1::2]

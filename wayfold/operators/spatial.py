@@ -315,54 +315,73 @@ def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float, need: Co
 # ---- existence questions --------------------------------------------------------------------------------------------------
 
 
+# Undecided cases are compared point by point up to this many pairs; beyond it cells are halved first.
+PAIRS = 50_000_000
+
+
+def _cell_summary(others: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per cell with its tight extent, size and strongest point."""
+    return others.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_rv").alias("_top"), F.max_by(F.struct("rx", "ry"), "_rv").alias("_best"),
+        F.min("rx").alias("cx0"), F.max("rx").alias("cx1"), F.min("ry").alias("cy0"), F.max("ry").alias("cy1"),
+    )
+
+
+def _judged(pairs: DataFrame, radius: float, any_point: bool) -> DataFrame:
+    """Pairs of points and cells that can matter, with `_sure` where the cell settles the question."""
+    x, y = F.col("x"), F.col("y")
+    nearest = dist_point_box(x, y, F.col("cx0"), F.col("cx1"), F.col("cy0"), F.col("cy1"))
+    sure = dist_euclid(x, y, F.col("_best.rx"), F.col("_best.ry")) <= radius
+    if any_point:
+        wide = F.greatest(F.abs(x - F.col("cx0")), F.abs(x - F.col("cx1")))
+        high = F.greatest(F.abs(y - F.col("cy0")), F.abs(y - F.col("cy1")))
+        sure = sure | (F.sqrt(wide * wide + high * high) <= radius)
+    return pairs.filter((F.col("_top") > F.col("_v")) & (nearest <= radius)).withColumn("_sure", sure)
+
+
 def exists_within(left: DataFrame, right: DataFrame, radius: float, key: str = "id", margin: str | None = None) -> DataFrame:
     """Keys of the left points that have some right point within `radius` (<=).
 
     With `margin` (a column of both sides) a right point counts only if its value is larger than the left one's.
-    Fine cells are narrower than the radius, so one summary row per cell decides most points:
-    a qualifying right point in the left point's own cell is near enough without looking at coordinates, and a cell
-    whose farthest corner is within the radius, or whose nearest corner is not, needs no points either. Only the
-    rest is compared point by point.
+    Fine cells are narrower than the radius, so one summary row per cell decides most points: by the cell's strongest
+    point, or because its farthest corner is within the radius or its nearest is not. The rest is compared point by
+    point if that is a bounded number of pairs; otherwise the cells are halved and judged again, level by level, so
+    that a crowded cell is only looked at along the circle around the point.
     """
     size = radius / 1.5 if radius > 0 else 1.0
     value = F.col(margin).cast("double") if margin else F.lit(1.0)
-    lvalue = value if margin else F.lit(0.0)
-    points = with_bucket(left.select(key, "x", "y", lvalue.alias("_v")), size)
+    points = with_bucket(left.select(key, "x", "y", (value if margin else F.lit(0.0)).alias("_v")), size)
     others = with_bucket(right.select(F.col("x").alias("rx"), F.col("y").alias("ry"), value.alias("_rv")), size, "rx", "ry")
-    # One row per fine cell with its tight extent and strongest value.
-    cells = others.groupBy("bx", "by").agg(
-        F.max("_rv").alias("_top"),
-        F.min("rx").alias("cx0"), F.max("rx").alias("cx1"), F.min("ry").alias("cy0"), F.max("ry").alias("cy1"),
-        F.max_by(F.struct("rx", "ry"), "_rv").alias("_best"),
-    )
-    spread = (
-        cells.withColumns({"_ox": F.col("bx"), "_oy": F.col("by")})
-        .withColumn("_cell", F.explode(F.flatten(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.transform(
-            F.sequence(F.lit(-2), F.lit(2)), lambda j: F.struct((F.col("_ox") + i).alias("bx"), (F.col("_oy") + j).alias("by")))))))
-        .select("_cell.bx", "_cell.by", "_ox", "_oy", "_top", "_best", "cx0", "cx1", "cy0", "cy1")
-    )
-    nearest = dist_point_box(F.col("x"), F.col("y"), F.col("cx0"), F.col("cx1"), F.col("cy0"), F.col("cy1"))
-    farthest_x = F.greatest(F.abs(F.col("x") - F.col("cx0")), F.abs(F.col("x") - F.col("cx1")))
-    farthest_y = F.greatest(F.abs(F.col("y") - F.col("cy0")), F.abs(F.col("y") - F.col("cy1")))
-    surely = (
-        (dist_euclid(F.col("x"), F.col("y"), F.col("_best.rx"), F.col("_best.ry")) <= radius)
-        if margin
-        else (F.sqrt(farthest_x * farthest_x + farthest_y * farthest_y) <= radius)
-        | (dist_euclid(F.col("x"), F.col("y"), F.col("_best.rx"), F.col("_best.ry")) <= radius)
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    around = F.flatten(
+        F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((F.col("ox") + i).alias("bx"), (F.col("oy") + j).alias("by"))))
     )
-    candidates = points.join(spread, ["bx", "by"]).filter((F.col("_top") > F.col("_v")) & (nearest <= radius))
-    verdicts = candidates.groupBy(key).agg(
-        F.max(F.when(surely, 1).otherwise(0)).alias("_sure"),
-        F.collect_list(F.when(~surely, F.struct("_ox", "_oy"))).alias("_open"),  # at most 25 cells
-        F.first("x").alias("x"), F.first("y").alias("y"), F.first("_v").alias("_v"),
+    cells = _cell_summary(others, ["bx", "by"]).withColumnsRenamed({"bx": "ox", "by": "oy"})
+    pairs = _judged(points.join(_spread(cells, around), ["bx", "by"]), radius, margin is None)
+    # At most 25 cells per point.
+    verdicts = cut(
+        pairs.groupBy(key, "x", "y", "_v").agg(
+            F.max("_sure").alias("_sure"), F.collect_list(F.when(~F.col("_sure"), F.struct("ox", "oy", "_n"))).alias("_open")
+        )
     )
-    verdicts = cut(verdicts)
-    sure = verdicts.filter("_sure = 1").select(key)
-    undecided = verdicts.filter("_sure = 0").select(key, "x", "y", "_v", F.explode("_open").alias("_c"))
-    undecided = undecided.select(key, "x", "y", "_v", F.col("_c._ox").alias("bx"), F.col("_c._oy").alias("by"))
+    found = verdicts.filter("_sure").select(key)
+    state = verdicts.filter("NOT _sure").select(key, "x", "y", "_v", F.explode("_open").alias("_c"))
+    state = state.select(key, "x", "y", "_v", F.col("_c.ox").alias("bx"), F.col("_c.oy").alias("by"), F.col("_c._n").alias("_n"))
+    level = 0
+    while (state.agg(F.sum("_n")).first()[0] or 0) > PAIRS:
+        level += 1
+        half = size / float(2**level)
+        fine = others.withColumns({"fx": bucket(F.col("rx"), half), "fy": bucket(F.col("ry"), half)})
+        fine = fine.withColumns({"bx": F.floor(F.col("fx") / 2), "by": F.floor(F.col("fy") / 2)})
+        inner = _judged(state.drop("_n").join(_cell_summary(fine, ["bx", "by", "fx", "fy"]), ["bx", "by"]), radius, margin is None)
+        inner = cut(inner.select(key, "x", "y", "_v", F.col("fx").alias("bx"), F.col("fy").alias("by"), "_n", "_sure"))
+        settled = inner.filter("_sure").select(key).distinct()
+        found = found.unionByName(settled)
+        state = cut(inner.filter("NOT _sure").drop("_sure").join(settled, key, "left_anti"))
+        others = others.withColumns({"bx": bucket(F.col("rx"), half), "by": bucket(F.col("ry"), half)})
     close = (dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")) <= radius) & (F.col("_rv") > F.col("_v"))
-    compared = undecided.join(others, ["bx", "by"]).filter(close).groupBy(key).agg(F.lit(1).alias("_one")).select(key)
-    return sure.unionByName(compared).distinct()
+    compared = state.join(others, ["bx", "by"]).filter(close).select(key)
+    return found.unionByName(compared).distinct()
 
 
 def not_dominated(df: DataFrame, radius: float, strength: str, key: str = "id") -> DataFrame:

@@ -122,7 +122,7 @@ def zone_inputs(v):
 
 
 ZONES = f"""SELECT s.src, s.zone_no, s.main_zone, s.label, s.type_no, s.pop, s.x, s.y, s.zone_type, row_number() OVER (ORDER BY s.zone_no, s.src) AS code FROM (
-    SELECT 'Grid' AS src, c.cell_id AS zone_no, 1 AS main_zone, concat('Zone ', CAST(b.zone_no AS VARCHAR)) AS label, 9 AS type_no, 10.0::DOUBLE AS pop, (c.xmin + c.xmax) / 2 AS x, (c.ymin + c.ymax) / 2 AS y,
+    SELECT 'Grid' AS src, c.cell_id AS zone_no, 1 AS main_zone, 'Zone ' || CAST(b.zone_no AS VARCHAR) AS label, 9 AS type_no, 10.0::DOUBLE AS pop, (c.xmin + c.xmax) / 2 AS x, (c.ymin + c.ymax) / 2 AS y,
       CASE WHEN cell_id % 2 = 0 THEN 'PA' ELSE 'OA' END AS zone_type
     FROM ({STUDY}) c LEFT JOIN (SELECT cell_id AS ci, zone_no, row_number() OVER (PARTITION BY cell_id ORDER BY o DESC, zone_no) AS rn FROM (SELECT c.cell_id, z.zone_no,
       greatest(least(z.xmax, c.xmax) - greatest(z.xmin, c.xmin), 0.0) * greatest(least(z.ymax, c.ymax) - greatest(z.ymin, c.ymin), 0.0) AS o FROM ({STUDY}) c, {{admin_zones}} z) q WHERE o > 0) b ON b.ci = c.cell_id AND b.rn = 1
