@@ -283,11 +283,14 @@ def _has_car(column: str) -> Column:
 
 
 def with_reverse(links: DataFrame, columns: list[str]) -> DataFrame:
-    """Directed links with the given columns of their opposite direction (prefix `rev_`); one equi-join on the number and ends."""
-    back = links.select(
-        "no", F.col("from_node").alias("to_node"), F.col("to_node").alias("from_node"), *[F.col(c).alias(f"rev_{c}") for c in columns]
-    )
-    return links.join(back, ["no", "from_node", "to_node"], "left")
+    """Directed links with the given columns of their opposite direction (prefix `rev_`, NULL without one).
+
+    The two directions of a link are neighbours in a group of at most two rows, so one shuffle does and no join.
+    """
+    pair = Window.partitionBy("no", F.least("from_node", "to_node"), F.greatest("from_node", "to_node")).orderBy("from_node")
+    value = F.struct(*columns)
+    other = links.withColumn("_other", F.coalesce(F.lag(value).over(pair), F.lead(value).over(pair)))
+    return other.withColumns({f"rev_{c}": F.col("_other")[c] for c in columns}).drop("_other")
 
 
 def mark_blocked_oneway(links: DataFrame) -> DataFrame:

@@ -132,13 +132,25 @@ DIRECTED = f"""SELECT way_id * 100 + seq AS no, from_node, to_node, {TYPE_NO} AS
     UNION ALL SELECT way_id * 100 + seq, to_node, from_node, {TYPE_NO}, CASE WHEN way_id % 5 = 0 THEN '' ELSE 'CAR' END, {REST} FROM {{links}}"""
 
 
+def directed(v):
+    """Both directions of every link, from one pass over the links."""
+    base = v.sql(
+        f"""SELECT way_id * 100 + seq AS no, from_node AS a, to_node AS b, {TYPE_NO} AS type_no, {REST},
+            CASE WHEN (way_id + seq) % 4 = 0 THEN 'BUS' WHEN way_id % 50 = 0 THEN '' ELSE 'CAR,BUS' END AS there,
+            CASE WHEN way_id % 5 = 0 THEN '' ELSE 'CAR' END AS back FROM {{links}}"""
+    )
+    row = lambda f, t, tsys: F.struct(F.col(f).alias("from_node"), F.col(t).alias("to_node"), F.col(tsys).alias("tsys"))
+    both = base.withColumn("_d", F.explode(F.array(row("a", "b", "there"), row("b", "a", "back"))))
+    return both.select("no", "_d.from_node", "_d.to_node", "type_no", "_d.tsys", "name", "length", "roundabout")
+
+
 @register(
     "N07_blocked_oneway_reverse",
     f"""WITH d AS ({DIRECTED}) SELECT a.no, a.from_node, a.to_node, CASE WHEN a.type_no BETWEEN 10 AND 73 AND NOT contains(a.tsys, 'CAR') AND contains(coalesce(b.tsys, ''), 'CAR') THEN 0 ELSE a.type_no END AS type_no
         FROM d a LEFT JOIN d b ON b.no = a.no AND b.from_node = a.to_node AND b.to_node = a.from_node""",
 )
 def blocked(v):
-    return net.mark_blocked_oneway(v.sql(DIRECTED)).select("no", "from_node", "to_node", "type_no")
+    return net.mark_blocked_oneway(directed(v)).select("no", "from_node", "to_node", "type_no")
 
 
 @register(
@@ -150,7 +162,7 @@ def blocked(v):
         SELECT f AS from_node, t AS to_node, {rnd('len', 3)} AS length, 96 AS type_no FROM k UNION ALL SELECT t, f, {rnd('len', 3)}, 96 FROM k""",
 )
 def ferries(v):
-    out = net.ferry_access(v.sql(DIRECTED), v.nodes)
+    out = net.ferry_access(directed(v), v.nodes)
     return out.withColumn("length", round_half_up(F.col("length"), 3))
 
 
@@ -163,7 +175,7 @@ CLASSED = f"""{RULE_SQL}, gt AS (SELECT type_no, {GTYPE} AS gtype FROM rules), d
 
 
 def classed(v):
-    return net.classify_links(v.sql(DIRECTED), types(v))
+    return net.classify_links(directed(v), types(v))
 
 
 @register("N09_main_classes", f"WITH {CLASSED} SELECT no, from_node, to_node, type_no, gtype, uclass FROM cls")
@@ -210,7 +222,7 @@ MOTORWAYS = UTURNS.replace(f"d0 AS ({DIRECTED})", f"d0 AS (SELECT * FROM ({DIREC
 def motorways(v):
     from ...session import cut
 
-    only = v.sql(DIRECTED).filter("type_no IN (10, 19)")
+    only = directed(v).filter("type_no IN (10, 19)")
     links = cut(net.classify_links(only, types(v)).withColumn("name", F.expr(NAMED.format("name"))))
     return links, net.uturn_links(links, cut(net.ramp_components(links)))
 

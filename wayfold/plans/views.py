@@ -57,12 +57,12 @@ VIEWS = {
                CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN '12'
                     ELSE CAST(1 + o_orderkey % 4 AS VARCHAR(10)) END AS lanes
         FROM {orders}""",
+    # The renaming comes first, so that windows on way_id further up find the rows already in place.
     "way_nodes": """
-        SELECT l_orderkey AS way_id,
-               row_number() OVER (PARTITION BY l_orderkey
-                                  ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq,
-               l_partkey AS node_id
-        FROM {lineitem}""",
+        SELECT way_id,
+               row_number() OVER (PARTITION BY way_id ORDER BY l_linenumber, node_id, l_suppkey, l_extendedprice, l_quantity) AS seq,
+               node_id
+        FROM (SELECT l_orderkey AS way_id, l_partkey AS node_id, l_linenumber, l_suppkey, l_extendedprice, l_quantity FROM {lineitem}) l""",
     "nodes": f"""
         SELECT p_partkey AS node_id, {_hash_xy('p_partkey', 45007, 44987, 'part')} FROM {{part}}""",
     "links": """
