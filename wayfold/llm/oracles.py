@@ -10,3 +10,29 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id < first THEN first END AS refers_to
 FROM q
 """
+
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 10 + 1, 1) + 1), lambda p: array_to_string(w[p:p + 9], ' '))) AS phrase,
+    least(len(w), 10) AS k
+  FROM i WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT k FROM iw), known AS (SELECT DISTINCT phrase, k FROM iw),
+dw AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS phrase
+  FROM d, sizes WHERE len(w) >= k
+), m AS (SELECT doc_id, p, k, phrase FROM dw SEMI JOIN known USING (phrase, k)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT m.doc_id, CAST(iw.item_id AS VARCHAR) AS item FROM m JOIN iw USING (phrase, k) WHERE iw.item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

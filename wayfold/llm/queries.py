@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import oracles, warc
+from . import decontaminate, oracles, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op4_warc_archive": oracles.WARC}
+ORACLES: dict[str, str] = {"op4_warc_archive": oracles.WARC, "op5_decontamination": oracles.DECONTAMINATION}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -27,3 +28,23 @@ def op4_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     archive = scratch(spark)
     warc.write_archive(_table(spark, folder, "pages"), archive)
     return warc.read_facts(spark, archive)
+
+
+@_query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, folder, "documents"))
+    found = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS)))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
