@@ -1,8 +1,8 @@
 """Benchmark passages in training documents, found in a positional inverted index. DataFrame functions only.
 
-The index has one posting (document, term, position) per occurrence of a term that tests ask for. A phrase is looked up by
-its two rarest terms first: their lists, each moved by the term's place in the phrase, are intersected, which leaves
-few starting points. The other terms' lists, made for the documents still in question, decide those.
+The index has one posting (document, term, position) per occurrence of a term that the tests ask for. A term is three words in a row: single words like "of"
+would fill the index with lists that decide nothing. A phrase is looked up by its rarest term first, whose list, moved by
+the term's place in the phrase, gives the starting points; these are intersected with the moved lists of its other terms.
 
 A document is known by (doc_id, hash of its text), so that rows which share a doc_id do not share postings.
 """
@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-# Letters that are lowered, and what a word is made of.
+# Letters that are lowered, and what is not part of a word.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TERM_WORDS = 3
 KEY = ["doc_id", "text_hash"]
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    # lower() does the same to ASCII texts and is much faster; other letters than A-Z stay as they are.
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(lowered, GAP), "")
 
 
 def _same(left: DataFrame, right: DataFrame, *more: str) -> Column:
@@ -46,47 +50,77 @@ def phrases(tests: DataFrame, size: int) -> DataFrame:
 
 
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: one row (doc_id, text_hash, term, position) for each occurrence of one of `terms` in keyed `documents`.
-
-    `terms` (term, distinct) is the vocabulary of the tests; it is left to the planner, by its written size, whether to broadcast it.
-    """
+    """An index of single words: one row (doc_id, text_hash, term, position) for each occurrence of one of `terms` (term, distinct)."""
     return documents.select(*KEY, F.posexplode("words").alias("position", "term")).join(terms, "term", "left_semi")
 
 
+def _terms(words_column: str, size: int) -> Column:
+    """Array of structs (w0, w1, ...): the words from each position on, `size` of them, null beyond the end."""
+    names = [f"w{k}" for k in range(size)]
+    shifted = [F.slice(words_column, k + 1, F.greatest(F.size(words_column) - k, F.lit(0))).alias(names[k]) for k in range(size)]
+    return F.arrays_zip(*shifted)
+
+
+def _term_rows(rows: DataFrame, keep: list[str], words_column: str, size: int, place: str) -> DataFrame:
+    """One row for each term of `size` words: `keep`, its place and its words, with a hash of them."""
+    names = [f"w{k}" for k in range(size)]
+    out = rows.select(*keep, F.posexplode(_terms(words_column, size)).alias(place, "w")).select(*keep, place, "w.*")
+    return out.select(*keep, place, *names, F.xxhash64(*names).alias("h"))
+
+
+def term_index(documents: DataFrame, distinct: DataFrame, size: int) -> DataFrame:
+    """The index for `distinct` (phrase_id, phrase): doc_id, text_hash, term, position. One pass over keyed `documents`; the vocabulary of
+    the tests meets them by hash and is then compared word by word. Whether it is broadcast is left to the planner, by its written size."""
+    names = [f"w{k}" for k in range(size)]
+    vocabulary = cut(_term_rows(distinct, [], "phrase", size, "place").where(F.col(names[-1]).isNotNull()).select("h", *names).distinct())
+    asked = vocabulary.select("h", F.concat_ws(" ", *names).alias("term"), *[F.col(n).alias(f"v{n}") for n in names])
+    rows = _term_rows(documents, KEY, "words", size, "position").withColumnRenamed("h", "own")
+    on = rows["own"] == asked["h"]
+    for n in names:
+        on = on & (F.col(n) == F.col(f"v{n}"))
+    return rows.join(asked, on).select(*KEY, "term", "position")
+
+
+def _matches_of_size(documents: DataFrame, distinct: DataFrame, size: int) -> DataFrame:
+    index = cut(term_index(documents, distinct, size))
+    frequency = index.groupBy("term").agg(F.count("*").alias("n"))
+    names = [f"w{k}" for k in range(size)]
+    terms = _term_rows(distinct, ["phrase_id", "length"], "phrase", size, "place").where(F.col(names[-1]).isNotNull())
+    terms = terms.select("phrase_id", "length", "place", F.concat_ws(" ", *names).alias("term")).join(frequency, "term", "left")
+    plan = terms.groupBy("phrase_id", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term"))).alias("plan"))
+    # A phrase with a term that never occurs cannot occur. The others start from the rarest term.
+    plan = cut(plan.where(F.col("plan")[0]["n"] > 0))
+    rarest = plan.select("phrase_id", "length", F.col("plan")[0]["place"].alias("place"), F.col("plan")[0]["term"].alias("term"))
+    rest = plan.select("phrase_id", F.size("plan").alias("wanted"), F.explode("plan").alias("t")).select("phrase_id", "wanted", F.col("t.place").alias("place"), F.col("t.term").alias("term"))
+    starts = index.join(rarest, "term").select(*KEY, "phrase_id", "length", (F.col("position") - F.col("place")).alias("start"))
+    expected = starts.where("start >= 0").join(rest, "phrase_id").select(*KEY, "phrase_id", "length", "wanted", "start", "term", (F.col("start") + F.col("place")).alias("position"))
+    lists = index.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("x"), F.col("term").alias("t"), F.col("position").alias("p"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("text_hash")) & (F.col("t") == F.col("term")) & (F.col("p") == F.col("position"))
+    # Rows that repeat a document repeat its postings; a start counts its terms once.
+    found = expected.distinct().join(lists, same, "left_semi")
+    return found.groupBy(*KEY, "phrase_id", "length", "start", "wanted").agg(F.count("*").alias("n")).where("n = wanted").drop("n", "wanted")
+
+
+def exact_matches(documents: DataFrame, distinct: DataFrame) -> DataFrame:
+    """doc_id, text_hash, phrase_id, length, start of every occurrence of `distinct` (phrase_id, phrase) in keyed `documents`."""
+    distinct = cut(distinct.withColumn("length", F.size("phrase")))
+    # Phrases of fewer words than a term has are looked up by shorter terms, in an index of their own.
+    own = F.least("length", F.lit(TERM_WORDS))
+    sizes = sorted(r[0] for r in distinct.select(own).distinct().collect()) or [TERM_WORDS]
+    found = [_matches_of_size(documents, distinct.where(own == size), size) for size in sizes]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _by_rarity(distinct: DataFrame, frequency: DataFrame) -> DataFrame:
-    """phrase_id, phrase, plan: the phrase's terms as (n, place, term), rarest in the corpus first."""
+    """phrase_id, phrase, plan: the phrase's words as (n, place, term), rarest in the corpus first."""
     terms = distinct.select("phrase_id", F.posexplode("phrase").alias("place", "term")).join(frequency, "term", "left")
     plan = terms.groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term"))).alias("plan"))
     return distinct.join(plan, "phrase_id")
 
 
-def exact_matches(documents: DataFrame, distinct: DataFrame) -> DataFrame:
-    """doc_id, text_hash, phrase_id, start, length of every occurrence of `distinct` (phrase_id, phrase) in keyed `documents`."""
-    terms = cut(distinct.select(F.explode("phrase").alias("term")).distinct())
-    # Partial sums leave each task with one row per term; a very frequent word moves no more rows than a rare one.
-    frequency = documents.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    planned = cut(_by_rarity(distinct, frequency))
-    present = planned.where(F.col("plan")[0]["n"] > 0)
-    # The two rarest terms of every phrase that can occur at all.
-    seeds = cut(
-        present.select("phrase_id", F.explode(F.slice("plan", 1, 2)).alias("t"), F.least(F.size("plan"), F.lit(2)).alias("wanted")).select(
-            "phrase_id", "wanted", F.col("t.place").alias("place"), F.col("t.term").alias("term")
-        )
-    )
-    index = postings(documents, seeds.select("term").distinct())
-    started = index.join(seeds, "term").select(*KEY, "phrase_id", "wanted", (F.col("position") - F.col("place")).alias("start"))
-    # Intersection of the moved lists: a start is kept if each of the phrase's seeds names it.
-    starts = cut(started.where("start >= 0").groupBy(*KEY, "phrase_id", "wanted", "start").agg(F.count("*").alias("n")).where("n = wanted").drop("n", "wanted"))
-    # The lists of the other terms, for documents that are still in question.
-    asked = starts.select(*KEY).distinct()
-    left = documents.join(asked, _same(documents, asked), "left_semi")
-    rest = postings(left, terms)
-    places = present.select("phrase_id", F.size("plan").alias("length"), F.explode("plan").alias("t")).select("phrase_id", "length", F.col("t.place").alias("place"), F.col("t.term").alias("term"))
-    expected = starts.join(places, "phrase_id").select(*KEY, "phrase_id", "length", "start", "term", (F.col("start") + F.col("place")).alias("position"))
-    found = expected.join(rest, _same(expected, rest, "term", "position"), "left_semi")
-    return found.groupBy(*KEY, "phrase_id", "start", "length").agg(F.count("*").alias("n")).where("n = length").drop("n")
-
-
 def near_matches(documents: DataFrame, distinct: DataFrame, slack: int) -> DataFrame:
     """doc_id, text_hash, phrase_id, start, end: spans of at most the phrase's length plus `slack` words that hold all its distinct
     words in any order, cut to the first and last of them. The postings of the phrase's rarest term are the anchors; every window
