@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, oracles, secrets, warc
+from . import decontaminate, oracles, packing, quality_rules, secrets, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op4_warc_archive": oracles.WARC, "op5_decontamination": oracles.DECONTAMINATION}
@@ -48,3 +48,28 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
         secrets.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@_query
+def op1_token_files(spark: SparkSession, folder: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    files = scratch(spark)
+    token_files.write_tokens(_table(spark, folder, "documents"), files, public_tokenizers.path(tokenizer), end_id=1)
+    return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op3_best_fit_packing(spark: SparkSession, folder: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(tokenizer), end_id=2, capacity=1024)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@_query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    forest = quality_rules.fit_rules(docs, _table(spark, folder, "labels"))
+    judged = quality_rules.judge(docs.select("doc_id", "text"), forest)
+    return judged.select("doc_id", *[F.col("rules")[name].alias(name) for name in (*quality_rules.COUNTS, "base_failed", "kept")])
