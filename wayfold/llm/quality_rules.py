@@ -167,13 +167,14 @@ def fit(rows: np.ndarray, good: np.ndarray, trees: int = TREES, tree_rows: int =
     return forest
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, label: at most `rows` labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0), those with the smallest
-    hashes. Rows with a null id, text or label are left out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *more: str) -> DataFrame:
+    """doc_id, text, label and columns `more` of `docs`: at most `rows` labelled rows outside the held-out fold (crc32 of the id modulo 5 is
+    0), those with the smallest hashes. Rows with a null id, text or label are left out; of texts that share an id, the first in order is taken."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where((fold != 0) & F.col("label").isin(0, 1)).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(rows)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text", "label"), "doc_id", "text", "label").limit(rows)
+    found = docs.select("doc_id", F.struct("text", *more).alias("row")).where("row.text is not null").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("row").alias("row")).select("doc_id", "row.*", "label")
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Forest:

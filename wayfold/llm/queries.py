@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, oracles, packing, quality_rules, secrets, token_files, warc
+from . import decontaminate, factor_quality, near_copies, oracles, packing, quality_rules, secrets, substrings, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op4_warc_archive": oracles.WARC, "op5_decontamination": oracles.DECONTAMINATION}
@@ -73,3 +73,35 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     forest = quality_rules.fit_rules(docs, _table(spark, folder, "labels"))
     judged = quality_rules.judge(docs.select("doc_id", "text"), forest)
     return judged.select("doc_id", *[F.col("rules")[name].alias(name) for name in (*quality_rules.COUNTS, "base_failed", "kept")])
+
+
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+
+
+@_query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    machine = toxicity.fit_toxicity(docs, _table(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs, machine)
+    return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    machine = factor_quality.fit_quality(docs, _table(spark, folder, "labels"))
+    scored = factor_quality.score_quality(docs, machine)
+    return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op7_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_copies.near_copies(_table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.without_repeats(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
