@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """(node, component) for every node on an edge, the component being its smallest node.
 
     Alternating large-star and small-star rounds: logarithmically many even on long chains, and each round is a
-    minimum per node (reduced before the shuffle) joined back to the edges.
+    minimum per node (reduced before the shuffle) joined back to the edges. The minima are written before that join:
+    an aggregate on the join key would leave the rows of a hub in one task, plain tables can be split.
     """
     now = cut(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
@@ -26,10 +27,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     before = None
     while True:
         both = now.unionByName(_flip(now))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large.filter("u <> v").distinct())
+        small_min = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small_min.select("u", F.col("m").alias("v")))

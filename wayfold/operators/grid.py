@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geom import box_overlap, segment_hits_box
 from ..functions.maths import bucket
+from ..session import cut
 from .common import keep_first
 
 # Area modes and how finely a cell of each is divided.
@@ -71,16 +72,18 @@ def apply_selection(actions: DataFrame, valid: DataFrame | None = None, toggle:
 
     Assigning replaces the mode, so the last action counts. Toggling the mode a cell already has clears it: within
     the last run of equal modes the parity of the run decides. Both are aggregates per cell (the run starts after the
-    last action with another mode), so one busy cell is no problem. Cells not in `valid` are dropped.
+    last action with another mode) and written, so that the actions of one busy cell can be split. Cells not in `valid`
+    are dropped.
     """
     if valid is not None:
         actions = actions.join(valid.select("cell_id"), "cell_id", "left_semi")
     last = actions.groupBy("cell_id").agg(F.max_by("mode", "seq").alias("mode"))
     if not toggle:
         return last
+    last = cut(last)
     per_mode = actions.groupBy("cell_id", "mode").agg(F.max("seq").alias("_last"))
     other = per_mode.join(last.withColumnRenamed("mode", "_final"), "cell_id").filter("mode <> _final")
-    start = other.groupBy("cell_id").agg(F.max("_last").alias("_start"))
+    start = cut(other.groupBy("cell_id").agg(F.max("_last").alias("_start")))
     run = actions.join(last, ["cell_id", "mode"], "left_semi").join(start, "cell_id", "left")
     counted = run.filter(F.col("_start").isNull() | (F.col("seq") > F.col("_start"))).groupBy("cell_id", "mode").agg(F.count(F.lit(1)).alias("_n"))
     return counted.filter(F.col("_n") % 2 == 1).select("cell_id", "mode")

@@ -119,13 +119,14 @@ def _neighbour_values(ways: DataFrame, way_nodes: DataFrame, ends: DataFrame, co
     """(way_id, nid, nval): the value of the neighbour with the smallest id, for ways without one of their own.
 
     A neighbour touches an endpoint, has the same class and a readable value. One row per node and class (its smallest
-    neighbour) is all a way needs, so a crossing of any size costs one row per class.
+    neighbour) is all a way needs, so a crossing of any size costs one row per class. These rows are written, so that a
+    node with very many ways can be split.
     """
     known = ways.select("way_id", "highway", first_int(F.col(column)).alias("_v")).filter(
         F.col("_v").isNotNull() & F.col("highway").isin(*[c.lower() for c in WAY_CATEGORIES])
     )
-    offers = way_nodes.select("way_id", "node_id").join(known, "way_id").groupBy("node_id", "highway").agg(
-        F.min(F.struct("way_id", "_v")).alias("_offer")
+    offers = cut(
+        way_nodes.select("way_id", "node_id").join(known, "way_id").groupBy("node_id", "highway").agg(F.min(F.struct("way_id", "_v")).alias("_offer"))
     )
     asking = ways.filter(F.col(column).isNull()).select("way_id", "highway").join(ends, "way_id")
     asking = asking.select("way_id", "highway", F.explode(F.array_distinct(F.array("first_node", "last_node"))).alias("node_id"))
@@ -148,7 +149,7 @@ def impute_from_neighbours(ways: DataFrame, way_nodes: DataFrame) -> DataFrame:
     ends = way_topology(way_nodes).select("way_id", "first_node", "last_node")
     speed = _neighbour_values(ways, way_nodes, ends, "maxspeed").withColumnsRenamed({"nid": "speed_nid", "nval": "speed_nval"})
     lanes = _neighbour_values(ways, way_nodes, ends, "lanes").withColumnsRenamed({"nid": "lanes_nid", "nval": "lanes_nval"})
-    df = ways.join(means, "highway").join(speed, "way_id", "left").join(lanes, "way_id", "left")
+    df = ways.join(F.broadcast(means), "highway").join(speed, "way_id", "left").join(lanes, "way_id", "left")
 
     def source(raw, own, most, nid, nval, mean, band, fallback, unit, average) -> tuple[Column, Column]:
         missing, unread = raw.isNull(), own.isNull()
@@ -230,9 +231,10 @@ def provenance(ways: DataFrame) -> DataFrame:
 def split_ways(way_nodes: DataFrame) -> DataFrame:
     """Links (way_id, part, from_node, to_node, hops): ways cut at their ends and at nodes they share or revisit.
 
-    The windows run inside one way, whose node list the map format bounds at 2000.
+    The windows run inside one way, whose node list the map format bounds at 2000. The counts are written, so that a
+    node with very many ways can be split.
     """
-    uses = way_nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("_uses"))
+    uses = cut(way_nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("_uses")))
     inside = Window.partitionBy("way_id").orderBy("seq")
     marked = way_nodes.join(uses, "node_id").withColumns(
         {"_first": F.lag("seq").over(inside).isNull(), "_last": F.lead("seq").over(inside).isNull(), "_pos": F.row_number().over(inside)}
@@ -285,11 +287,14 @@ def _has_car(column: str) -> Column:
 def with_reverse(links: DataFrame, columns: list[str]) -> DataFrame:
     """Directed links with the given columns of their opposite direction (prefix `rev_`, NULL without one).
 
-    The two directions of a link are neighbours in a group of at most two rows, so one shuffle does and no join.
+    The rows of a link, a few, are one group, so one shuffle does and no join. Of parallel rows of the other direction the
+    one with the smallest values counts.
     """
-    pair = Window.partitionBy("no", F.least("from_node", "to_node"), F.greatest("from_node", "to_node")).orderBy("from_node")
+    pair = Window.partitionBy("no", F.least("from_node", "to_node"), F.greatest("from_node", "to_node"))
     value = F.struct(*columns)
-    other = links.withColumn("_other", F.coalesce(F.lag(value).over(pair), F.lead(value).over(pair)))
+    up, down = F.col("from_node") < F.col("to_node"), F.col("from_node") > F.col("to_node")
+    ends = links.withColumns({"_up": F.min(F.when(up, value)).over(pair), "_down": F.min(F.when(down, value)).over(pair)})
+    other = ends.withColumn("_other", F.when(up, F.col("_down")).when(down, F.col("_up"))).drop("_up", "_down")
     return other.withColumns({f"rev_{c}": F.col("_other")[c] for c in columns}).drop("_other")
 
 
@@ -544,6 +549,7 @@ NEAR_LEVELS = (
 )
 FAR_LEVELS = ((9, (0, 1, 2, 3, 4, 5, 9), 99, 500000.0, 3),)
 LAST_RESORT = 500000.0
+WEAKEST, ANY_CLASS = 5, 99
 
 
 def zone_category(zones: DataFrame, nodes: DataFrame, limit: float = 5000.0, farthest: float = LAST_RESORT) -> DataFrame:
@@ -576,23 +582,24 @@ def make_connectors(zones: DataFrame, nodes: DataFrame) -> DataFrame:
     for category, levels in (("Near", NEAR_LEVELS), ("Far", FAR_LEVELS)):
         offers = []
         for number, tiers, weakest, reach, count in levels:
-            ladder = [(weakest, reach)] + [(c, reach) for c in classes if c > weakest] + [(5, LAST_RESORT)]
+            ladder = [(weakest, reach)] + [(c, reach) for c in classes if c > weakest] + [(WEAKEST, LAST_RESORT)]
             rungs = F.array(*[F.struct(F.lit(c).alias("klass"), F.lit(float(r)).alias("reach")) for c, r in ladder])
             offer = F.struct(F.lit(number).alias("level"), F.lit(count).alias("k"), rungs.alias("rungs"))
             offers.append(F.when(F.col("type_no").isin(*tiers), offer))
         wanted = wanted.when(F.col("category") == category, F.array(*offers))
     tasks = zones.select("id", "x", "y", F.explode(F.filter(wanted, lambda o: o.isNotNull())).alias("_o"))
     waiting = cut(tasks.select(F.struct(F.col("_o.level").alias("level"), "id").alias("id"), "x", "y", "_o.k", "_o.rungs"))
-    usable = cut(
-        nodes.filter("reachable").select(F.col("node_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), "zk_type")
-    )
+    # A node serves its own class, all weaker ones and the open class, seven at most: a row for each.
+    asked = F.array(*[F.lit(c) for c in range(WEAKEST + 1)], F.lit(ANY_CLASS))
+    serves = F.explode(F.filter(asked, lambda c: c >= F.col("zk_type"))).alias("serves")
+    usable = cut(nodes.filter("reachable").select(F.col("node_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), serves))
     done, rung = None, 0
     most = 2 + len(classes)
     while rung < most and not waiting.isEmpty():
         here = waiting.filter(F.size("rungs") > rung).withColumns(
             {"klass": F.get("rungs", F.lit(rung)).klass, "reach": F.get("rungs", F.lit(rung)).reach}
         ).drop("rungs")
-        found = join_knn(here, usable, "k", reach="reach", match=F.col("zk_type") <= F.col("klass"))
+        found = join_knn(here, usable, "k", reach="reach", by=("klass", "serves"))
         found = cut(found.select("id", F.col("rid").alias("node_id"), "d"))
         done = found if done is None else done.unionByName(found)
         waiting = cut(waiting.join(found.select("id").distinct(), "id", "left_anti"))

@@ -159,7 +159,7 @@ def extract_pois(features: DataFrame, wanted: tuple[str, ...] = POI_TAGS) -> Dat
 
 
 def extract_nonresidential(areas: DataFrame, window: DataFrame) -> DataFrame:
-    """Areas of the catalogue clipped to a one-row window, one row per part.
+    """Areas of the catalogue clipped to the windows, one row per part and window.
 
     `areas` has id, tags and `parts`, an array of boxes.
     """

@@ -76,7 +76,7 @@ def cluster_summary(places: DataFrame, params: TierParams = TierParams()) -> Dat
     population, or of all members if none does. Members meet only in per-cluster aggregates.
     """
     total = places.groupBy("component").agg(F.sum(_own_pop()).alias("cluster_pop"), F.count(F.lit(1)).alias("members"))
-    total = total.filter("members > 1")
+    total = cut(total.filter("members > 1"))  # written, so that a large cluster can be split
     member = places.join(total, "component")
     member = member.withColumn("_enough", _own_pop() >= F.col("cluster_pop") * (params.dual_min_share / 100.0))
     person = F.struct("id", "name", F.col("pop").alias("pop"))
@@ -96,6 +96,7 @@ def cluster_primary(places: DataFrame, params: TierParams = TierParams()) -> Dat
     summary = cluster_summary(places, params).select(
         "component", F.col("primary.id").alias("_pid"), F.col("primary.name").alias("primary_name"), "cluster_pop", "members"
     )
+    summary = cut(summary)
     joined = places.join(summary, "component", "left")
     is_primary = F.col("id") == F.col("_pid")
     return joined.withColumns(
@@ -109,7 +110,7 @@ def cluster_primary(places: DataFrame, params: TierParams = TierParams()) -> Dat
 
 def cluster_partners(places: DataFrame, params: TierParams = TierParams()) -> DataFrame:
     """(id, partner, partner_name): the primary with each of its secondaries, and each secondary with its primary."""
-    summary = cluster_summary(places, params).select("component", F.col("primary.id").alias("pid"), F.col("primary.name").alias("pname"))
+    summary = cut(cluster_summary(places, params).select("component", F.col("primary.id").alias("pid"), F.col("primary.name").alias("pname")))
     member = places.select("component", "id", "name").join(summary, "component").filter("id <> pid")
     return member.select(F.col("pid").alias("id"), F.col("id").alias("partner"), F.col("name").alias("partner_name")).unionByName(
         member.select("id", F.col("pid").alias("partner"), F.col("pname").alias("partner_name"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geom import dist_euclid
 from ..functions.maths import bucket
+from ..session import cut
 
 KEY = ["col", "row_no"]
 
@@ -56,7 +57,8 @@ def rasterize(boxes: DataFrame, cell: float, value: Column, order: Column, touch
         last = lambda c: F.ceil(F.col(c) / cell - 0.5) - 1
     span = lambda low, high: F.when(last(high) >= first(low), F.sequence(first(low), last(high)))
     burnt = boxes.select(value.alias("value"), order.alias("_order"), span("xmin", "xmax").alias("_cols"), span("ymin", "ymax").alias("_rows"))
-    burnt = burnt.select("value", "_order", "_rows", F.explode("_cols").alias("col"))
+    # A huge box is dealt out by its columns before they are filled.
+    burnt = burnt.select("value", "_order", "_rows", F.explode("_cols").alias("col")).repartition("col")
     burnt = burnt.select("value", "_order", "col", F.explode("_rows").alias("row_no"))
     return burnt.groupBy(*KEY).agg(F.max_by("value", "_order").alias("value"))
 
@@ -172,11 +174,10 @@ def fill_zero(px: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def frame_of(px: DataFrame) -> DataFrame:
-    """Every pixel of the raster's extent (rows generated from the column and row ranges)."""
+    """Every pixel of the raster's extent: the columns are dealt to the tasks before each makes its rows."""
     ext = px.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row_no").alias("r0"), F.max("row_no").alias("r1"))
-    return ext.select(F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1").select(
-        "col", F.explode(F.sequence("r0", "r1")).alias("row_no")
-    )
+    columns = ext.select(F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1").repartition("col")
+    return columns.select("col", F.explode(F.sequence("r0", "r1")).alias("row_no"))
 
 
 def stack(rasters: dict[str, DataFrame]) -> DataFrame:
@@ -199,11 +200,14 @@ def buffer_sum(points: DataFrame, px: DataFrame, cell: float, radius: float) ->
     """(id, buf_sum): sum of the pixels whose centre is within `radius` of each point.
 
     Pixels are packed into square tiles about one radius wide (an array per tile, bounded by its area), so a point
-    meets nine tile rows instead of every pixel around it.
+    meets nine tile rows instead of every pixel around it. The tiles are written, so that a tile with very many points
+    can be split.
     """
     side = max(1, math.ceil(radius / cell))
-    tiles = px.groupBy(F.floor(F.col("col") / side).alias("tc"), F.floor(F.col("row_no") / side).alias("tr")).agg(
-        F.collect_list(F.struct("col", "row_no", "value")).alias("_px")
+    tiles = cut(
+        px.groupBy(F.floor(F.col("col") / side).alias("tc"), F.floor(F.col("row_no") / side).alias("tr")).agg(
+            F.collect_list(F.struct("col", "row_no", "value")).alias("_px")
+        )
     )
     width = side * cell
     axis = lambda c: F.sequence(bucket(F.col(c), width) - 1, bucket(F.col(c), width) + 1)

@@ -174,10 +174,6 @@ def join_circle_boxes(circles: DataFrame, boxes: DataFrame, radius: float, size:
 # ---- nearest neighbours ------------------------------------------------------------------------------------------------
 
 
-# Right tables above this size are searched by cell extents first once the buckets have grown.
-CROWD = 2000
-
-
 def join_knn(
     left: DataFrame,
     right: DataFrame,
@@ -186,19 +182,24 @@ def join_knn(
     exclude_same: bool = False,
     skip: DataFrame | None = None,
     reach: str | None = None,
-    match: Column | None = None,
+    by: tuple[str, str] | None = None,
 ) -> DataFrame:
     """The k nearest right points of each left point, as rows (left columns, right columns, d, nth).
 
     Left needs id, x, y; right rid, rx, ry. Ties go to the smaller rid. `k` and `reach` (a greatest distance) may name
-    left columns; `match` is a further condition on a pair, and `skip` lists (id, rid) pairs that do not count.
+    left columns, `skip` lists (id, rid) pairs that do not count, and `by` names a left and a right column that must be
+    equal (a right point that serves several classes has a row for each).
 
-    Each left point looks into the 3 x 3 buckets around it, on a bucket width chosen from the local crowding (so
-    that a crowded bucket is searched on a finer grid); its answer is final once the k-th distance is within one
-    bucket width. Points without a final answer move on to wider buckets.
+    Each left point looks into the 3 x 3 buckets of its class around it, on a bucket width chosen from the local crowding
+    (so that a crowded bucket is searched on a finer grid); its answer is final once the k-th distance is within one
+    bucket width. Points without a final answer move on to wider buckets, of which only the cells that can matter are read.
     """
     limit = F.lit(k) if isinstance(k, int) else F.col(k)
     most = k if isinstance(k, int) else None
+    keys = ["_class", "bx", "by"]
+    left_columns, rcols = left.columns, right.columns
+    left = left.withColumn("_class", F.col(by[0]) if by else F.lit(0))
+    right = right.withColumn("_class", F.col(by[1]) if by else F.lit(0))
     facts = right.agg(
         F.count(F.lit(1)).alias("n"), F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
     ).first()
@@ -206,7 +207,7 @@ def join_knn(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(limit).alias("k")
     ).first()
     if not facts.n or spans.x0 is None:
-        return left.join(right, F.lit(False)).withColumns({"d": F.lit(0.0), "nth": F.lit(0)})
+        return left.select(*left_columns).join(right.select(*rcols), F.lit(False)).withColumns({"d": F.lit(0.0), "nth": F.lit(0)})
     extent = max(max(facts.x1, spans.x1) - min(facts.x0, spans.x0), max(facts.y1, spans.y1) - min(facts.y0, spans.y0), 1.0)
     area = max((facts.x1 - facts.x0) * (facts.y1 - facts.y0), 1.0)
     wanted = max(most or 4, 1)
@@ -216,38 +217,37 @@ def join_knn(
         base = min(base, max_distance)
 
     # Levels below 0 halve the width where the local bucket holds many right points.
-    finest = 0
-    waiting = left.withColumn("_level", F.lit(0))
-    if facts.n > 64 * wanted:
-        crowd = (
-            right.groupBy(bucket(F.col("rx"), base).alias("bx"), bucket(F.col("ry"), base).alias("by"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .select("bx", "by", F.floor(F.log2(F.greatest(F.col("_n") / float(16 * wanted), F.lit(1.0))) / 2).cast("int").alias("_fine"))
-            .filter("_fine > 0")
-        )
-        finest = crowd.agg(F.max("_fine")).first()[0] or 0
-        if finest:
-            waiting = with_bucket(left, base).join(crowd, ["bx", "by"], "left").drop("bx", "by")
-            waiting = waiting.withColumn("_level", -F.coalesce("_fine", F.lit(0))).drop("_fine")
-    pool = right
+    crowd = cut(
+        right.groupBy("_class", bucket(F.col("rx"), base).alias("bx"), bucket(F.col("ry"), base).alias("by"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, F.floor(F.log2(F.greatest(F.col("_n") / float(16 * wanted), F.lit(1.0))) / 2).cast("int").alias("_fine"))
+        .filter("_fine > 0")
+    )
+    finest = crowd.agg(F.max("_fine")).first()[0] or 0
+    waiting = with_bucket(left, base).join(crowd, keys, "left").drop("bx", "by")
+    # How many right points a search has to allow for beyond k: those that are there but do not count.
+    extra = F.lit(1 if exclude_same else 0)
+    if skip is not None:
+        passed = skip.groupBy("id").agg(F.count(F.lit(1)).alias("_passed"))
+        waiting = waiting.join(passed, "id", "left")
+        extra = extra + F.coalesce("_passed", F.lit(0))
+    waiting = waiting.withColumns({"_level": -F.coalesce("_fine", F.lit(0)), "_need": (limit + extra).cast("long")})
+    waiting = waiting.select(*left_columns, "_class", "_level", "_need")
     done = None
     level = -finest
-    rcols = right.columns
     while True:
         size = base * 2.0**level
         last = size >= extent
         now = waiting.filter(F.col("_level") <= level)
-        if level > 0 and facts.n > CROWD and match is None and skip is None:
-            near = _candidates_by_cell(now, pool, size, limit + (1 if exclude_same else 0))
+        if level > 0:
+            near = _candidates_by_cell(now, right, size)
         else:
-            near = with_bucket(now, size).join(_spread(pool, _cells(size, 1, "rx", "ry")), ["bx", "by"]).drop("bx", "by")
+            near = with_bucket(now, size).join(_spread(right, _cells(size, 1, "rx", "ry")), keys).drop("bx", "by")
         near = near.withColumn("d", dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")))
         if max_distance is not None:
             near = near.filter(F.col("d") <= max_distance)
         if reach is not None:
             near = near.filter(F.col("d") <= F.col(reach))
-        if match is not None:
-            near = near.filter(match)
         if exclude_same:
             near = near.filter(F.col("id") != F.col("rid"))
         if skip is not None:
@@ -271,11 +271,11 @@ def join_knn(
             break
         # Points still open have sparse surroundings, so the width may grow faster.
         level += 1 if level < 0 else 2
-    return left.join(done, "id")
+    return left.select(*left_columns).join(done, "id")
 
 
-def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float, need: Column) -> DataFrame:
-    """Left rows with the right points of the fine cells around them that can hold one of the nearest `need`.
+def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Left rows with the right points of the fine cells around them that can hold one of the nearest `_need`.
 
     The 3 x 3 buckets are looked at as at most 48 x 48 fine cells with their extents and counts: the cells that surely
     hold enough points bound the distance, and cells that begin beyond it are skipped. A left point far from a crowd
@@ -283,7 +283,7 @@ def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float, need: Co
     """
     fine = size / 16.0
     keyed = right.withColumns({"_sx": bucket(F.col("rx"), fine), "_sy": bucket(F.col("ry"), fine)})
-    cells = keyed.groupBy("_sx", "_sy").agg(
+    cells = keyed.groupBy("_class", "_sx", "_sy").agg(
         F.count(F.lit(1)).alias("n"), F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
     )
     steps = F.sequence(F.lit(-1), F.lit(1))
@@ -291,7 +291,7 @@ def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float, need: Co
         F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(
             (F.floor(F.col("_sx") / 16) + i).alias("bx"), (F.floor(F.col("_sy") / 16) + j).alias("by"))))
     )
-    pairs = with_bucket(left.select("id", "x", "y", need.alias("_need")), size).join(_spread(cells, around), ["bx", "by"])
+    pairs = with_bucket(left.select("id", "x", "y", "_class", "_need"), size).join(_spread(cells, around), ["_class", "bx", "by"])
     x, y = F.col("x"), F.col("y")
     wide = F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1")))
     high = F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1")))
@@ -309,14 +309,16 @@ def _candidates_by_cell(left: DataFrame, right: DataFrame, size: float, need: Co
     limited = lists.withColumn("_u", F.aggregate("_l", start, bound)["u"])
     open_cells = limited.select("id", F.explode(F.filter("_l", lambda e: e["near"] <= F.col("_u"))).alias("_c"))
     wanted = left.join(open_cells.select("id", "_c._sx", "_c._sy"), "id")
-    return wanted.join(keyed, ["_sx", "_sy"]).drop("_sx", "_sy")
+    return wanted.join(keyed, ["_class", "_sx", "_sy"]).drop("_sx", "_sy")
 
 
 # ---- existence questions --------------------------------------------------------------------------------------------------
 
 
-# Undecided cases are compared point by point up to this many pairs; beyond it cells are halved first.
-PAIRS = 50_000_000
+# A cell of so many points is compared point by point where it leaves a question open; larger ones are halved first.
+FEW = 256
+# Halvings after which points are as good as in one place.
+DEEPEST = 40
 
 
 def _cell_summary(others: DataFrame, keys: list[str]) -> DataFrame:
@@ -344,9 +346,9 @@ def exists_within(left: DataFrame, right: DataFrame, radius: float, key: str = "
 
     With `margin` (a column of both sides) a right point counts only if its value is larger than the left one's.
     Fine cells are narrower than the radius, so one summary row per cell decides most points: by the cell's strongest
-    point, or because its farthest corner is within the radius or its nearest is not. The rest is compared point by
-    point if that is a bounded number of pairs; otherwise the cells are halved and judged again, level by level, so
-    that a crowded cell is only looked at along the circle around the point.
+    point, or because its farthest corner is within the radius or its nearest is not. What a cell of a few points leaves
+    open is compared point by point; larger cells are halved and judged again, level by level, so that a crowded cell is
+    only looked at along the circle around the point.
     """
     size = radius / 1.5 if radius > 0 else 1.0
     value = F.col(margin).cast("double") if margin else F.lit(1.0)
@@ -367,9 +369,13 @@ def exists_within(left: DataFrame, right: DataFrame, radius: float, key: str = "
     found = verdicts.filter("_sure").select(key)
     state = verdicts.filter("NOT _sure").select(key, "x", "y", "_v", F.explode("_open").alias("_c"))
     state = state.select(key, "x", "y", "_v", F.col("_c.ox").alias("bx"), F.col("_c.oy").alias("by"), F.col("_c._n").alias("_n"))
-    level = 0
-    while (state.agg(F.sum("_n")).first()[0] or 0) > PAIRS:
-        level += 1
+    close = (dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")) <= radius) & (F.col("_rv") > F.col("_v"))
+    for level in range(1, DEEPEST + 1):
+        small = state if level == DEEPEST else state.filter(F.col("_n") <= FEW)
+        found = found.unionByName(small.join(others, ["bx", "by"]).filter(close).select(key))
+        state = cut(state.filter(F.col("_n") > FEW))
+        if level == DEEPEST or state.isEmpty():
+            break
         half = size / float(2**level)
         fine = others.withColumns({"fx": bucket(F.col("rx"), half), "fy": bucket(F.col("ry"), half)})
         fine = fine.withColumns({"bx": F.floor(F.col("fx") / 2), "by": F.floor(F.col("fy") / 2)})
@@ -379,9 +385,7 @@ def exists_within(left: DataFrame, right: DataFrame, radius: float, key: str = "
         found = found.unionByName(settled)
         state = cut(inner.filter("NOT _sure").drop("_sure").join(settled, key, "left_anti"))
         others = others.withColumns({"bx": bucket(F.col("rx"), half), "by": bucket(F.col("ry"), half)})
-    close = (dist_euclid(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")) <= radius) & (F.col("_rv") > F.col("_v"))
-    compared = state.join(others, ["bx", "by"]).filter(close).select(key)
-    return found.unionByName(compared).distinct()
+    return found.distinct()
 
 
 def not_dominated(df: DataFrame, radius: float, strength: str, key: str = "id") -> DataFrame:
@@ -416,12 +420,17 @@ def clip_to_buffered_outline(points: DataFrame, outlines: DataFrame, reach: floa
     return keyed.join(spread, cond, "left_semi").drop("bx", "by")
 
 
-def clip_boxes(boxes: DataFrame, window: DataFrame) -> DataFrame:
-    """Boxes cut to a one-row window (wxmin, wxmax, wymin, wymax); boxes outside are dropped."""
-    cutbox = boxes.join(F.broadcast(window.limit(1))).withColumns(
+def clip_boxes(boxes: DataFrame, windows: DataFrame) -> DataFrame:
+    """Boxes cut to each window (wxmin, wxmax, wymin, wymax) they overlap; boxes outside all windows are dropped.
+
+    The bucket is the mean side of the windows.
+    """
+    side = windows.agg(F.avg((F.col("wxmax") - F.col("wxmin") + F.col("wymax") - F.col("wymin")) / 2).alias("s")).first().s
+    named = windows.select(*[F.col(f"w{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+    pairs = join_intersects(boxes, named, float(side or 1.0)).withColumns(
         {
-            "xmin": F.greatest("xmin", "wxmin"), "xmax": F.least("xmax", "wxmax"),
-            "ymin": F.greatest("ymin", "wymin"), "ymax": F.least("ymax", "wymax"),
+            "xmin": F.greatest("xmin", "rxmin"), "xmax": F.least("xmax", "rxmax"),
+            "ymin": F.greatest("ymin", "rymin"), "ymax": F.least("ymax", "rymax"),
         }
     )
-    return cutbox.filter("xmin < xmax AND ymin < ymax").drop("wxmin", "wxmax", "wymin", "wymax")
+    return pairs.filter("xmin < xmax AND ymin < ymax").select(*boxes.columns)

@@ -44,7 +44,7 @@ def populated(v):
     """E2 cells with the population of the places inside."""
     e2 = grid.nested_grid(centers(v), RADIUS_KM, CELL)
     c = centers(v)
-    at = v.places.join(F.broadcast(c.limit(1)))  # one row
+    at = v.places.join(F.broadcast(c))  # an aggregate without groups: one row
     located = grid.locate_cells(at, CELL, RADIUS_KM, F.col("cx"), F.col("cy"))
     sums = located.groupBy("NO").agg(F.sum("pop").alias("POP"))
     return e2.join(sums, "NO", "left").withColumn("POP", F.coalesce("POP", F.lit(0)))
@@ -54,7 +54,7 @@ LEVELS = f"""WITH e AS ({E2}), p AS (SELECT e.*, coalesce(s.pop, 0) AS pop FROM
       ON q.x >= e.xmin AND q.x < e.xmax AND q.y > e.ymin AND q.y <= e.ymax GROUP BY 1) s ON s.no = e.NO)
     SELECT 0 AS level, NO_E0 AS zone_no, CAST(min(xmin) AS DOUBLE) AS xmin, CAST(max(ymax) AS DOUBLE) AS ymax, CAST(sum(pop) AS BIGINT) AS pop FROM p GROUP BY NO_E0
     UNION ALL SELECT 1, NO_E1, CAST(min(xmin) AS DOUBLE), CAST(max(ymax) AS DOUBLE), CAST(sum(pop) AS BIGINT) FROM p GROUP BY NO_E1
-    UNION ALL SELECT 2, NO, CAST(xmin AS DOUBLE), CAST(ymax AS DOUBLE), CAST(pop AS BIGINT) FROM p WHERE pop > 0"""
+    UNION ALL SELECT 2, NO, CAST(xmin AS DOUBLE), CAST(ymax AS DOUBLE), CAST(pop AS BIGINT) FROM p"""
 
 
 @register("J01_grid_levels_with_population", LEVELS)
@@ -63,8 +63,6 @@ def levels(v):
     out = None
     for level in (0, 1, 2):
         layer = grid.grid_level(e2, level)
-        if level == 2:
-            layer = layer.filter("POP > 0")
         layer = layer.select(F.lit(level).alias("level"), F.col("NO").cast("long").alias("zone_no"), "xmin", "ymax", F.col("POP").alias("pop"))
         out = layer if out is None else out.unionByName(layer)
     return out

@@ -24,7 +24,7 @@ def classified(v):
 
 def located(v, points):
     """Points with the numbers of the study grid's cells."""
-    at = points.join(F.broadcast(centers(v).limit(1)))  # one row
+    at = points.join(F.broadcast(centers(v)))  # an aggregate without groups: one row
     return grid.locate_cells(at, CELL, RADIUS_KM, F.col("cx"), F.col("cy")).drop("cx", "cy")
 
 
