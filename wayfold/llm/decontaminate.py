@@ -174,3 +174,16 @@ def contamination(docs: DataFrame, tests: DataFrame, size: int = 10) -> DataFram
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
     )
+
+
+def clean(docs: DataFrame, tests: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any others) without a hit by a window of `tests`, with all their columns. Defined for odd rows as in
+    `contamination`; an empty table of tests keeps all rows."""
+    documents = keyed(docs)
+    windows = phrases(tests, size).select("phrase").distinct()
+    matches = exact_matches(documents, numbered(windows))
+    hit = cut(matches.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(own, F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("hit_hash"))
+    return rows.join(hit, same, "left_anti").select("row.*")
