@@ -28,7 +28,7 @@ from .words import BASE, mixed, rolled, within, word_hashes
 WINDOW = 50
 ANCHOR = 10
 #: Stretches per shard, and how many an anchor may have before its windows are dealt one by one.
-SHARD = 12_000
+SHARD = 5_000
 CROWD = 2_000
 KEY = ["doc_id", "text_hash"]
 STRETCH = "doc_id long, text_hash long, anchor long, low int, high int, content long"
@@ -109,21 +109,24 @@ class Index:
         self.alphabet, codes = np.unique(flat, return_inverse=True)
         # Zero parts the strings and ends the last; no pattern has it.
         ends = np.cumsum(lengths + 1) - 1
-        text = np.zeros(int(lengths.sum() + len(strings)), np.int64)
+        text = np.zeros(int(lengths.sum() + len(strings)), np.int32)
         inside = np.ones(len(text), bool)
         inside[ends] = False
         text[inside] = codes + 1
         n = len(text)
         self.text, self.begin, self.lengths = text, ends - lengths, lengths
         # Suffixes in the order of their first `depth` numbers, by doubling: enough for patterns of `size`.
-        ranks, depth, by_depth = text, 1, {}
+        half = 1 << (size - 1).bit_length() - 1 if size > 1 else 1
+        ranks, depth = text, 1
         while depth < size + 1:
-            by_depth[depth] = ranks
-            key = ranks * (int(ranks.max()) + 2)
+            if depth == half:
+                at_half = ranks
+            key = ranks * np.int64(int(ranks.max()) + 2)
             key[: n - depth] += ranks[depth:] + 1
-            order = np.argsort(key, kind="stable")
-            ranks = np.empty(n, np.int64)
-            ranks[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            ranks = np.empty(n, np.int32)
+            ranks[order] = np.concatenate([np.zeros(1, np.int32), np.cumsum(key[1:] != key[:-1], dtype=np.int32)])
             depth *= 2
         self.order = order
         before = text[order - 1]
@@ -131,9 +134,8 @@ class Index:
         self.levels = max(1, int(len(self.alphabet)).bit_length())
         self.matrix = WaveletMatrix(before, self.levels)
         # Blocks of suffixes that agree in their first size - 1 (and size) numbers: two overlapping runs of half the depth tell.
-        half = max(d for d in by_depth if d <= size - 1)
-        self.shorter = self._blocks(by_depth[half], size - 1 - half)
-        whole = self._blocks(by_depth[half], size - half) if size <= 2 * half else self._blocks(ranks, 0)
+        self.shorter = self._blocks(at_half, size - 1 - half)
+        whole = self._blocks(at_half, size - half) if size <= 2 * half else self._blocks(ranks, 0)
         of_text = np.repeat(np.arange(len(strings)), lengths + 1)
         edges = np.unique(whole[0])
         self.least = edges, np.minimum.reduceat(owners[of_text[order]], edges)
@@ -141,7 +143,7 @@ class Index:
     def _blocks(self, ranks: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each suffix's block, by place in the order."""
         a = ranks[self.order]
-        moved = np.full(len(ranks), -1)
+        moved = np.full(len(ranks), -1, np.int32)
         moved[: len(ranks) - shift] = ranks[shift:]
         b = moved[self.order]
         new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])
@@ -171,7 +173,7 @@ class Index:
             active = int(np.searchsorted(-sizes, -step, side="left"))  # strings longer than `step`
             rows = order[:active]
             place = sizes[:active] - 1 - step
-            value = self.text[self.begin[rows] + place]
+            value = self.text[self.begin[rows] + place].astype(np.int64)
             full = matched[:active] == self.size
             low[:active] = np.where(full, self.shorter[0][low[:active]], low[:active])
             high[:active] = np.where(full, self.shorter[1][np.maximum(high[:active] - 1, 0)], high[:active])
