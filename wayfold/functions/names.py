@@ -22,13 +22,26 @@ def name_base(name: Column) -> Column:
     return F.array_join(F.slice(F.split(text, " "), 1, 3), " ")
 
 
+# What is cut from region names, cities and file names, and the name of a region without one.
+LINE_BREAK = r"(?i)<br\s*/?>"
+COUNTRY_PREFIX = r"^[a-z]{2,3}/"
+NO_REGION_NAME = "unbekannter_name"
+
+
+def title_case(text: Column) -> Column:
+    """Every letter that follows a non-letter in upper case, all others in lower case."""
+    mark = "\u0001 "
+    parted = F.regexp_replace(F.lower(text), r"(?<=[^\p{L}\s])(?=\p{L})", mark)
+    return F.replace(F.initcap(parted), F.lit(mark), F.lit(""))
+
+
 def clean_region_name(name: Column) -> Column:
     """Readable region name: no line-break markup, no country prefix, no punctuation, title case."""
-    text = F.regexp_replace(name, r"(?i)<br\s*/?>", " ")
-    text = F.regexp_replace(text, r"^[a-z]{2,3}/", "")
+    text = F.regexp_replace(name, LINE_BREAK, " ")
+    text = F.regexp_replace(text, COUNTRY_PREFIX, "")
     text = F.regexp_replace(F.regexp_replace(text, "-", " "), r"[^\p{L}\p{N}_\s]", " ")
-    text = F.trim(F.regexp_replace(F.initcap(text), r"\s+", " "))
-    return F.coalesce(text, F.lit("unbekannter_name"))
+    text = F.trim(F.regexp_replace(title_case(text), r"\s+", " "))
+    return F.coalesce(text, F.lit(NO_REGION_NAME))
 
 
 def clean_city(address: Column) -> Column:

@@ -32,16 +32,27 @@ TYPE_ABBREVIATIONS = {
     "Re": "Residential", "Link Mo": "Motorway_link", "Link Tr": "Trunk_link", "Link Pr": "Primary_link",
     "Link Se": "Secondary_link", "Link Te": "Tertiary_link",
 }
+# Full link type names and their categories.
+TYPE_NAMES = {
+    "Motorway, 4 lanes": "Motorway", "Motorway, 3 lanes": "Motorway", "Motorway, 2 lanes": "Motorway", "Motorway, 1 lane": "Motorway",
+    "Motorway_link, 2 lanes": "Motorway_link", "Motorway_link, 1 lane": "Motorway_link", "Motorway_link": "Motorway_link",
+    "Trunk, 3 lanes": "Trunk", "Trunk, 2 lanes": "Trunk", "Trunk, 1 lane": "Trunk",
+    "Trunk_link, 2 lanes": "Trunk_link", "Trunk_link, 1 lane": "Trunk_link", "Trunk_link": "Trunk_link",
+    "Primary, 3 lanes": "Primary", "Primary, 2 lanes": "Primary", "Primary, 1 lane": "Primary", "Primary_link": "Primary_link",
+    "Secondary, 2 lanes": "Secondary", "Secondary, 1 lane": "Secondary", "Secondary_link": "Secondary_link",
+    "Tertiary, 2 lanes": "Tertiary", "Tertiary, 1 lane": "Tertiary", "Tertiary_link": "Tertiary_link",
+    "Unclassified, 1 lane": "Unclassified", "Blocked Oneway": "Blocked Oneway", "Construction": "Construction",
+    "Residential": "Residential", "Road": "Road", "Living_Street": "Living_Street", "Service": "Service",
+    "Footway/Pedestrian": "Footway/Pedestrian", "Steps": "Steps", "Path": "Path", "Cycleway": "Cycleway", "Track": "Track",
+    "General rail": "General rail", "Rail": "Rail", "Light rail": "Light rail", "Subway": "Subway", "Tram": "Tram",
+    "Ferry": "Ferry", "Ferry_Access": "Ferry_Access", "UnknownByImporter(Default)": "UnknownByImporter",
+    "ZK_Hilfsstrecken": "ZK_Hilfsstrecken",
+}
 STRUCTURED = (
     "Motorway", "Trunk", "Primary", "Secondary", "Tertiary", "Unclassified", "Motorway_link", "Trunk_link",
     "Primary_link", "Secondary_link", "Tertiary_link",
 )
 WAY_CATEGORIES = STRUCTURED + ("Residential",)
-SIMPLE = (
-    "Blocked Oneway", "Construction", "Residential", "Road", "Living_Street", "Service", "Footway/Pedestrian", "Steps",
-    "Path", "Cycleway", "Track", "General rail", "Rail", "Light rail", "Subway", "Tram", "Ferry", "Ferry_Access",
-    "ZK_Hilfsstrecken",
-)
 
 
 def regional_means(ways: DataFrame) -> DataFrame:
@@ -59,19 +70,21 @@ def regional_means(ways: DataFrame) -> DataFrame:
     )
 
 
+def _full_name(name: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])[name]
+
+
 def type_category(name: Column) -> Column:
-    """Category of a target link type from the abbreviation its name starts with (the name itself without one)."""
+    """Category of a target link type: by its full name, else the abbreviation it starts with, else the name itself."""
     words = F.split(name, " ")
     table = F.create_map(*[F.lit(x) for pair in TYPE_ABBREVIATIONS.items() for x in pair])
     two = F.when(F.size(words) > 1, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
-    return F.coalesce(table[F.coalesce(two, F.lit(""))], table[F.get(words, F.lit(0))], name)
+    return F.coalesce(_full_name(name), table[F.coalesce(two, F.lit(""))], table[F.get(words, F.lit(0))], name)
 
 
 def old_type_category(name: Column) -> Column:
-    """Category of an importer link type: the part of its name before the lane count."""
-    stem = F.regexp_replace(name, r", \d+ lanes?$", "")
-    known = F.when(stem.isin(*STRUCTURED), stem).when(name.isin(*SIMPLE), name)
-    return F.coalesce(known, F.when(name == "UnknownByImporter(Default)", "UnknownByImporter"), F.lit("Unknown"))
+    """Category of an importer link type by its full name."""
+    return F.coalesce(_full_name(name), F.lit("Unknown"))
 
 
 def target_types(types: DataFrame) -> DataFrame:

@@ -156,10 +156,10 @@ def zone_fallback(v):
 
 @register(
     "C04_points_intersecting_layer",
-    "SELECT n.node_id FROM {nodes} n WHERE EXISTS (SELECT 1 FROM {blocks} b WHERE n.x >= b.xmin AND n.x < b.xmax AND n.y >= b.ymin AND n.y < b.ymax AND b.xmax - b.xmin > 1800)",
+    "SELECT n.node_id FROM {nodes} n WHERE EXISTS (SELECT 1 FROM {blocks} b WHERE n.x >= b.xmin AND n.x < b.xmax AND n.y >= b.ymin AND n.y < b.ymax)",
 )
 def semi_join(v):
-    return spatial.semi_join_spatial(v.nodes, v.blocks.filter("xmax - xmin > 1800"), 4500.0).select("node_id")
+    return spatial.semi_join_spatial(v.nodes, v.blocks, 4500.0).select("node_id")
 
 
 REGION_TABLE = """SELECT CASE WHEN n_regionkey = 4 THEN concat('r4/n', CAST(n_nationkey AS VARCHAR(5))) ELSE concat('n', CAST(n_nationkey AS VARCHAR(5))) END AS id,

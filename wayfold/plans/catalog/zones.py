@@ -31,13 +31,12 @@ def crop(v):
 
 DENSITY = """SELECT col, row_no, sum(w * (1 - q) * (1 - q)) AS value FROM (SELECT col, row_no, w, (((col + 0.5) * 500 - x) * ((col + 0.5) * 500 - x) + ((row_no + 0.5) * 500 - y) * ((row_no + 0.5) * 500 - y))::DOUBLE / 4000000 AS q
     FROM (SELECT (p.col + 0.5) * 500 AS x, (p.row_no + 0.5) * 500 AS y, p.value AS w, p.col + dc AS col, p.row_no + dr AS row_no FROM {pixels} p, (SELECT unnest(range(-4, 5)) AS dc) i, (SELECT unnest(range(-4, 5)) AS dr) j) k) z WHERE q <= 1 GROUP BY 1, 2"""
-# Zones without any place: the northern half keeps only the populous ones.
-SPARSE = "SELECT id, x, y FROM {places} WHERE y < 150000 OR pop > 300000"
+PLACED = "SELECT id, x, y FROM {places}"
 
 
 @register(
     "Z01_admin_points",
-    f"""WITH z AS ({CROPPED}), pl AS ({SPARSE}), a AS (SELECT z.zone_no, p.id, p.x, p.y, {rnd('''(SELECT coalesce(sum(q.value), 0) FROM {pixels} q WHERE
+    f"""WITH z AS ({CROPPED}), pl AS ({PLACED}), a AS (SELECT z.zone_no, p.id, p.x, p.y, {rnd('''(SELECT coalesce(sum(q.value), 0) FROM {pixels} q WHERE
           sqrt(((q.col + 0.5) * 500 - p.x) * ((q.col + 0.5) * 500 - p.x) + ((q.row_no + 0.5) * 500 - p.y) * ((q.row_no + 0.5) * 500 - p.y)) <= 4000)''', 6)} AS buf
           FROM z JOIN pl p ON p.x >= z.xmin AND p.x < z.xmax AND p.y >= z.ymin AND p.y < z.ymax WHERE z.area > 0),
         a1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone_no ORDER BY buf DESC, id) AS rn FROM a) t WHERE rn = 1),
@@ -46,7 +45,7 @@ SPARSE = "SELECT id, x, y FROM {places} WHERE y < 150000 OR pop > 300000"
         SELECT zone_no, x, y, 1 AS src_priority FROM a1 UNION ALL SELECT zone_no, CAST(x AS DOUBLE), CAST(y AS DOUBLE), 2 FROM b WHERE rn = 1 AND zone_no NOT IN (SELECT zone_no FROM a1)""",
 )
 def admin_points(v):
-    return ops.admin_points(cropped(v), v.sql(SPARSE), v.pixels, 500.0, SIZE).select("zone_no", "x", "y", "src_priority")
+    return ops.admin_points(cropped(v), v.sql(PLACED), v.pixels, 500.0, SIZE).select("zone_no", "x", "y", "src_priority")
 
 
 CENTRES = "SELECT no AS zone_no, x / 2.5 AS x, y / 2.5 AS y FROM {tier_zones}"
