@@ -401,3 +401,13 @@ def test_components_of_a_hub(spark):
     edges = spark.range(3000).selectExpr("5000 AS u", "id AS v")
     found = graph.connected_components(edges, "u", "v").collect()
     assert len(found) == 3001 and {r.component for r in found} == {0}
+
+
+def test_outlines_with_holes(spark):
+    from wayfold.operators import osm
+
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    rings = spark.createDataFrame([(square(0.0, 100.0), False), (square(20.0, 80.0), True)], "ring array<struct<x: double, y: double>>, hole boolean")
+    pts = points(spark, [(1, 10.0, 10.0), (2, 50.0, 50.0), (3, 25.0, 50.0), (4, 104.0, 50.0), (5, 200.0, 50.0)])
+    assert sorted(r.id for r in osm.extract_within(pts, rings, 30.0).collect()) == [1]
+    assert sorted(r.id for r in spatial.clip_to_buffered_outline(pts, rings, 6.0, 30.0).collect()) == [1, 3, 4]

@@ -79,7 +79,14 @@ def referenced_nodes(nodes: DataFrame, way_nodes: DataFrame, ways: DataFrame) ->
 
 
 def extract_within(points: DataFrame, outline: DataFrame, size: float) -> DataFrame:
-    """Points inside some ring of `outline` (column `ring`)."""
+    """Points inside some ring of `outline` (column `ring`) and, if it has a column `hole`, inside no ring marked so."""
+    if "hole" in outline.columns:
+        outer = extract_within(points, outline.filter("NOT hole").select("ring"), size)
+        return _in_rings(outer, outline.filter("hole"), size, "left_anti")
+    return _in_rings(points, outline, size, "left_semi")
+
+
+def _in_rings(points: DataFrame, outline: DataFrame, size: float, how: str) -> DataFrame:
     boxes = outline.select(
         "ring",
         F.array_min(F.transform("ring", lambda v: v.x)).alias("xmin"), F.array_max(F.transform("ring", lambda v: v.x)).alias("xmax"),
@@ -88,7 +95,7 @@ def extract_within(points: DataFrame, outline: DataFrame, size: float) -> DataFr
     keyed, spread = with_bucket(points, size), _spread(boxes, _box_cells(size))
     inside = point_in_ring(F.col("x"), F.col("y"), F.col("ring"))
     cond = (keyed.bx == spread.bx) & (keyed.by == spread.by) & inside
-    return keyed.join(spread, cond, "left_semi").drop("bx", "by")
+    return keyed.join(spread, cond, how).drop("bx", "by")
 
 
 def extract_ways_within(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame, outline: DataFrame, size: float):

@@ -405,7 +405,17 @@ def not_dominated(df: DataFrame, radius: float, strength: str, key: str = "id")
 
 
 def clip_to_buffered_outline(points: DataFrame, outlines: DataFrame, reach: float, size: float) -> DataFrame:
-    """Points inside an outline ring or within `reach` of its edge. `points` needs id; outlines a `ring`."""
+    """Points inside an outline ring or within `reach` of its edge. `points` needs id; outlines a `ring`.
+
+    With a column `hole`, points inside a ring marked so and farther than `reach` from its edge are out.
+    """
+    if "hole" in outlines.columns:
+        outer = clip_to_buffered_outline(points, outlines.filter("NOT hole").select("ring"), reach, size)
+        return _near_rings(outer, outlines.filter("hole"), reach, size, "left_anti", lambda inside, d: inside & (d > reach))
+    return _near_rings(points, outlines, reach, size, "left_semi", lambda inside, d: inside | (d <= reach))
+
+
+def _near_rings(points: DataFrame, outlines: DataFrame, reach: float, size: float, how: str, meant) -> DataFrame:
     boxes = outlines.select(
         "ring",
         (F.array_min(F.transform("ring", lambda v: v.x)) - reach).alias("xmin"),
@@ -415,9 +425,9 @@ def clip_to_buffered_outline(points: DataFrame, outlines: DataFrame, reach: floa
     )
     keyed, spread = with_bucket(points, size), _spread(boxes, _box_cells(size))
     x, y, ring = F.col("x"), F.col("y"), F.col("ring")
-    near = point_in_ring(x, y, ring) | (dist_point_ring(x, y, ring) <= reach)
+    near = meant(point_in_ring(x, y, ring), dist_point_ring(x, y, ring))
     cond = (keyed.bx == spread.bx) & (keyed.by == spread.by) & near
-    return keyed.join(spread, cond, "left_semi").drop("bx", "by")
+    return keyed.join(spread, cond, how).drop("bx", "by")
 
 
 def clip_boxes(boxes: DataFrame, windows: DataFrame) -> DataFrame:
