@@ -411,3 +411,16 @@ def test_outlines_with_holes(spark):
     pts = points(spark, [(1, 10.0, 10.0), (2, 50.0, 50.0), (3, 25.0, 50.0), (4, 104.0, 50.0), (5, 200.0, 50.0)])
     assert sorted(r.id for r in osm.extract_within(pts, rings, 30.0).collect()) == [1]
     assert sorted(r.id for r in spatial.clip_to_buffered_outline(pts, rings, 6.0, 30.0).collect()) == [1, 3, 4]
+
+
+def test_finished_rounds_are_deleted(spark):
+    import os
+
+    from wayfold.session import cut, ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    edges = cut(spark.range(200).selectExpr("id AS u", "id + 1 AS v"))
+    before = len(os.listdir(folder))
+    assert graph.connected_components(edges, "u", "v").filter("component = 0").count() == 201
+    assert len(os.listdir(folder)) <= before + 1

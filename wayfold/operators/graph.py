@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geom import dist_euclid
-from ..session import cut
+from ..session import cut, discard
 
 
 def _flip(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .filter("u <> v")
             .distinct()
         )
-        now = cut(small)
+        earlier, now = now, cut(small)
+        discard(earlier, least, large, small_min)
         after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             break
@@ -55,10 +56,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "
     front = seen
     while True:
         found = front.join(steps, "node").select("seed", F.col("_to").alias("node")).distinct()
-        front = cut(found.join(seen, ["seed", "node"], "left_anti"))
-        if front.isEmpty():
+        ahead = cut(found.join(seen, ["seed", "node"], "left_anti"))
+        if ahead.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        known = cut(seen.unionByName(ahead))
+        discard(front, seen)
+        front, seen = ahead, known
 
 
 def k_step(edges: DataFrame, k: int, src: str = "o", dst: str = "d") -> DataFrame:
