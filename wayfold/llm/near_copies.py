@@ -6,8 +6,9 @@ A document keeps the darts below its own weights, and of these the earliest for
 of their weighted Jaccard similarity. Only the first darts of each region are thrown at all, so that the work follows the number of shingles, and not
 that times the number of coordinates.
 
-Documents that share a band are compared, each with one centre per band, until bands hold a single class or centres are used up.
-What is then still apart in some band is settled exactly by prefixes: similar multisets share one of the rarest shingles of each.
+Documents that share a band are compared, each with one centre per band, and then what hangs together is one class. What is still apart in some band is
+settled exactly by prefixes: similar multisets share one of the rarest shingles of each, early enough that the rest can still make them similar. Here too a
+centre comes first, the document with the least of its own, before the few that are left are compared one by one.
 """
 
 from __future__ import annotations
@@ -63,11 +64,12 @@ def _throw(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, until:
             rank = rank - np.log(_uniform(name)) / width
             go = rank <= limit
             seed, weight, own, limit, rank, name = seed[go], weight[go], own[go], limit[go], rank[go], name[go]
-            place = mixed(name ^ np.uint64(0x2545F4914F6CDD1D))
             hit = weight >= high
             if not hit.all():
-                hit |= low + width * _uniform(mixed(place)) <= weight
-            keys.append(own[hit] * k + (place[hit] % np.uint64(k)).astype(np.int64))
+                hit |= low + width * _uniform(mixed(name ^ np.uint64(0x2545F4914F6CDD1D))) <= weight
+            # Upper bits of a product, that is, bits that depend on all of the name.
+            place = (name[hit] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
+            keys.append(own[hit] * k + ((place * np.uint64(k)) >> np.uint64(20)).astype(np.int64))
             ranks.append(rank[hit])
             names.append(name[hit])
         more = weights > high
@@ -152,10 +154,14 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "left", "right").mapInArrow(similar, "a long, b long"))
 
 
-def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, class of every node. Written."""
-    found = connected_components(links, "a", "b").select("node", F.col("component").alias("class"))
-    return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class")))
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` (node, class) after `links` (a, b) between nodes. Written. Only classes, not nodes, go through the rounds of the components."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("class").alias(f"c{end}"))
+    between = cut(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("ca", "cb").distinct())
+    if between.isEmpty():
+        return classes
+    found = cut(connected_components(between, "ca", "cb").select(F.col("node").alias("class"), "component"))
+    return cut(classes.join(found, "class", "left").select("node", F.coalesce("component", "class").alias("class")))
 
 
 def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -175,9 +181,10 @@ def _with_centres(apart: DataFrame, number: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, element, class: of each of `nodes` (node, class) the rarest shingles, as many as a similar multiset must share one of.
+    """node, n, own, element, place: of each of `nodes` (node) the rarest shingles, as many as a similar multiset must share one of. Written.
 
-    The k-th occurrence of a shingle is an element of its own; rarity is counted over `nodes`.
+    The k-th occurrence of a shingle is an element of its own; rarity is counted over `nodes`. A node has `n` elements, `own` of them alone; `place` is
+    the element's in the order of rarity.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,33 +192,52 @@ def _prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 elements = []
-                for known, counts in _sets(part.column(2)):
+                for known, counts in _sets(part.column(1)):
                     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                     elements.append(mixed(np.repeat(known, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(elements, pa.list_(pa.int64()))], names=["node", "class", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(elements, pa.list_(pa.int64()))], names=["node", "elements"])
 
-    rows = nodes.join(texts, "node").select("node", "class", "text").mapInArrow(listed, "node long, class long, elements array<long>")
-    rows = cut(rows)
-    each = rows.select("node", "class", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    rows = cut(nodes.join(texts, "node").select("node", "text").mapInArrow(listed, "node long, elements array<long>"))
+    each = rows.select("node", F.size("elements").alias("n"), F.explode("elements").alias("element"))
     # An element that one node alone has meets nobody; written, so that the join below can be split.
     often = cut(each.groupBy("element").agg(F.count("*").alias("f")).where("f > 1"))
     shared = each.join(often, "element")
-    # All shared elements of a node in order of rarity; the ones nobody shares come first and use up places of the prefix.
-    ordered = shared.groupBy("node", "class", "n").agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("e"))
-    length = F.col("n") - F.ceil(F.lit(LEAST_SIMILARITY) * F.col("n") - 1e-9) + 1
-    places = F.greatest(length - (F.col("n") - F.size("e")), F.lit(0)).cast("int")
-    return ordered.select("node", "class", "n", F.explode(F.slice("e", 1, places)).alias("x")).select("node", "class", "n", F.col("x.element").alias("element"))
-
-
-def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different classes that share an element of both prefixes, and are not too different in size."""
-    prefix = cut(_prefixes(texts, apart.select("node", "class").distinct()))
-    left, right = prefix.toDF("a", "ca", "na", "element"), prefix.toDF("b", "cb", "nb", "element")
-    near = (F.col("na") >= LEAST_SIMILARITY * F.col("nb") - 1e-9) & (F.col("nb") >= LEAST_SIMILARITY * F.col("na") - 1e-9)
-    return left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-
-
-def near_copies(docs: DataFrame, centres: int = 3) -> DataFrame:
+    # All shared elements of a node in order of rarity; its own ones come first and use up places of the prefix.
+    ordered = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("e"))
+    own = F.col("n") - F.size("e")
+    places = F.greatest(F.col("n") - F.ceil(F.lit(LEAST_SIMILARITY) * F.col("n") - 1e-9) + 1 - own, F.lit(0)).cast("int")
+    listing = ordered.select("node", "n", own.alias("own"), F.posexplode(F.slice("e", 1, places)).alias("k", "x"))
+    return cut(listing.select("node", "n", "own", F.col("x.element").alias("element"), (F.col("own") + F.col("k")).alias("place")))
+
+
+def _can_be_similar() -> Column:
+    """Whether nodes of sizes na and nb can be similar if the element at places pa and pb is the first they share."""
+    least = F.ceil(F.lit(LEAST_SIMILARITY / (1 + LEAST_SIMILARITY)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least
+
+
+def _settled_by_prefixes(texts: DataFrame, classes: DataFrame, apart: DataFrame) -> DataFrame:
+    """`classes` after all links between nodes of `apart` that are in different classes. Written."""
+    prefix = _prefixes(texts, apart.select("node").distinct())
+    of = lambda end: (F.col("node").alias(end), F.col("class").alias(f"c{end}"), F.col("n").alias(f"n{end}"), F.col("place").alias(f"p{end}"), "element")
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    order = F.struct((F.col("own") / F.col("n")).alias("o"), "node")
+    for first in (True, False):
+        known = cut(prefix.join(classes, "node"))
+        centre = known.groupBy("element").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by(F.struct("node", "class", "n", "place"), order).alias("c"))
+        centre = cut(centre.where("low < high").select("element", "c.*"))
+        if first:
+            met = known.select(*of("a")).join(centre.select(*of("b")), "element")
+        else:
+            # Nodes that are not in the centre's class, with all others: few, and in a class of many copies none.
+            odd = cut(known.join(centre.select("element", F.col("class").alias("main")), "element").where("class <> main").drop("main"))
+            met = odd.select(*of("a")).join(known.select(*of("b")), "element")
+        pairs = cut(met.where(F.col("ca") != F.col("cb")).where(_can_be_similar()).select(*pair).distinct())
+        classes = _merged(classes, _compared(pairs, texts))
+    return classes
+
+
+def near_copies(docs: DataFrame, centres: int = 2) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id and class_id, the least doc_id of its class.
 
     A class is what hangs together by links, a link being a weighted Jaccard similarity of LEAST_SIMILARITY or more between five-word shingles.
@@ -229,27 +255,20 @@ def near_copies(docs: DataFrame, centres: int = 3) -> DataFrame:
     met = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(met, "node", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")) if repeats else texts)
-    every = cut(nodes.select("node").distinct())
-    links = None
-    classes = every.select("node", F.col("node").alias("class"))
+    classes = cut(nodes.select("node", F.col("node").alias("class")).distinct())
     if repeats:  # texts of one id hang together
         of_ids = sketch.select("doc_id", "content").distinct().join(nodes.select("content", "node"), "content")
         least = cut(of_ids.groupBy("doc_id").agg(F.min("node").alias("a")))
-        links = cut(of_ids.join(least, "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct())
-        classes = _classes(every, links)
+        classes = _merged(classes, of_ids.join(least, "doc_id").select("a", F.col("node").alias("b")))
     apart = _apart(members, classes)
     for number in range(centres):
         pairs = cut(_with_centres(apart, number))
         if pairs.isEmpty():
             break
-        found = _compared(pairs, texts)
-        links = found if links is None else links.unionByName(found)
-        classes = _classes(every, links)
+        classes = _merged(classes, _compared(pairs, texts))
         apart = _apart(members, classes)
     if not apart.isEmpty():
-        found = _compared(cut(_prefix_pairs(texts, apart)), texts)
-        links = found if links is None else links.unionByName(found)
-        classes = _classes(every, links)
+        classes = _settled_by_prefixes(texts, classes, apart)
     of_content = nodes.select("content", "node").join(classes, "node", "left")
     of_content = cut(of_content.select("content", F.coalesce("class", "node").alias("class_id")))
     of_rows = sketch.select("doc_id", "content").join(of_content, "content").select("doc_id", "class_id")
