@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import Encoder
+from .words import give_back
 
 MAGIC = b"WTOK1\x00"
 HEAD = len(MAGIC) + 32
 SEGMENT_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is fitted on this many documents, those with the smallest hashes of their ids, and this many ids of each.
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 1000
 SAMPLE_IDS = 1 << 14
 LEVEL = 3
 
@@ -63,7 +64,7 @@ def fit_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> bytes
             made = b"".join(samples)[:DICTIONARY_BYTES]
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([made], pa.binary())})
 
-    rows = sample.mapInArrow(encoded, "ids binary").coalesce(1).mapInArrow(fitted, "dictionary binary").collect()
+    rows = sample.repartition(4).mapInArrow(encoded, "ids binary").repartition(1).mapInArrow(fitted, "dictionary binary").collect()
     return bytes(rows[0].dictionary) if rows else b""
 
 
@@ -116,6 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
                 size, start = size + len(frame), start + len(one)
         if entries:
             yield segment()
+        give_back()
 
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(packed, SEGMENTS).write.parquet(f"{folder}/segments")
