@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut
-from .words import mixed, rolled, word_hashes
+from .words import give_back, mixed, rolled, word_hashes
 
 SHINGLE = 5
 LEAST_SIMILARITY = 0.8
@@ -136,6 +136,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 content = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
                 lists = [keys[i] if len(s[0]) else keys[i][:0] for i, s in enumerate(sets)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "content", "keys"])
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     return rows.mapInArrow(sketched, "doc_id long, content binary, keys array<long>")
@@ -146,9 +147,12 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _sets(batch.column(2)), _sets(batch.column(3))
-            keep = pa.array([similarity(x, y) >= LEAST_SIMILARITY for x, y in zip(left, right)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], names=["a", "b"])
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                left, right = _sets(part.column(2)), _sets(part.column(3))
+                keep = pa.array([similarity(x, y) >= LEAST_SIMILARITY for x, y in zip(left, right)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in (0, 1)], names=["a", "b"])
+            give_back()
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     return cut(both.select("a", "b", "left", "right").mapInArrow(similar, "a long, b long"))
@@ -196,6 +200,7 @@ def _prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                     elements.append(mixed(np.repeat(known, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(elements, pa.list_(pa.int64()))], names=["node", "elements"])
+            give_back()
 
     rows = cut(nodes.join(texts, "node").select("node", "text").mapInArrow(listed, "node long, elements array<long>"))
     each = rows.select("node", F.size("elements").alias("n"), F.explode("elements").alias("element"))

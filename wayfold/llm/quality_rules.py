@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from .words import give_back
+
 # Fixed values of the base rules.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -90,7 +92,9 @@ def statistics(text: str | None) -> tuple:
 
 @pandas_udf(STATISTICS)
 def text_statistics(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([statistics(t) for t in text], columns=[*COUNTS, "shares"])
+    found = pd.DataFrame([statistics(t) for t in text], columns=[*COUNTS, "shares"])
+    give_back()
+    return found
 
 
 @dataclass

@@ -11,13 +11,17 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .words import give_back
+
 # The base patterns and the least lengths of their matches.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -215,11 +219,6 @@ def masked(text: str | None, spans: list) -> str | None:
     return "".join([*out, text[at:]])
 
 
-@pandas_udf(StringType())
-def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([masked(t, s) for t, s in zip(text, spans)])
-
-
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id (as it is, null too) and spans, an array of (kind, start, end) in code points, end exclusive,
     by start, then kind. A null or empty text has none. Whole texts are read, whatever their length; other columns are not."""
@@ -229,8 +228,22 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with each secret in `text` replaced by its kind in angle brackets and n_chars, if there, counted again. All rows and
     columns stay; a null text stays null."""
-    out = docs.withColumn("text", _masked(F.col("text"), secret_spans(F.col("text"))))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    schema = docs.schema
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                names, columns = part.schema.names, list(part.columns)
+                texts = part.column("text").to_pylist()
+                texts = [masked(t, [{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t)]) for t in texts]
+                columns[names.index("text")] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], part.column("n_chars").type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
+
+    return docs.mapInArrow(mask, schema)
 
 
 def spans_text(spans: Column) -> Column:

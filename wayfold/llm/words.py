@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,3 +62,11 @@ def within(bounds: np.ndarray, total: int, size: int) -> np.ndarray:
         return np.empty(0, bool)
     ends = np.repeat(bounds[1:], np.diff(bounds))
     return np.arange(total - size + 1) + size <= ends[: total - size + 1]
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers are used again by the next stage, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc alone
+    if trim is not None:
+        trim(0)
