@@ -22,6 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut
 from .tokens import Encoder
+from .words import give_back
 
 PIECES = "task int, doc_id long, piece int, start long, length int, rank long, ids binary"
 PLACE = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
@@ -122,14 +123,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, block: int | None = None) -> DataFrame:
     """task, doc_id, piece, start, length, rank, ids (binary) of the pieces of every row of `docs` (doc_id, text), not yet placed.
 
     `rank` counts the pieces of a length in a task. What a document has beyond a whole number of `capacity` is its first piece.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encoder, seen = TaskContext.get().partitionId(), Encoder(path), np.zeros(capacity + 1, np.int64)
+        task, encoder, seen = TaskContext.get().partitionId(), Encoder(path, block), np.zeros(capacity + 1, np.int64)
         out: list[tuple] = []
         size = 0
         for batch in batches:
@@ -148,6 +149,8 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFr
                     out, size = [], 0
         if out:
             yield _rows(out)
+        del encoder, out
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
 
@@ -187,13 +190,13 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.withColumn("place", places).select("*", "place.*").drop("place", "rank")
 
 
-def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 1024, block: int | None = None) -> DataFrame:
     """Pieces of all `docs` (doc_id, text) with their places: doc_id, piece, start, length, ids, sequence_id, offset.
 
     A null or empty text is one piece, the end id. Repeated rows and null doc_ids are packed like any other row. An empty table gives no rows. Other columns
-    are not read.
+    are not read. `block` bounds the bytes of text a worker tokenises at a time (`tokens.BLOCK`).
     """
-    return place(cut(cut_pieces(docs, path, end_id, capacity)), capacity)
+    return place(cut(cut_pieces(docs, path, end_id, capacity, block)), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
