@@ -14,6 +14,8 @@ from wayfold.session import cut
 
 #: Packing: the tokenizer's file, the id that ends a document, and the tokens of a sequence.
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
+#: Bytes of text a worker tokenises at a time: small, as the stages before have left their traces in its memory.
+BLOCK = 4 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of all documents with their places in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
-    packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY)
+    packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY, BLOCK)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
