@@ -241,6 +241,65 @@ def test_ramp_between_two_classes_is_six(spark):
     assert got == {1: "6", 4: "2,3,4"}
 
 
+def plain_final_classes(links):
+    """(no, from_node): final class of each directed link (no, from_node, to_node, gtype, uclass, length, name), by loops."""
+
+    def parts(edges):
+        root = {n: n for e in edges for n in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    ramps = {(r[0], r[1], r[2]) for r in links if r[4] == -1}
+    at, several = parts([r[1:] for r in ramps]), set()
+    for component in set(at.values()):
+        mine = {r for r in ramps if at[r[1]] == component}
+        met = [c for a, b in {r[1:] for r in mine} for n in (a, b) for c in {x[4] for x in links if x[2] == n and 0 <= x[4] <= 5}]
+        several |= mine if len(met) != 2 and len(set(met)) > 1 else set()
+    loops = [r for r in links if r[3] == network.RAMP_CLASS and r[:3] not in several]
+    at, turns = parts([r[1:3] for r in loops]), set()
+    for component in set(at.values()):
+        mine = [r for r in loops if at[r[1]] == component]
+        edges = {}
+        for r in mine:
+            edges[frozenset(r[1:3])] = max(edges.get(frozenset(r[1:3]), 0.0), r[5])
+        names = {x[6] for x in links for r in mine if x[6] and x[2] in r[1:3]}
+        turns |= {r[0] for r in mine} if len(names) == 1 and sum(edges.values()) <= 0.05 + 1e-12 else set()
+    return {(r[0], r[1]): 88 if r[0] in turns and r[3] != 99 else r[3] for r in links}
+
+
+def test_final_classes_of_all_roads(spark):
+    """Ramps beside roads of every class; the data decide over names, lengths and classes met."""
+    rng, rows, no = random.Random(5), [], 0
+    for spot in range(150):
+        node = [10 * spot + k for k in range(4)]
+        for a, b in [(0, 1), (1, 2)][: rng.choice([1, 1, 2])]:
+            no += 1
+            rows += [(no, node[x], node[y], 77, -1, rng.choice([0.01, 0.025, 0.04]), "") for x, y in ((a, b), (b, a))]
+        for _ in range(rng.choice([1, 1, 2])):
+            no, gtype, name, to = no + 1, rng.choice([1, 2, 3, 5, 99]), rng.choice(["", "A", "A", "B"]), rng.choice(node[:3])
+            rows += [(no, x, y, gtype, gtype, 0.03, name) for x, y in ((node[3], to), (to, node[3]))]
+    links = spark.createDataFrame(rows, "no long, from_node long, to_node long, gtype int, uclass int, length double, name string")
+    turns = network.uturn_links(links, network.ramp_components(links))
+    want = plain_final_classes(rows)
+    assert {(r.no, r.from_node): r["class"] for r in network.link_class(links, turns).collect()} == want
+    assert 0 < sum(c == 88 for c in want.values()) < sum(r[3] == 77 for r in rows)
+
+
+def test_final_classes_are_registered_for_all_roads(spark):
+    from tests.check import compare, connect
+    from wayfold.plans import catalog
+
+    catalog.load()
+    folder = "/root/testdata/sf0.001"
+    for name in ("N11_uturn_links_all_roads", "N09_final_link_classes_all_roads"):
+        frame, cursor = catalog.QUERIES[name](spark, folder), connect(folder).execute(catalog.CHECKS[name])
+        rows = [tuple(r) for r in frame.collect()]
+        assert compare(frame.columns, rows, [d[0] for d in cursor.description], cursor.fetchall()) is None
+    assert len(rows) == catalog.QUERIES["N07_blocked_oneway_reverse"](spark, folder).count()  # each direction of each link
+
+
 def test_four_passes_of_tier_competition(spark):
     rows = [
         (1, 0.0, 0.0, "Grid", 0, 9, 20.0, 1), (2, 1500.0, 0.0, "ADM", 0, 0, 0.0, None), (3, 10000.0, 0.0, "Grid", 0, 9, 10.0, 2),

@@ -241,6 +241,28 @@ def final_classes(v):
     return net.link_class(*motorways(v)).select("no", "from_node", F.col("class").cast("int").alias("class"))
 
 
+def all_roads(v):
+    """Links of every road under their own names, and the U-turns among them."""
+    from ...session import cut
+
+    links = cut(classed(v))
+    return links, net.uturn_links(links, cut(net.ramp_components(links)))
+
+
+@register("N11_uturn_links_all_roads", f"WITH RECURSIVE {UTURNS} SELECT no FROM ut")
+def uturns_all_roads(v):
+    return all_roads(v)[1]
+
+
+@register(
+    "N09_final_link_classes_all_roads",
+    f"""WITH RECURSIVE {UTURNS} SELECT cls.no, cls.from_node, CAST(CASE WHEN ut.no IS NOT NULL AND gtype <> 99 THEN 88 ELSE gtype END AS INTEGER) AS class
+        FROM cls LEFT JOIN ut ON ut.no = cls.no""",
+)
+def final_classes_all_roads(v):
+    return net.link_class(*all_roads(v)).select("no", "from_node", F.col("class").cast("int").alias("class"))
+
+
 @register("N12_node_types", f"""WITH RECURSIVE {RAMPS}, lk AS (SELECT c.*, r.classes FROM cls c LEFT JOIN ramps r ON r.no = c.no AND r.from_node = c.from_node AND r.to_node = c.to_node WHERE c.uclass <= 5),
     iv AS (SELECT to_node AS node, unnest(string_split(CASE WHEN uclass > -1 THEN CAST(uclass AS VARCHAR) ELSE coalesce(classes, '') END, ',')) AS t FROM lk),
     ud AS (SELECT node, list_sort(list(DISTINCT CAST(t AS INTEGER))) AS u FROM iv WHERE node NOT IN (SELECT node FROM iv WHERE t = '') GROUP BY node),
