@@ -300,6 +300,38 @@ def test_final_classes_are_registered_for_all_roads(spark):
     assert len(rows) == catalog.QUERIES["N07_blocked_oneway_reverse"](spark, folder).count()  # each direction of each link
 
 
+def test_mutually_reachable_nodes_by_brute_force(spark):
+    rng = random.Random(8)
+    edges = [(a, rng.randrange(a // 20 * 20, a // 20 * 20 + 20)) for a in range(120) for _ in range(2)] + [(20 * k, 20 * k + 25) for k in range(5)]
+
+    def reached(start, steps):
+        seen, open_ = {start}, [start]
+        while open_:
+            node = open_.pop()
+            new = {b for a, b in steps if a == node} - seen
+            seen, open_ = seen | new, [*open_, *new]
+        return seen
+
+    degree = {n: sum(b == n for _, b in edges) for _, n in edges}
+    want = set()
+    for seed in sorted(degree, key=lambda n: (-degree[n], n))[:5]:
+        want |= reached(seed, edges) & reached(seed, [(b, a) for a, b in edges])
+    links = spark.createDataFrame(edges, "from_node long, to_node long")
+    got = [r.node for r in network.reachable_nodes(links).collect()]
+    assert sorted(got) == sorted(want) and 5 < len(want) < 120
+
+
+def test_mutually_reachable_nodes_are_registered_for_all_roads(spark):
+    from tests.check import compare, connect
+    from wayfold.plans import catalog
+
+    catalog.load()
+    folder, name = "/root/testdata/sf0.001", "N13_mutually_reachable_nodes_all_roads"
+    frame, cursor = catalog.QUERIES[name](spark, folder), connect(folder).execute(catalog.CHECKS[name])
+    rows = [tuple(r) for r in frame.collect()]
+    assert rows and compare(frame.columns, rows, [d[0] for d in cursor.description], cursor.fetchall()) is None
+
+
 def test_four_passes_of_tier_competition(spark):
     rows = [
         (1, 0.0, 0.0, "Grid", 0, 9, 20.0, 1), (2, 1500.0, 0.0, "ADM", 0, 0, 0.0, None), (3, 10000.0, 0.0, "Grid", 0, 9, 10.0, 2),

@@ -294,6 +294,16 @@ def mutually_reachable(v):
     return net.reachable_nodes(v.sql(MOTOR))
 
 
+@register(
+    "N13_mutually_reachable_nodes_all_roads",
+    """WITH RECURSIVE e AS (SELECT DISTINCT from_node AS a, to_node AS b FROM {links}), seeds AS (SELECT to_node AS s FROM {links} GROUP BY to_node ORDER BY count(*) DESC, to_node LIMIT 5),
+        fwd(s, n) AS (SELECT s, s FROM seeds UNION SELECT f.s, e.b FROM fwd f JOIN e ON e.a = f.n), bwd(s, n) AS (SELECT s, s FROM seeds UNION SELECT f.s, e.a FROM bwd f JOIN e ON e.b = f.n)
+        SELECT DISTINCT fwd.n AS node FROM fwd JOIN bwd ON bwd.s = fwd.s AND bwd.n = fwd.n""",
+)
+def mutually_reachable_all_roads(v):
+    return net.reachable_nodes(v.links.select("from_node", "to_node"))
+
+
 DETAILS = "CASE node_id % 15 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(net.BUFFERS)) + " END"
 TYPED = f"SELECT node_id AS id, x, y, {DETAILS} AS detail FROM {{nodes}}"
 BUFFER_SQL = "buf(detail, size) AS (VALUES " + ", ".join(f"('{k}', {s}::DOUBLE)" for k, s in net.BUFFERS.items()) + ")"
