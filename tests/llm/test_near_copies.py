@@ -115,6 +115,27 @@ def test_small_cases(spark):
     assert run(spark, docs, centres=0) == brute(docs)
 
 
+def test_every_text_of_an_id_is_compared(spark):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(40)]
+    # Text B of 9 is also one of 5, whose other text A is the first in order: C of 12 is similar to B alone.
+    docs = [(5, "a " + " ".join(base[0])), (5, "b " + " ".join(base[1])), (9, "b " + " ".join(base[1])), (12, "b " + changed(rng, base[1], 2)), (13, "c " + " ".join(base[2]))]
+    for how in ({}, {"centres": 0}):
+        assert run(spark, docs, **how) == Counter({(5, 5): 2, (9, 5): 1, (12, 5): 1, (13, 13): 1})
+    # Against all pairs of rows.
+    docs = [(rng.randrange(60), changed(rng, base[rng.randrange(40)], rng.choice([0, 1, 2, 3]))) for _ in range(70)]
+    sets, root = [multiset(text) for _, text in docs], {doc: doc for doc, _ in docs}
+    for _ in root:
+        for (a, _), x in zip(docs, sets):
+            for (b, _), y in zip(docs, sets):
+                common = (x & y).total()
+                if common / (x.total() + y.total() - common) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = Counter((doc, root[doc]) for doc, _ in docs)
+    assert run(spark, docs) == want and run(spark, docs, centres=0) == want
+    assert len(set(root.values())) > 1
+
+
 def test_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

@@ -123,6 +123,10 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [shingles(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _digests(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, content (digest of the text's words), keys (one per band; none for a text without words) of each row with a doc_id."""
 
@@ -133,15 +137,30 @@ def sketches(docs: DataFrame) -> DataFrame:
                 hashes, bounds = word_hashes(part.column(1))
                 sets = [shingles(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 keys = bands(signatures(sets))
-                content = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
                 lists = [keys[i] if len(s[0]) else keys[i][:0] for i, s in enumerate(sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "content", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _digests(hashes, bounds), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "content", "keys"])
             give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     return rows.mapInArrow(sketched, "doc_id long, content binary, keys array<long>")
 
 
+def _texts_of_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of each of `wanted` (node, content, first): a text of that content, `first` being an id that has it beside others."""
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays([_digests(*word_hashes(part.column(0))), part.column(0)], names=["content", "text"])
+            give_back()
+
+    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
+    found = rows.mapInArrow(digested, "content binary, text string").join(wanted.select("node", "content"), "content")
+    return found.groupBy("node").agg(F.min("text").alias("text"))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar; `texts` has one row (node, text) per node. Written."""
 
@@ -246,20 +265,24 @@ def near_copies(docs: DataFrame, centres: int = 2) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id and class_id, the least doc_id of its class.
 
     A class is what hangs together by links, a link being a weighted Jaccard similarity of LEAST_SIMILARITY or more between five-word shingles.
-    Texts of the same words are always linked, texts without words too (null is empty). Rows that share a doc_id are in one class, and the
-    first of their texts in order stands for them in comparisons. A row without a doc_id is in no class: its class_id is null. An empty table
+    Texts of the same words are always linked, texts without words too (null is empty). Rows that share a doc_id are in one class, and
+    each of their texts is compared. A row without a doc_id is in no class: its class_id is null. An empty table
     gives no rows. Other columns are not read.
     """
     sketch = cut(sketches(docs))
     repeats = not sketch.groupBy("doc_id").count().where("count > 1").isEmpty()
-    # Copies are one node, however many; the partial result of a task has one row for each text in it.
-    nodes = cut(sketch.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    # Copies are one node, however many; the partial result of a task has one row for each text in it. Where ids repeat, several contents can have
+    # the same least id, and nodes are numbered instead.
+    number = F.monotonically_increasing_id() if repeats else F.col("first")
+    nodes = cut(sketch.groupBy("content").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")).withColumn("node", number))
     members = nodes.select("node", F.explode("keys").alias("key"))
     full = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = cut(members.join(full, "key"))
     met = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(met, "node", "left_semi")
-    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")) if repeats else texts)
+    if repeats:
+        texts = cut(_texts_of_contents(docs, nodes.select("node", "content", "first").join(met, "node", "left_semi")))
+    else:
+        texts = cut(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(met, "node", "left_semi"))
     classes = cut(nodes.select("node", F.col("node").alias("class")).distinct())
     if repeats:  # texts of one id hang together
         of_ids = sketch.select("doc_id", "content").distinct().join(nodes.select("content", "node"), "content")
@@ -274,8 +297,11 @@ def near_copies(docs: DataFrame, centres: int = 2) -> DataFrame:
         apart = _apart(members, classes)
     if not apart.isEmpty():
         classes = _settled_by_prefixes(texts, classes, apart)
-    of_content = nodes.select("content", "node").join(classes, "node", "left")
-    of_content = cut(of_content.select("content", F.coalesce("class", "node").alias("class_id")))
+    if repeats:  # from numbers back to ids
+        known = nodes.select("node", "first").join(classes, "node")
+        least = cut(known.groupBy("class").agg(F.min("first").alias("id")))
+        classes = classes.join(least, "class").select("node", F.col("id").alias("class"))
+    of_content = cut(nodes.select("content", "node").join(classes, "node").select("content", F.col("class").alias("class_id")))
     of_rows = sketch.select("doc_id", "content").join(of_content, "content").select("doc_id", "class_id")
     nobody = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return of_rows.unionByName(nobody)
