@@ -43,7 +43,10 @@ _BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY)-----")
 _TOKEN = re.compile(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 # An encoded key begins with a sequence (30 in hexadecimal), an armoured one with dashes, a token with a brace.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]|LS0|b3B|ZXl)[A-Za-z0-9+/_-]{38,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+# Nothing but the run may stand between the ends of its lines.
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
+# The same beginnings in hexadecimal: a sequence, dashes, the ssh tools' first word, a token's brace.
+_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f]{64})(?:30|2[Dd]2[Dd]2[Dd]|6[Ff]70656[Ee]|65794[Aa])[0-9A-Fa-f]+")
 
 SSH_MAGIC = b"openssh-key-v1\x00"
 #: Object ids of the password-based schemes begin so.
@@ -186,6 +189,29 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _wrapped_end(text: str, first: re.Match) -> int | None:
+    """Where a secret ends whose base64 begins with `first` and goes on in the next lines, all as wide as it but the last; None if it is none."""
+    most, head = None, _decoded(first[0][:8])
+    if head and head[0] == 0x30:  # a key says how long it is, so that no more lines are read
+        n = max(head[1] - 128, 0)
+        if n > 4:
+            return None
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        most = -(-size * 8 // 6)
+    elif first[0].startswith("M"):
+        return None
+    parts, ends, length = [first[0]], [first.end()], len(first[0])
+    while (most is None or length < most) and len(parts[-1]) == len(first[0]) and (line := _NEXT_LINE.match(text, ends[-1])) and len(line[1]) <= len(first[0]):
+        parts.append(line[1])
+        ends.append(line.end())
+        length += len(line[1])
+    # The last line may be a word that follows.
+    for k in (len(parts), len(parts) - 1):
+        if k > 1 and _is_secret(_decoded("".join(parts[:k]))):
+            return ends[k - 1]
+    return None
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of `text` in code points, by start, then kind."""
     if not text:
@@ -195,8 +221,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
         out += [("block", *span) for span in _blocks(text)]
-    out += [("key", *m.span()) for m in _BASE64.finditer(text) if _is_secret(_decoded(m[0]))]
-    out += [("key", *m.span()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
+    for m in _BASE64.finditer(text):
+        end = m.end() if _is_secret(_decoded(m[0])) else _wrapped_end(text, m)
+        if end is not None:
+            out.append(("key", m.start(), end))
+    out += [("key", *m.span()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and _is_secret(bytes.fromhex(m[0]))]
     if "eyJ" in text:
         out += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
