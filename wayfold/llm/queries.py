@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, factor_quality, near_copies, oracles, packing, quality_rules, secrets, substrings, token_files, toxicity, warc
+from . import decontaminate, factor_quality, filter_audit, importance, near_copies, oracles, packing, quality_rules, secrets, substrings, suffix_dedup, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op4_warc_archive": oracles.WARC, "op5_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "op4_warc_archive": oracles.WARC,
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
+    "op13_importance_resampling": oracles.IMPORTANCE,
+}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -105,3 +110,20 @@ def op7_near_copies(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.without_repeats(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeated_bytes(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interactions(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
