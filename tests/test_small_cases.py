@@ -515,3 +515,57 @@ def test_finished_rounds_are_deleted(spark):
     before = len(os.listdir(folder))
     assert graph.connected_components(edges, "u", "v").filter("component = 0").count() == 201
     assert len(os.listdir(folder)) <= before + 1
+
+
+def plain_strong_components(edges):
+    out = {n: {b for a, b in edges if a == n} for n in {x for e in edges for x in e}}
+    reach = {}
+    for start in out:
+        seen, open_ = {start}, [start]
+        while open_:
+            new = out[open_.pop()] - seen
+            seen |= new
+            open_ += new
+        reach[start] = seen
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in out}
+
+
+def strong_components(spark, edges, **how):
+    from wayfold.operators.graph import strong_components
+
+    found = strong_components(spark.createDataFrame(edges, "src long, dst long"), **how).collect()
+    assert len(found) == len({r.node for r in found})
+    return {r.node: r.component for r in found}
+
+
+def test_strong_components_by_brute_force(spark):
+    """Many graphs beside each other in one table: sparse, dense, with loops, repeated edges, two-cycles, hubs and rings joined one way."""
+    rng = random.Random(12)
+    edges, base = [], 0
+    for nodes, n in [(2, 2), (5, 7), (12, 14), (30, 36), (40, 55), (25, 120)] * 3:
+        edges += [(base + rng.randrange(nodes), base + rng.randrange(nodes)) for _ in range(n)]
+        base += 100
+    rings = [(base + 10 * k + i, base + 10 * k + (i + 1) % 10) for k in range(6) for i in range(10)]
+    edges += rings + [(base + 10 * k, base + 10 * k + 13) for k in range(5)] + [(base + 40, base + 3)]
+    hub = base + 100
+    edges += [(hub, hub + k) for k in range(1, 300)] + [(hub + k, hub) for k in range(1, 300, 2)]
+    edges += [(base + 500, base + 500), (base + 501, base + 502), (base + 502, base + 501), (base + 501, base + 502)]
+    assert strong_components(spark, edges) == plain_strong_components(edges)
+
+
+def test_strong_components_of_long_paths_take_few_rounds(spark):
+    """A path and a ring of 100,000 nodes: a round per node would never end; these rounds are a few times the logarithm."""
+    n = 100_000
+    steps = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    ring = spark.range(n).selectExpr(f"id + {2 * n} AS src", f"(id + 1) % {n} + {2 * n} AS dst")
+    from wayfold.operators import graph
+
+    found = graph.strong_components(steps.unionByName(ring), rounds=60)
+    got = found.selectExpr(f"CASE WHEN component = node THEN 0 WHEN component = {2 * n} THEN 1 ELSE 2 END AS kind", f"node >= {2 * n} AS in_ring")
+    assert {(r.kind, r.in_ring, r["count"]) for r in got.groupBy("kind", "in_ring").count().collect()} == {(0, False, n + 1), (0, True, 1), (1, True, n - 1)}
+
+
+def test_strong_components_stop_at_the_round_limit(spark):
+    with pytest.raises(RuntimeError):
+        strong_components(spark, [(k, k + 1) for k in range(500)], rounds=3)
+    assert strong_components(spark, []) == {}

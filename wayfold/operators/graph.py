@@ -48,6 +48,110 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
 
 
+# Rounds after which an iteration counts as stuck. Contraction takes away a constant share of what can be contracted in each.
+ROUNDS = 400
+
+
+def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = ROUNDS) -> DataFrame:
+    """(node, component) for every node on an edge: nodes that reach each other along directed edges, named by the smallest of them.
+
+    Nodes without an in-edge or without an out-edge are components of their own and go. Of the nodes with one in-neighbour and one out-neighbour, no two of them
+    adjacent, those with the least hash are bypassed by an edge; they belong to a component if both neighbours turn out to. So long paths and trees
+    vanish in logarithmically many rounds. When little can be contracted, every node gets the first node, in a random order of the round, that reaches
+    it, then the first that it reaches among the nodes with the same; nodes whose two answers are the same node form a component, and edges between nodes with
+    different answers go. More than `rounds` rounds raise an error.
+    """
+    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    nodes = cut(both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).distinct())
+    now = cut(both.filter("u <> v").distinct())
+    bypassed, found = [], []
+    for turn in range(rounds):
+        ends = now.select(F.col("u").alias("node"), F.col("v").alias("_out"), F.lit(None).cast(now.schema["u"].dataType).alias("_in"))
+        ends = ends.unionByName(now.select(F.col("v").alias("node"), F.lit(None).cast(now.schema["v"].dataType).alias("_out"), F.col("u").alias("_in")))
+        degrees = cut(ends.groupBy("node").agg(F.count("_in").alias("ins"), F.count("_out").alias("outs"), F.min("_in").alias("pred"), F.min("_out").alias("succ")))
+        through = degrees.filter("ins = 1 AND outs = 1").select("node", "pred", "succ")
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)
+        known = through.select(F.col("node").alias("_n"))
+        picked = through
+        for side in ("pred", "succ"):
+            picked = picked.join(known, F.col(side) == F.col("_n"), "left")
+            picked = picked.filter(F.col("_n").isNull() | (order("node") < order(side))).drop("_n")
+        picked = cut(picked)
+        gone = cut(degrees.filter("ins = 0 OR outs = 0").select("node").unionByName(picked.select("node")))
+        alive, less = degrees.count(), gone.count()
+        bypassed.append(picked)
+        joined = now.unionByName(picked.select(F.col("pred").alias("u"), F.col("succ").alias("v")))
+        left = joined.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti")
+        earlier, now = now, cut(left.select("u", "v").filter("u <> v").distinct())
+        discard(earlier, degrees, gone)
+        if now.isEmpty():
+            break
+        if less * 8 < alive:
+            colours, now = _coloured(now, turn, rounds)
+            found.append(colours)
+            if now.isEmpty():
+                break
+    else:
+        raise RuntimeError(f"strong components are not settled after {rounds} rounds")
+    settled = nodes.limit(0).select("node", F.col("node").alias("root"))
+    for part in found:
+        settled = settled.unionByName(part)
+    settled = cut(settled)
+    for picked in reversed(bypassed):
+        if picked.isEmpty():
+            continue
+        at = lambda side: settled.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+        ends = picked.join(at("pred"), "pred", "left").join(at("succ"), "succ", "left")
+        ends = ends.withColumn("root", F.coalesce("_pred", "pred")).filter(F.col("root") == F.coalesce("_succ", "succ"))
+        # A neighbour that no component holds yet becomes the root of one.
+        more = ends.select("node", "root").unionByName(ends.select(F.col("root").alias("node"), "root")).distinct()
+        more = more.join(settled.select("node"), "node", "left_anti")
+        earlier, settled = settled, cut(settled.unionByName(more))
+        discard(earlier)
+    discard(*bypassed, *found)
+    least = settled.groupBy("root").agg(F.min("node").alias("component"))
+    named = settled.join(cut(least), "root").select("node", "component")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _first_reaching(edges: DataFrame, nodes: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """(node, first): of the nodes that reach a node along `edges` (u, v), itself included, the first in the random order of `turn`.
+
+    What reaches a node's answer reaches the node, so answers also hop over to the answer of the answer, and paths are walked in leaps.
+    """
+    rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))
+    now = cut(nodes.select("node", rank("node").alias("first")))
+    for _ in range(rounds):
+        along = edges.join(now, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "first")
+        better = now.filter(F.col("first.id") != F.col("node")).select(F.col("node").alias("_at"), F.col("first").alias("_first"))
+        leaps = now.join(better, F.col("first.id") == F.col("_at")).select("node", F.col("_first").alias("first"))
+        own = now.select("node", "first", F.col("first").alias("_own"))
+        none = F.lit(None).cast(own.schema["_own"].dataType).alias("_own")
+        every = own.unionByName(along.select("node", "first", none)).unionByName(leaps.select("node", "first", none))
+        after = cut(every.groupBy("node").agg(F.min("first").alias("first"), F.min("_own").alias("_own")))
+        discard(now)
+        now = after
+        if now.filter(F.col("first") < F.col("_own")).isEmpty():
+            return now.select("node", F.col("first.id").alias("first"))
+    raise RuntimeError(f"labels are not settled after {rounds} rounds")
+
+
+def _coloured(edges: DataFrame, turn: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(components found: node, root; edges left), both written."""
+    nodes = cut(edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct())
+    at = lambda labels, end, name: labels.select(F.col("node").alias(end), F.col("first").alias(name))
+    reached = cut(_first_reaching(edges, nodes, turn, rounds))
+    inner = edges.join(at(reached, "u", "_a"), "u").join(at(reached, "v", "_b"), "v").filter("_a = _b")
+    inner = cut(inner.select("u", "v"))
+    back = cut(_first_reaching(_flip(inner), nodes, turn, rounds))
+    labels = cut(reached.join(back.withColumnRenamed("first", "_back"), "node"))
+    found = cut(labels.filter("first = _back").select("node", F.col("first").alias("root")))
+    rest = labels.filter("first <> _back").select("node", F.col("_back").alias("first"))
+    left = cut(inner.join(at(rest, "u", "_a"), "u").join(at(rest, "v", "_b"), "v").filter("_a = _b").select("u", "v"))
+    discard(nodes, reached, inner, back, labels)
+    return found, left
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(seed, node): everything a seed reaches along directed edges, itself included. Breadth-first rounds."""
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to")).filter("node <> _to").distinct()

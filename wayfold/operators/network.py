@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.maths import first_int
 from ..session import cut
 from .common import keep_first
-from .graph import connected_components, proximity_components, reachable
+from .graph import connected_components, proximity_components, strong_components
 from .spatial import join_knn
 
 
@@ -442,11 +442,11 @@ def node_types(links: DataFrame) -> DataFrame:
 
 
 def reachable_nodes(links: DataFrame, seeds: int = 5) -> DataFrame:
-    """Nodes that can reach, and be reached from, one of the best connected nodes."""
-    start = cut(top_degree(links, seeds, "to_node").select(F.col("node").alias("seed")))
-    out = reachable(links, start, "from_node", "to_node")
-    back = reachable(links, start, "to_node", "from_node")
-    return out.join(back, ["seed", "node"], "left_semi").select("node").distinct()
+    """Nodes that can reach, and be reached from, one of the best connected nodes: the strong components of these."""
+    start = top_degree(links, seeds, "to_node").select("node")
+    parts = cut(strong_components(links, "from_node", "to_node"))
+    chosen = parts.join(start, "node").select("component").distinct()  # at most `seeds` rows
+    return parts.join(F.broadcast(chosen), "component", "left_semi").select("node")
 
 
 def keep_reachable(types: DataFrame, reached: DataFrame) -> DataFrame:

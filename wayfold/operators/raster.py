@@ -154,7 +154,8 @@ def local_maxima(px: DataFrame, size: int) -> DataFrame:
 def kde(points: DataFrame, cell: float, radius: Column, weight: Column) -> DataFrame:
     """Quartic kernel sums, not normalised: weight * (1 - (d / radius)^2)^2 over the points within their radius.
 
-    Points in the same place with the same radius are added up first; the sums per pixel start before the shuffle.
+    Points in the same place with the same radius are added up first; the sums per pixel start before the shuffle. Contributions
+    are rounded to ten decimals before they are added, so that a sum does not depend on the order of its parts.
     """
     merged = points.select("x", "y", radius.cast("double").alias("_r"), weight.cast("double").alias("_w")).filter("_r > 0")
     merged = merged.groupBy("x", "y", "_r").agg(F.sum("_w").alias("_w")).filter("_w <> 0")
@@ -165,7 +166,8 @@ def kde(points: DataFrame, cell: float, radius: Column, weight: Column) -> DataF
     hit = hit.withColumn("row_no", F.explode(span("y"))).withColumn("_dy", (F.col("row_no") + 0.5) * cell - F.col("y"))
     ratio = (F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) / (F.col("_r") * F.col("_r"))
     hit = hit.withColumn("_q", ratio).filter("_q <= 1")
-    return hit.groupBy(*KEY).agg(F.sum(F.col("_w") * (1.0 - F.col("_q")) * (1.0 - F.col("_q"))).alias("value"))
+    part = (F.col("_w") * (1.0 - F.col("_q")) * (1.0 - F.col("_q"))).cast("decimal(28,10)")
+    return hit.groupBy(*KEY).agg(F.sum(part).cast("double").alias("value"))
 
 
 def fill_zero(px: DataFrame, frame: DataFrame) -> DataFrame:

@@ -119,25 +119,25 @@ def duplicates(v):
     return ops.duplicate_pois(doubled(v))
 
 
-KERNEL = """SELECT col, row_no, sector, sum(w * (1 - q) * (1 - q)) AS value FROM (SELECT col, row_no, sector, w,
+KERNEL = """SELECT col, row_no, sector, CAST(sum(CAST(w * (1 - q) * (1 - q) AS DECIMAL(28, 10))) AS DOUBLE) AS value FROM (SELECT col, row_no, sector, w,
       (((col + 0.5) * 25 - x) * ((col + 0.5) * 25 - x) + ((row_no + 0.5) * 25 - y) * ((row_no + 0.5) * 25 - y))::DOUBLE / (r * r) AS q
     FROM (SELECT x, y, w, r, sector, unnest(generate_series(CAST(floor((x - r) / 25) AS BIGINT), CAST(floor((x + r) / 25) AS BIGINT))) AS col FROM src) a,
     LATERAL (SELECT unnest(generate_series(CAST(floor((y - r) / 25) AS BIGINT), CAST(floor((y + r) / 25) AS BIGINT))) AS row_no) b) k WHERE q <= 1 GROUP BY 1, 2, 3"""
 SAT = lambda s: f"5 * (1 - exp(-0.2773 * coalesce(sum(CASE WHEN sector = '{s.upper()}' THEN value END), 0)))"
-SURFACE = f"""src AS (SELECT x, y, sector, CAST(weight AS DOUBLE) AS w, CAST({RADIUS} AS DOUBLE) AS r FROM ({FULL}) f WHERE weight > 0),
-    kern AS ({KERNEL}), surf AS (SELECT *, {' + '.join(mix.MIX_SECTORS)} AS total FROM (SELECT col, row_no, {', '.join(f'{SAT(s)} AS {s}' for s in mix.MIX_SECTORS)} FROM kern GROUP BY 1, 2) z),
-    hi AS (SELECT * FROM surf WHERE total >= 7),
+SURFACE = f"""src AS MATERIALIZED (SELECT x, y, sector, CAST(weight AS DOUBLE) AS w, CAST({RADIUS} AS DOUBLE) AS r FROM ({FULL}) f WHERE weight > 0),
+    kern AS MATERIALIZED ({KERNEL}), surf AS MATERIALIZED (SELECT *, {' + '.join(mix.MIX_SECTORS)} AS total FROM (SELECT col, row_no, {', '.join(f'{SAT(s)} AS {s}' for s in mix.MIX_SECTORS)} FROM kern GROUP BY 1, 2) z),
+    hi AS MATERIALIZED (SELECT * FROM surf WHERE total >= 7),
     foc AS (SELECT col, row_no, max(total) AS f FROM (SELECT col + dc AS col, row_no + dr AS row_no, total FROM hi, (SELECT unnest(range(-1, 2)) AS dc) i,
       (SELECT unnest(range(-1, 2)) AS dr) j) s GROUP BY 1, 2),
     tops AS (SELECT h.* FROM hi h JOIN foc ON foc.col = h.col AND foc.row_no = h.row_no WHERE h.total = foc.f)"""
 @register(
     "L03_intensity_surface",
-    f"WITH {SURFACE} SELECT CAST(floor(col / 20.0) AS BIGINT) AS bc, CAST(floor(row_no / 20.0) AS BIGINT) AS br, count(*) AS n, {rnd('sum(total)', 3)} AS total FROM surf GROUP BY 1, 2",
+    f"WITH {SURFACE} SELECT CAST(floor(col / 20.0) AS BIGINT) AS bc, CAST(floor(row_no / 20.0) AS BIGINT) AS br, count(*) AS n, {rnd('CAST(sum(CAST(total AS DECIMAL(28, 10))) AS DOUBLE)', 3)} AS total FROM surf GROUP BY 1, 2",
 )
 def surface(v):
     px = ops.sector_surfaces(classified(v))
     return px.groupBy(F.floor(F.col("col") / 20).alias("bc"), F.floor(F.col("row_no") / 20).alias("br")).agg(
-        F.count(F.lit(1)).alias("n"), round_half_up(F.sum("total_intensity"), 3).alias("total")
+        F.count(F.lit(1)).alias("n"), round_half_up(F.sum(F.col("total_intensity").cast("decimal(28,10)")).cast("double"), 3).alias("total")
     )
 
 

@@ -154,7 +154,7 @@ def local_maxima(v):
     return raster.local_maxima(v.pixels, 7)
 
 
-KDE = """SELECT col, row_no, sum(w * (1 - d2 / (r * r)) * (1 - d2 / (r * r))) AS value FROM (
+KDE = """SELECT col, row_no, CAST(sum(CAST(w * (1 - d2 / (r * r)) * (1 - d2 / (r * r)) AS DECIMAL(28, 10))) AS DOUBLE) AS value FROM (
     SELECT col, row_no, w, r, ((col + 0.5) * {c} - x) * ((col + 0.5) * {c} - x) + ((row_no + 0.5) * {c} - y) * ((row_no + 0.5) * {c} - y) AS d2
     FROM (SELECT x, y, w, r, unnest(generate_series(CAST(floor((x - r) / {c}) AS BIGINT), CAST(floor((x + r) / {c}) AS BIGINT))) AS col FROM ({src}) p) a,
     LATERAL (SELECT unnest(generate_series(CAST(floor((y - r) / {c}) AS BIGINT), CAST(floor((y + r) / {c}) AS BIGINT))) AS row_no) b) k
@@ -162,15 +162,16 @@ KDE = """SELECT col, row_no, sum(w * (1 - d2 / (r * r)) * (1 - d2 / (r * r))) AS
 
 
 def per_block(px, pixels, digits):
-    """A raster summed up per block of pixels, for a compact result."""
+    """A raster summed up per block of pixels, for a compact result; the sum is one of decimals."""
+    total = F.sum(F.col("value").cast("decimal(28,10)")).cast("double")
     return px.groupBy(F.floor(F.col("col") / pixels).alias("bc"), F.floor(F.col("row_no") / pixels).alias("br")).agg(
-        F.count(F.lit(1)).alias("n"), round_half_up(F.sum("value"), digits).alias("total"), round_half_up(F.max("value"), digits).alias("top")
+        F.count(F.lit(1)).alias("n"), round_half_up(total, digits).alias("total"), round_half_up(F.max("value"), digits).alias("top")
     )
 
 
 def per_block_sql(sql, pixels, digits):
     return f"""SELECT CAST(floor(col / {pixels}.0) AS BIGINT) AS bc, CAST(floor(row_no / {pixels}.0) AS BIGINT) AS br, count(*) AS n,
-        {rnd('sum(value)', digits)} AS total, {rnd('max(value)', digits)} AS top FROM ({sql}) t GROUP BY 1, 2"""
+        {rnd('CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE)', digits)} AS total, {rnd('max(value)', digits)} AS top FROM ({sql}) t GROUP BY 1, 2"""
 
 
 @register(

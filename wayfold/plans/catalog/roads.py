@@ -132,6 +132,10 @@ DIRECTED = f"""SELECT way_id * 100 + seq AS no, from_node, to_node, {TYPE_NO} AS
     UNION ALL SELECT way_id * 100 + seq, to_node, from_node, {TYPE_NO}, CASE WHEN way_id % 5 = 0 THEN '' ELSE 'CAR' END, {REST} FROM {{links}}"""
 
 
+# One number for a link's direction, and that of its other direction: the ends of a link differ.
+WAY, BACK = (f"no * 2 + CASE WHEN from_node {sign} to_node THEN 1 ELSE 0 END" for sign in "<>")
+
+
 def directed(v):
     """Both directions of every link, from one pass over the links."""
     base = v.sql(
@@ -146,8 +150,9 @@ def directed(v):
 
 @register(
     "N07_blocked_oneway_reverse",
-    f"""WITH d AS ({DIRECTED}) SELECT a.no, a.from_node, a.to_node, CASE WHEN a.type_no BETWEEN 10 AND 73 AND NOT contains(a.tsys, 'CAR') AND contains(coalesce(b.tsys, ''), 'CAR') THEN 0 ELSE a.type_no END AS type_no
-        FROM d a LEFT JOIN d b ON b.no = a.no AND b.from_node = a.to_node AND b.to_node = a.from_node""",
+    f"""WITH d AS MATERIALIZED (SELECT *, {WAY} AS way, {BACK} AS reverse FROM ({DIRECTED}) q), c AS MATERIALIZED (SELECT way, max(CASE WHEN contains(tsys, 'CAR') THEN 1 ELSE 0 END) AS car FROM d GROUP BY way)
+        SELECT no, from_node, to_node, CASE WHEN type_no BETWEEN 10 AND 73 AND NOT contains(tsys, 'CAR') AND coalesce(car, 0) = 1 THEN 0 ELSE type_no END AS type_no
+        FROM d LEFT JOIN c ON c.way = d.reverse""",
 )
 def blocked(v):
     return net.mark_blocked_oneway(directed(v)).select("no", "from_node", "to_node", "type_no")
@@ -169,9 +174,9 @@ def ferries(v):
 GTYPE = """CASE WHEN lower(name) LIKE '%\\_link%' ESCAPE '\\' THEN 77 WHEN lower(name) LIKE '%residential%' OR lower(name) LIKE '%unclassified%' THEN 5 WHEN lower(name) LIKE '%tertiary%' THEN 4
     WHEN lower(name) LIKE '%secondary%' THEN 3 WHEN lower(name) LIKE '%primary%' OR lower(name) LIKE '%trunk%' THEN 2 WHEN lower(name) LIKE '%motorway%' THEN 1 ELSE 99 END"""
 CLASSED = f"""{RULE_SQL}, gt AS (SELECT type_no, {GTYPE} AS gtype FROM rules), d0 AS ({DIRECTED}), d1 AS (SELECT d0.* REPLACE (CASE WHEN tsys = '' THEN 0 ELSE d0.type_no END AS type_no) FROM d0),
-    d2 AS (SELECT d1.*, coalesce(gt.gtype, 99) AS gtype FROM d1 LEFT JOIN gt ON gt.type_no = d1.type_no),
-    cls AS (SELECT a.*, CASE WHEN least(a.gtype, coalesce(b.gtype, a.gtype)) = 77 OR a.roundabout = 1 THEN -1 ELSE least(a.gtype, coalesce(b.gtype, a.gtype)) END AS uclass
-      FROM d2 a LEFT JOIN d2 b ON b.no = a.no AND b.from_node = a.to_node AND b.to_node = a.from_node)"""
+    d2 AS MATERIALIZED (SELECT d1.*, coalesce(gt.gtype, 99) AS gtype, {WAY} AS way, {BACK} AS reverse FROM d1 LEFT JOIN gt ON gt.type_no = d1.type_no),
+    cls AS (SELECT a.* EXCLUDE (way, reverse), CASE WHEN least(a.gtype, coalesce(b.gtype, a.gtype)) = 77 OR a.roundabout = 1 THEN -1 ELSE least(a.gtype, coalesce(b.gtype, a.gtype)) END AS uclass
+      FROM d2 a LEFT JOIN d2 b ON b.way = a.reverse)"""
 
 
 def classed(v):
@@ -212,35 +217,6 @@ UTURNS = f"""{RAMPS}, um AS (SELECT c.no, c.from_node, c.to_node, c.length FROM
     ut AS (SELECT DISTINCT no FROM uu JOIN ul USING (component) JOIN un USING (component) WHERE names = 1 AND total <= 0.05 + 1e-12)"""
 
 
-# Motorways and their ramps alone, with one street name: elsewhere every ramp meets several classes by chance.
-NAMED = "CASE WHEN {0} = '' THEN '' ELSE 'Main Street' END"
-MOTORWAYS = UTURNS.replace(f"d0 AS ({DIRECTED})", f"d0 AS (SELECT * FROM ({DIRECTED}) q WHERE type_no IN (10, 19))").replace(
-    "cls AS (SELECT a.*", f"cls AS (SELECT a.* REPLACE ({NAMED.format('a.name')} AS name)"
-)
-
-
-def motorways(v):
-    from ...session import cut
-
-    only = directed(v).filter("type_no IN (10, 19)")
-    links = cut(net.classify_links(only, types(v)).withColumn("name", F.expr(NAMED.format("name"))))
-    return links, net.uturn_links(links, cut(net.ramp_components(links)))
-
-
-@register("N11_uturn_links", f"WITH RECURSIVE {MOTORWAYS} SELECT no FROM ut")
-def uturns(v):
-    return motorways(v)[1]
-
-
-@register(
-    "N09_final_link_classes",
-    f"""WITH RECURSIVE {MOTORWAYS} SELECT cls.no, cls.from_node, CAST(CASE WHEN ut.no IS NOT NULL AND gtype <> 99 THEN 88 ELSE gtype END AS INTEGER) AS class
-        FROM cls LEFT JOIN ut ON ut.no = cls.no""",
-)
-def final_classes(v):
-    return net.link_class(*motorways(v)).select("no", "from_node", F.col("class").cast("int").alias("class"))
-
-
 def all_roads(v):
     """Links of every road under their own names, and the U-turns among them."""
     from ...session import cut
@@ -281,19 +257,6 @@ def node_types(v):
     return net.node_types(joined).select("node", "detail", F.col("type_no").cast("int").alias("type_no"))
 
 
-MOTOR = "SELECT l.from_node, l.to_node FROM {links} l JOIN {ways} w ON w.way_id = l.way_id WHERE w.highway = 'motorway'"
-
-
-@register(
-    "N13_mutually_reachable_nodes",
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT from_node AS a, to_node AS b FROM ({MOTOR}) m), seeds AS (SELECT to_node AS s FROM ({MOTOR}) m GROUP BY to_node ORDER BY count(*) DESC, to_node LIMIT 5),
-        fwd(s, n) AS (SELECT s, s FROM seeds UNION SELECT f.s, e.b FROM fwd f JOIN e ON e.a = f.n), bwd(s, n) AS (SELECT s, s FROM seeds UNION SELECT f.s, e.a FROM bwd f JOIN e ON e.b = f.n)
-        SELECT DISTINCT fwd.n AS node FROM fwd JOIN bwd ON bwd.s = fwd.s AND bwd.n = fwd.n""",
-)
-def mutually_reachable(v):
-    return net.reachable_nodes(v.sql(MOTOR))
-
-
 @register(
     "N13_mutually_reachable_nodes_all_roads",
     """WITH RECURSIVE e AS (SELECT DISTINCT from_node AS a, to_node AS b FROM {links}), seeds AS (SELECT to_node AS s FROM {links} GROUP BY to_node ORDER BY count(*) DESC, to_node LIMIT 5),
