@@ -371,8 +371,8 @@ def delaunay(pts):
 
 @pytest.mark.parametrize("n", [9, 60])
 def test_natural_neighbours(spark, n, monkeypatch):
-    monkeypatch.setattr(odlines, "CANDIDATES", (6, 10))
-    monkeypatch.setattr(odlines, "CORNERS_AT_ONCE", 40)
+    monkeypatch.setattr(odlines, "FILLED", 2)
+    monkeypatch.setattr(odlines, "CROWDED", 4)
     rng = random.Random(n)
     if n == 9:
         pts = [(i, 100.0 * (i % 3) + rng.random() * 9, 100.0 * (i // 3) + rng.random() * 9) for i in range(9)]
@@ -569,3 +569,35 @@ def test_strong_components_stop_at_the_round_limit(spark):
     with pytest.raises(RuntimeError):
         strong_components(spark, [(k, k + 1) for k in range(500)], rounds=3)
     assert strong_components(spark, []) == {}
+
+
+def test_natural_neighbours_of_odd_layouts(spark, monkeypatch):
+    """Lines, lattices, slivers on the rim, a ring, far clusters and tiny sets, each a level of its own, against exact arithmetic."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(odlines, "CROWDED", 8)
+    rng = random.Random(21)
+    spread = lambda n, w: {(rng.randrange(w), rng.randrange(w)) for _ in range(n)}
+    layouts = [
+        {(3 * k, 7 * k) for k in range(12)},  # one line
+        {(10 * i, 10 * j) for i in range(5) for j in range(4)},  # cocircular fours
+        {(k * 1000, k * (40 - k) // 40) for k in range(41)} | {(20_000, 5_000)},  # nearly straight rim, very far circle centres
+        {(round(9000 * math.cos(k)), round(9000 * math.sin(k))) for k in range(30)} | {(0, 1)},
+        spread(15, 20) | {(x + 900_000, y + 5) for x, y in spread(15, 20)},
+        spread(60, 100_000),
+        {(0, 0), (5, 0)}, {(4, 4)}, {(0, 0), (5, 0), (2, 9)},
+    ]
+    rows = [(level, no, float(x), float(y)) for level, pts in enumerate(layouts) for no, (x, y) in enumerate(sorted(pts))]
+    found = odlines.neighbour_edges(spark.createDataFrame(rows, "level int, no long, x double, y double")).collect()
+    for level, pts in enumerate(layouts):
+        exact = [(no, Fraction(x), Fraction(y)) for no, (x, y) in enumerate(sorted(pts))]
+        assert {(r.o, r.d) for r in found if r.level == level} == delaunay(exact), level
+
+
+def test_convex_clipping(spark):
+    from wayfold.functions import geom
+
+    square = F.array(*[geom.corner(x, y) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))])
+    cut = geom.clip_convex(square, F.lit(1.0), F.lit(1.0), F.lit(6.0), F.lit(5))
+    row = spark.range(1).select(cut.alias("c"), geom.clip_convex(square, F.lit(1.0), F.lit(0.0), F.lit(-1.0), F.lit(5)).alias("none")).first()
+    assert [(c.x, c.y, c.o) for c in row.c] == [(0, 0, -1), (4, 0, -1), (4, 2, 5), (2, 4, -1), (0, 4, -1)] and row.none == []
