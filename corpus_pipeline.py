@@ -18,42 +18,53 @@ TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 BLOCK = 4 << 20
 
 
+#: Columns that a stage may read or change; all others are handed on under numbers, whatever they are called.
+COLUMNS = ("doc_id", "text", "n_chars")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with names that clash with nothing; `toDF(*docs.columns)` gives the old ones back."""
+    return docs.toDF(*[c if c in COLUMNS else f"column {k}" for k, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest, which is fitted on labelled rows of the input tables."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    forest = quality_rules.fit_rules(docs, labels)
-    return quality_rules.judge(docs, forest).where("rules.kept").select(*docs.columns)
+    rows = _numbered(docs)
+    forest = quality_rules.fit_rules(rows.select("doc_id", "text"), labels)
+    kept = quality_rules.judge(rows, forest).where("rules.kept").select(*[f"`{c}`" for c in rows.columns])
+    return kept.toDF(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the least doc_id. Rows without a doc_id are in no class and stay; of rows that repeat the id of a
-    kept document, the first in the order of their columns stays."""
-    classes = near_copies.near_copies(docs)
-    gone = cut(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    often = cut(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if not often.isEmpty():
-        first = kept.join(often, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-        kept = kept.join(often, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each class of similar texts: that with the least doc_id. Rows are judged by their texts: those that share a doc_id are in one class only if
+    their texts are. Rows without a doc_id are in no class and stay."""
+    rows = cut(_numbered(docs).withColumn("row", F.monotonically_increasing_id()))
+    known = rows.where("doc_id is not null")
+    classes = near_copies.near_copies(known.select(F.col("row").alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "row", "class_id": "class"})
+    classes = cut(classes.where("row is not null").join(known.select("row", "doc_id"), "row"))
+    # One row per class and task moves; written, so that a class of very many copies can be split.
+    firsts = cut(classes.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", F.col("first.row").alias("first")))
+    gone = cut(classes.join(firsts, "class").where("row <> first").select("row"))
+    return rows.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item; rows are judged one by one, by id and text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.clean(docs, benchmark)
+    return decontaminate.clean(_numbered(docs), benchmark).toDF(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by its kind."""
-    return secrets.mask_secrets(docs)
+    return secrets.mask_secrets(_numbered(docs)).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
-    packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY, BLOCK)
+    packed = packing.pack(_numbered(docs), public_tokenizers.path(TOKENIZER), END_ID, CAPACITY, BLOCK)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

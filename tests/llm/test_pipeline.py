@@ -2,12 +2,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_copies import brute as classes
 
 import corpus_pipeline as pipeline
-from wayfold.llm import queries, secrets
+from wayfold.llm import near_copies, queries, secrets
 from wayfold.session import cut
 
 FOLDER = "/root/testdata/sf0.01"
@@ -33,7 +35,7 @@ def test_stages_are_registered(spark):
     import __spark_entry__ as entry
 
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14)) and "pipeline" in entry.queries()
     assert len(pipeline.STAGES) == 5 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -91,10 +93,34 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = STAGES["near copies"](spark, docs, FOLDER)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0), (True, 0)]
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert found == [(False, 1, "another text of that id"), (False, 1, "same words in two rows here"), (False, 2, ""), (True, 0, ""), (True, 0, "same words in two rows here")]
     for name in ("decontamination", "secrets"):
         assert STAGES[name](spark, docs, FOLDER).count() == len(rows)
     assert STAGES["quality rules"](spark, docs, FOLDER).count() == 0
     assert STAGES["packing"](spark, docs, FOLDER).count() == len(rows)
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Unrelated texts of an id all stay; a text that a smaller id has goes, whatever else its id has."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black brown")
+    rows = [(1, a), (1, b), (2, c), (5, b + " eight"), (9, c), (9, "a text of nine alone and nobody else"), (9, a)]
+    kept = STAGES["near copies"](spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    similar = near_copies.similarity(*near_copies._sets(pa.array([b, b + " eight"]))) >= near_copies.LEAST_SIMILARITY
+    assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (2, c), (9, rows[5][1])] + [rows[3]] * (not similar))
+
+
+def test_other_columns_pass_all_stages(spark):
+    """Names with dots, of inner columns, or that differ in case alone, and maps, come out as they went in."""
+    words = " ".join(f"word{k} of the sentence number {k}." for k in range(40))
+    docs = spark.createDataFrame([(1, words, 5), (2, words, 5), (1, words, 5)], "doc_id long, text string, n_chars long")
+    extra = {c: F.lit(7) for c in ("meta.url", "rules", "row", "class", "first", "spans", "doc", "column 3")}
+    docs = docs.withColumns(extra).select("*", F.lit("r").alias("Rules"), F.lit("t").alias("TEXT"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert all(r[3] == 7 and r[-1] == {"k": 1} and r[-2] == "t" for r in map(tuple, out.collect())), name
+    assert STAGES["near copies"](spark, docs, FOLDER).count() == 1
+    assert STAGES["packing"](spark, docs, FOLDER).count() == 3
