@@ -39,7 +39,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of similar texts: that with the least doc_id. Rows are judged by their texts: those that share a doc_id are in one class only if
     their texts are. Rows without a doc_id are in no class and stay."""
-    rows = cut(_numbered(docs).withColumn("row", F.monotonically_increasing_id()))
+    rows = _numbered(docs)
+    repeats = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeats.isEmpty():  # ids are as good as numbers of rows, which would have to be written with the texts
+        rows = rows.withColumn("row", F.col("doc_id").cast("long"))
+    else:
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     known = rows.where("doc_id is not null")
     classes = near_copies.near_copies(known.select(F.col("row").alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "row", "class_id": "class"})
     classes = cut(classes.where("row is not null").join(known.select("row", "doc_id"), "row"))
