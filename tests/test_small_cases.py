@@ -592,12 +592,3 @@ def test_natural_neighbours_of_odd_layouts(spark, monkeypatch):
     for level, pts in enumerate(layouts):
         exact = [(no, Fraction(x), Fraction(y)) for no, (x, y) in enumerate(sorted(pts))]
         assert {(r.o, r.d) for r in found if r.level == level} == delaunay(exact), level
-
-
-def test_convex_clipping(spark):
-    from wayfold.functions import geom
-
-    square = F.array(*[geom.corner(x, y) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))])
-    cut = geom.clip_convex(square, F.lit(1.0), F.lit(1.0), F.lit(6.0), F.lit(5))
-    row = spark.range(1).select(cut.alias("c"), geom.clip_convex(square, F.lit(1.0), F.lit(0.0), F.lit(-1.0), F.lit(5)).alias("none")).first()
-    assert [(c.x, c.y, c.o) for c in row.c] == [(0, 0, -1), (4, 0, -1), (4, 2, 5), (2, 4, -1), (0, 4, -1)] and row.none == []

@@ -205,64 +205,6 @@ def segment_hits_box(
     return F.greatest(ex, ey, F.lit(0.0)) <= F.least(lx, ly, F.lit(1.0))
 
 
-def _as_column(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
-# ---- convex outlines cut by half planes ------------------------------------------------------------------------------------------
-
-#: A corner in homogeneous coordinates (w = 0: a direction) and the owner of the side that begins there.
-CORNERS = "array<struct<x: double, y: double, w: double, o: bigint>>"
-
-
-def corner(x, y, w=1.0, owner=-1) -> Column:
-    parts = {"x": x, "y": y, "w": w}
-    return F.struct(*[_as_column(v).cast("double").alias(n) for n, v in parts.items()], _as_column(owner).cast("long").alias("o"))
-
-
-def whole_plane() -> Column:
-    """The plane as an outline whose corners are directions."""
-    return F.array(*[corner(x, y, 0.0) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
-
-
 def bound(value: Column, body) -> Column:
     """`body(value)` with the value computed once: a lambda has no memory for what it repeats."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def clip_convex(corners: Column, a: Column, b: Column, c: Column, owner: Column) -> Column:
-    """The part of a convex outline where a x + b y <= c; the new side belongs to `owner`. Empty where nothing is left.
-
-    A side whose ends are both directions gets its foot point, so that the line is known.
-    """
-    side = lambda p: p["x"] * a + p["y"] * b - p["w"] * c
-    marked = F.transform(corners, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["w"].alias("w"), p["o"].alias("o"), side(p).alias("s")))
-
-    def crossing(p: Column, q: Column) -> Column:
-        u = p["s"] / (p["s"] - q["s"])
-        x, y, w = (p[n] + u * (q[n] - p[n]) for n in "xyw")
-        scale = F.when(w > 0, w).otherwise(F.hypot(x, y))
-        return corner(x / scale, y / scale, F.when(w > 0, 1.0).otherwise(0.0), F.when(p["s"] < 0, owner).otherwise(p["o"]))
-
-    def kept(points: Column) -> Column:
-        def at(p: Column, i: Column) -> Column:
-            q = F.element_at(points, F.pmod(i + 1, F.size(points)).cast("int") + 1)
-            here = corner(p["x"], p["y"], p["w"], F.when((p["s"] == 0) & (q["s"] > 0), owner).otherwise(p["o"]))
-            return F.array_compact(F.array(F.when(p["s"] <= 0, here), F.when(p["s"] * q["s"] < 0, crossing(p, q))))
-
-        return F.flatten(F.transform(points, at))
-
-    def with_feet(points: Column) -> Column:
-        norm = a * a + b * b
-        foot = corner(a * c / norm, b * c / norm, 1.0, owner)
-
-        def at(p: Column, i: Column) -> Column:
-            q = F.element_at(points, F.pmod(i + 1, F.size(points)).cast("int") + 1)
-            return F.when((p["o"] == owner) & (p["w"] == 0) & (q["w"] == 0), F.array(p, foot)).otherwise(F.array(p))
-
-        return F.flatten(F.transform(points, at))
-
-    def cut_off(points: Column) -> Column:
-        return F.when(F.forall(points, lambda p: p["s"] <= 0), corners).otherwise(bound(kept(points), with_feet))
-
-    return bound(marked, cut_off)

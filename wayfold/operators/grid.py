@@ -259,3 +259,9 @@ def tier_layer(e2: DataFrame, types: DataFrame) -> DataFrame:
     for layer in layers[1:]:
         out = out.unionByName(layer)
     return out
+
+
+def main_zones(e2: DataFrame, types: DataFrame) -> DataFrame:
+    """The main zones of a study: all selected E0 cells, whatever their area type. `types` has NO_E0 and area_type."""
+    chosen = types.filter("area_type IS NOT NULL").select("NO_E0", "area_type")
+    return grid_level(e2.join(chosen.select("NO_E0"), "NO_E0", "left_semi"), 0).join(chosen.withColumnRenamed("NO_E0", "NO"), "NO")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import first_int
 from ..session import cut
-from .common import keep_first
+from .common import keep_first, with_rank
 from .graph import connected_components, proximity_components, strong_components
 from .spatial import join_knn
 
@@ -504,6 +504,16 @@ def helper_links(clusters: DataFrame) -> DataFrame:
     return both.select("detail", F.col("l.a").alias("from_node"), F.col("l.b").alias("to_node"), F.lit(777).alias("type_no"))
 
 
+def centre_zones(access: DataFrame, zones: DataFrame) -> DataFrame:
+    """Zone rows of the clusters' centres: numbered on from the largest `no` of `zones` in the order of cluster and type, of type 99, each with its node."""
+    top = zones.agg(F.coalesce(F.max("no"), F.lit(0)).alias("_top"))
+    ranked = with_rank(access.select("cluster", "detail", "x", "y"), [F.col("cluster"), F.col("detail")], "number")
+    # One row, so the broadcast is bounded.
+    return ranked.join(F.broadcast(top)).select(
+        (F.col("_top") + F.col("number")).alias("zone_no"), (-F.col("cluster") - 1).alias("node_no"), "detail", "x", "y", F.lit(99).alias("type_no")
+    )
+
+
 def centre_connectors(access: DataFrame, systems: str) -> DataFrame:
     """Connector rows of the new zones: one per direction."""
     return access.select("cluster", "detail", F.explode(F.array(F.lit("O"), F.lit("D"))).alias("direction"), F.lit(systems).alias("tsys"))

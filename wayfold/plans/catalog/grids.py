@@ -132,6 +132,20 @@ def tier_layer(v):
     return grid.tier_layer(e2, typed).select(F.col("NO").cast("long").alias("zone_no"), "area_type")
 
 
+@register(
+    "J04_main_zones",
+    f"""WITH e AS ({E2}), g AS (SELECT NO_E0, min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax FROM e GROUP BY 1),
+        s AS (SELECT cell_id, area_type, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM ({MODES}) m WHERE area_type IS NOT NULL)
+        SELECT g.NO_E0 AS zone_no, arg_min(s.area_type, s.cell_id) AS area_type, g.xmin, g.xmax, g.ymin, g.ymax FROM g JOIN s
+        ON s.x >= g.xmin AND s.x < g.xmax AND s.y >= g.ymin AND s.y < g.ymax GROUP BY ALL""",
+)
+def main_zones(v):
+    e2 = grid.nested_grid(centers(v), RADIUS_KM, CELL)
+    chosen = selected_cells(v).filter("area_type IS NOT NULL").withColumnRenamed("cell_id", "id")
+    typed = grid.assign_area_type(grid.grid_level(e2, 0), chosen, CELL).select(F.col("NO").alias("NO_E0"), "area_type")
+    return grid.main_zones(e2, typed).select(F.col("NO").cast("long").alias("zone_no"), "area_type", "xmin", "xmax", "ymin", "ymax")
+
+
 @register(
     "J05_circle_outlines",
     f"""WITH p AS (SELECT no, radians(y / 99991 * 120 - 60) AS phi, radians(x / 100003 * 360 - 180) AS lam, 25 / 6371.009 AS a FROM {{tier_zones}}),

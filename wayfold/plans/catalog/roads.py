@@ -301,6 +301,32 @@ def helpers(v):
     return net.helper_links(net.cluster_access_nodes(v.sql(TYPED)))
 
 
+CENTRES = f"c AS (SELECT cl.cluster, t.detail, {rnd('avg(t.x)', 4)} AS x, {rnd('avg(t.y)', 4)} AS y FROM t JOIN cl ON cl.id = t.id GROUP BY cl.cluster, t.detail HAVING count(*) > 1)"
+
+
+def centres(v):
+    nodes = v.sql(TYPED)
+    return net.access_nodes(nodes, net.cluster_access_nodes(nodes))
+
+
+@register(
+    "N15_centre_zones",
+    f"""WITH RECURSIVE {CLUSTERED}, {CENTRES} SELECT CAST((SELECT max(no) FROM {{tier_zones}}) + row_number() OVER (ORDER BY cluster, detail) AS BIGINT) AS zone_no,
+        -cluster - 1 AS node_no, detail, x, y, 99 AS type_no FROM c""",
+)
+def centre_zones(v):
+    found = net.centre_zones(centres(v), v.tier_zones)
+    return found.withColumns({c: round_half_up(F.col(c), 4) for c in ("x", "y")})
+
+
+@register(
+    "N15_centre_connectors",
+    f"""WITH RECURSIVE {CLUSTERED}, {CENTRES} SELECT cluster, detail, direction, 'CAR,BUS' AS tsys FROM c, (SELECT unnest(['O', 'D']) AS direction) d""",
+)
+def centre_connectors(v):
+    return net.centre_connectors(centres(v), "CAR,BUS")
+
+
 OLD_LINKS = f"""SELECT way_id * 100 + seq AS no, CASE WHEN way_id % 40 = 3 THEN 95 WHEN way_id % 40 = 4 THEN 99 ELSE {TYPE_NO} END AS type_no, CAST(way_id % 5 AS INTEGER) AS numlanes,
     CAST(20 + way_id % 12 * 10 AS DOUBLE) AS v0 FROM {{links}}"""
 RESTRUCTURED = f"""WITH {TARGET_SQL}, li AS (SELECT * FROM ({OLD_LINKS}) o WHERE type_no <> 95),
