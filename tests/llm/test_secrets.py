@@ -1,6 +1,8 @@
 import base64
 import json
+import random
 import re
+import time
 
 import pytest
 
@@ -146,3 +148,25 @@ def test_tables(spark):
     assert line.text.startswith("<ASSIGN> PASSWD='abc'") and line.n_chars == len(line.text)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.find_secrets(empty).collect() == [] and secrets.mask_secrets(empty).collect() == []
+
+
+def test_time_is_linear_in_the_text():
+    """Texts that open a token or a block again and again: minutes, if every opening read on to the end."""
+    begin, end = "-----BEGIN PRIVATE KEY-----\n", "-----END PRIVATE KEY-----"
+    t0 = time.monotonic()
+    assert secrets.spans_of("eyJa-" * 2_000_000) == []
+    assert secrets.spans_of(begin * 100_000) == [] and secrets.spans_of(begin * 100_000 + end) == []
+    block = f"{begin}{b64(PKCS8)}\n{end}"
+    found = secrets.spans_of(begin * 100_000 + block)
+    assert ("block", len(begin) * 100_000, len(begin) * 100_000 + len(block)) in found
+    assert time.monotonic() - t0 < 30
+
+
+def test_tokens_begin_at_the_first_place_of_a_run():
+    plain = re.compile(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    rng = random.Random(5)
+    for _ in range(30_000):
+        text = "".join(rng.choices(["eyJ", "a", "-", ".", "é", " ", "_"], [4, 2, 2, 5, 1, 1, 1], k=rng.randint(1, 14)))
+        assert [m.span(1) for m in secrets._TOKEN.finditer(text)] == [m.span() for m in plain.finditer(text)], text
+    good = token({"alg": "HS256"})
+    assert ("token", 3, 3 + len(good)) in secrets.spans_of(f"a--{good}")

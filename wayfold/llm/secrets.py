@@ -39,8 +39,12 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 # A match is a whole run, so that asking for the least length in the pattern drops just the matches that are too short.
 _ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
 _HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
-_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY)-----")
-_TOKEN = re.compile(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# The dashes after a mark may be those before the next one.
+_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY)(?=-----)")
+# Tried once per run of token characters, and only if two more runs follow it, so that the time is linear in the text.
+_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.)[A-Za-z0-9_-]*?\b(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)"
+)
 # An encoded key begins with a sequence (30 in hexadecimal), an armoured one with dashes, a token with a brace.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]|LS0|b3B|ZXl)[A-Za-z0-9+/_-]{38,}={0,2}")
 # Nothing but the run may stand between the ends of its lines.
@@ -168,24 +172,23 @@ def _is_secret(data: bytes | None) -> bool:
         text = data.decode("ascii")
     except UnicodeDecodeError:
         return False
-    return bool(_blocks(text)) or any(is_signed_token(m[0]) for m in _TOKEN.finditer(text))
+    return bool(_blocks(text)) or any(is_signed_token(m[1]) for m in _TOKEN.finditer(text))
 
 
 def _blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of armoured private keys whose body decodes to a key; header lines of old files mark an encrypted body, taken as it is."""
-    out, at = [], 0
-    while m := _BLOCK.search(text, at):
-        closing = f"-----END {m[1]}-----"
-        stop = text.find(closing, m.end())
-        at = m.end()
-        if stop < 0:
-            continue
-        lines = text[m.end() : stop].replace("\\n", "\n").split("\n")
-        encrypted = any(x.startswith("DEK-Info:") for x in lines)
-        data = _decoded("".join(x.strip() for x in lines if ":" not in x))
-        if data and (len(data) % 8 == 0 if encrypted else is_private_key(data) or is_ssh_key(data)):
-            at = stop + len(closing)
-            out.append((m.start(), at))
+    """Spans of armoured private keys whose body decodes to a key; header lines of old files mark an encrypted body, taken as it is.
+
+    A body holds no mark, so a block runs from the last BEGIN before an END, and every body is read once.
+    """
+    out, begin = [], None
+    for m in _MARK.finditer(text):
+        if m[1] == "END" and begin is not None and begin[2] == m[2]:
+            lines = text[begin.end() + 5 : m.start()].replace("\\n", "\n").split("\n")
+            encrypted = any(x.startswith("DEK-Info:") for x in lines)
+            data = _decoded("".join(x.strip() for x in lines if ":" not in x))
+            if data and (len(data) % 8 == 0 if encrypted else is_private_key(data) or is_ssh_key(data)):
+                out.append((begin.start(), m.end() + 5))
+        begin = m if m[1] == "BEGIN" else None
     return out
 
 
@@ -227,7 +230,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             out.append(("key", m.start(), end))
     out += [("key", *m.span()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and _is_secret(bytes.fromhex(m[0]))]
     if "eyJ" in text:
-        out += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        out += [("token", *m.span(1)) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
