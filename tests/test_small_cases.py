@@ -592,3 +592,73 @@ def test_natural_neighbours_of_odd_layouts(spark, monkeypatch):
     for level, pts in enumerate(layouts):
         exact = [(no, Fraction(x), Fraction(y)) for no, (x, y) in enumerate(sorted(pts))]
         assert {(r.o, r.d) for r in found if r.level == level} == delaunay(exact), level
+
+
+def plain_inside(x, y, ring):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax):
+            odd = not odd
+    return odd
+
+
+def plain_edge_distance(x, y, ring):
+    def one(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        length2 = dx * dx + dy * dy
+        t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / length2)) if length2 else 0.0
+        return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    return min(one(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+@pytest.mark.parametrize("size", [3.0, 10.0, 500.0])
+def test_points_meet_the_edges_of_their_cell(spark, size):
+    """Concave, crossing and flat rings, vertices and points on round coordinates, against every edge of every ring."""
+    from wayfold.operators import outlines
+
+    rng = random.Random(11)
+    star = [(50 + r * math.cos(k), 50 + r * math.sin(k)) for k, r in ((2 * math.pi * i / 40, 45 if i % 2 else 12) for i in range(40))]
+    rings = {
+        0: star,
+        1: [(0.0, 0.0), (90.0, 0.0), (90.0, 10.0), (20.0, 10.0), (20.0, 60.0), (90.0, 60.0), (90.0, 70.0), (0.0, 70.0)],
+        2: [(0.0, 0.0), (100.0, 100.0), (100.0, 0.0), (0.0, 100.0)],
+        3: [(float(rng.randint(0, 100)), float(rng.randint(0, 100))) for _ in range(30)],
+        4: [(-40.0, -35.0), (-10.0, -35.0), (-25.0, -20.0), (-25.0, -20.0)],
+    }
+    spots = [(float(rng.randint(-50, 110)), float(rng.randint(-50, 110))) for _ in range(250)] + [(rng.uniform(-50, 110), rng.uniform(-50, 110)) for _ in range(250)]
+    pts = points(spark, [(i, *p) for i, p in enumerate(spots)])
+    shapes = spark.createDataFrame(list(rings.items()), "region int, ring array<struct<x: double, y: double>>")
+    found = {(r.id, r.region): r.d for r in outlines.regions_within(pts, shapes, 7.0, size, ["region"]).collect()}
+    # A point on an edge may fall to either side in rounding, but then its distance is 0 all the same.
+    for i, (x, y) in enumerate(spots):
+        for no, ring in rings.items():
+            near = plain_edge_distance(x, y, ring)
+            d = 0.0 if plain_inside(x, y, ring) else near
+            if abs(near - 7.0) > 1e-9:
+                assert ((i, no) in found) == (d <= 7.0), (i, no)
+            if d <= 7.0 and near > 1e-9:
+                assert found[i, no] == pytest.approx(d, abs=1e-9), (i, no)
+
+
+def test_a_ring_of_many_vertices_is_not_copied(spark):
+    from wayfold.operators import outlines
+
+    n = 100_000
+    wave = [(1000 + r * math.cos(a), 1000 + r * math.sin(a)) for a, r in ((2 * math.pi * i / n, 800 + 20 * math.sin(2 * math.pi * i / 97)) for i in range(n))]
+    shape = spark.createDataFrame([(wave,)], "ring array<struct<x: double, y: double>>")
+    cells = outlines.outline_cells(shape, 20.0).selectExpr("size(edges) AS n").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("cells")).first()
+    assert cells.most < n / 50 and cells["all"] < 2 * n and cells.cells < 101 * 101
+    rng = random.Random(3)
+    spots = [(i, rng.uniform(0, 2000), rng.uniform(0, 2000)) for i in range(300)]
+    inside = outlines.join_outlines(points(spark, spots), outlines.outline_cells(shape, 20.0), 20.0, lambda within, d: within)
+    assert {r.id for r in inside.collect()} == {i for i, x, y in spots if plain_inside(x, y, wave)}
+
+
+def test_countries_of_chains_that_go_in_circles(spark):
+    from wayfold.operators import catalogue
+
+    chain = [(f"r{i}", f"r{i + 1}" if i < 40 else "land", None) for i in range(41)]
+    rows = [("land", "world", "LL"), ("world", None, None), *chain, ("a", "b", None), ("b", "c", "BB"), ("c", "a", None), ("land/d", "a", None), ("e", "gone", "EE"), ("f", "e", None)]
+    found = {r.id: r.country for r in catalogue.region_countries(spark.createDataFrame(rows, "id string, parent string, alpha2 string")).collect()}
+    assert found == {"land": "land", **{f"r{i}": "land" for i in range(41)}, "land/d": "land", "e": "e", "f": "e"}

@@ -149,8 +149,8 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(ring_edges(ring), F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
 
 
-def dist_point_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Distance from a point to the nearest edge of a ring (not 0 inside)."""
+def dist_point_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Distance from a point to the nearest of some edges (a, b); NULL if there are none."""
 
     def to_segment(e: Column) -> Column:
         dx, dy = e.b.x - e.a.x, e.b.y - e.a.y
@@ -160,7 +160,12 @@ def dist_point_ring(x: Column, y: Column, ring: Column) -> Column:
         ).otherwise(0.0)
         return dist_euclid(x, y, e.a.x + t * dx, e.a.y + t * dy)
 
-    return F.array_min(F.transform(ring_edges(ring), to_segment))
+    return F.array_min(F.transform(edges, to_segment))
+
+
+def dist_point_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Distance from a point to the nearest edge of a ring (not 0 inside)."""
+    return dist_point_edges(x, y, ring_edges(ring))
 
 
 def box_ring(xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:

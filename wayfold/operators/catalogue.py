@@ -5,36 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import dist_point_ring, point_in_ring
 from ..functions.names import extract_key
-from ..session import cut
+from ..session import cut, discard
 from .common import keep_first
-from .spatial import _spread, with_bucket
-from ..functions.maths import bucket
+from .outlines import regions_within
 
 
 def region_countries(regions: DataFrame) -> DataFrame:
     """(id, country): the topmost ancestor with a country code, else the region named by the id's first part.
 
-    `regions` has id, parent and alpha2 (NULL unless the region is a country). The parent chain is followed one
-    level per round, for all regions at once.
+    `regions` has id (unique), parent and alpha2 (NULL unless the region is a country). Every round doubles the stretch of
+    the chain that a region has seen, for all regions at once. A chain that runs into a circle has no topmost
+    ancestor, so its regions take the country of their id's first part.
     """
-    parents = cut(regions.select(F.col("id").alias("at"), F.col("parent").alias("_up"), F.col("alpha2").isNotNull().alias("_is")))
-    walk = regions.select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("country"))
-    done = None
-    while True:
-        step = walk.join(parents, "at").select(
-            "id", F.col("_up").alias("at"), F.when(F.col("_is"), F.col("at")).otherwise(F.col("country")).alias("country")
-        )
-        step = cut(step)
-        ended = step.filter("at IS NULL").select("id", "country")
-        done = ended if done is None else done.unionByName(ended)
-        walk = step.filter("at IS NOT NULL")
-        known = walk.join(parents, "at", "left_anti").select("id", "country")
-        done = done.unionByName(known)
-        if walk.isEmpty():
-            break
-    by_chain = done.groupBy("id").agg(F.max("country").alias("country"))
+    walk = cut(regions.select("id", F.col("parent").alias("up"), F.when(F.col("alpha2").isNotNull(), F.col("id")).alias("country")))
+    seen, known = 1, walk.count()
+    # A stretch longer than there are regions goes round in a circle.
+    while seen <= known and not walk.filter("up IS NOT NULL").isEmpty():
+        ahead = walk.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("country").alias("_country"))
+        further = walk.join(ahead, "up", "left").select("id", F.col("_up").alias("up"), F.coalesce("_country", "country").alias("country"))
+        written = cut(further)
+        discard(walk)
+        walk, seen = written, seen * 2
+    by_chain = walk.select("id", F.when(F.col("up").isNull(), F.col("country")).alias("country"))
     countries = regions.filter("alpha2 IS NOT NULL").select(F.col("id").alias("_prefix"))
     prefixed = by_chain.withColumn("_prefix", F.when(F.col("id").contains("/"), F.split("id", "/")[0]))
     prefixed = prefixed.join(countries.withColumn("_hit", F.col("_prefix")), "_prefix", "left")
@@ -48,20 +41,8 @@ def regions_near(points: DataFrame, regions: DataFrame, radius: float, size: flo
     The result has one row per point, country and sub-region (sub-region NULL when a country has none): the point's
     own country first, then by distance; sub-regions by distance.
     """
-    extent = regions.select(
-        F.col("id").alias("region"), F.col("parent").alias("_parent"), "ring",
-        (F.array_min(F.transform("ring", lambda p: p.x)) - radius).alias("xmin"),
-        (F.array_max(F.transform("ring", lambda p: p.x)) + radius).alias("xmax"),
-        (F.array_min(F.transform("ring", lambda p: p.y)) - radius).alias("ymin"),
-        (F.array_max(F.transform("ring", lambda p: p.y)) + radius).alias("ymax"),
-    )
-    axis = lambda c: F.sequence(bucket(F.col(f"{c}min"), size), bucket(F.col(f"{c}max"), size))
-    cells = F.flatten(F.transform(axis("x"), lambda bx: F.transform(axis("y"), lambda by: F.struct(bx.alias("bx"), by.alias("by")))))
-    inside = (F.col("x").between(F.col("xmin"), F.col("xmax"))) & (F.col("y").between(F.col("ymin"), F.col("ymax")))
-    pairs = with_bucket(points.select("id", "x", "y", "code"), size).join(_spread(extent, cells), ["bx", "by"]).filter(inside)
-    ring = F.col("ring")
-    d = F.when(point_in_ring(F.col("x"), F.col("y"), ring), 0.0).otherwise(dist_point_ring(F.col("x"), F.col("y"), ring))
-    near = pairs.withColumn("d", d).filter(F.col("d") <= radius).select("id", "code", "region", "_parent", "d")
+    named = regions.select(F.col("id").alias("region"), F.col("parent").alias("_parent"), "ring")
+    near = regions_within(points.select("id", "x", "y", "code"), named, radius, size, ["region", "_parent"]).drop("x", "y")
     home = region_countries(regions).select(F.col("id").alias("region"), "country")
     codes = regions.filter("alpha2 IS NOT NULL").select(F.col("id").alias("country"), "alpha2")
     found = near.join(home, "region").join(codes, "country")

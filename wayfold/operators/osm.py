@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geom import point_in_ring
 from ..functions.tags import any_of, clean, tag
 from .common import keep_first
-from .spatial import _box_cells, _spread, with_bucket
+from .outlines import join_outlines, outline_cells
 
 # ---- fixed values: areas without inhabitants -----------------------------------------------------------------------
 UNINHABITED = {
@@ -87,15 +86,7 @@ def extract_within(points: DataFrame, outline: DataFrame, size: float) -> DataFr
 
 
 def _in_rings(points: DataFrame, outline: DataFrame, size: float, how: str) -> DataFrame:
-    boxes = outline.select(
-        "ring",
-        F.array_min(F.transform("ring", lambda v: v.x)).alias("xmin"), F.array_max(F.transform("ring", lambda v: v.x)).alias("xmax"),
-        F.array_min(F.transform("ring", lambda v: v.y)).alias("ymin"), F.array_max(F.transform("ring", lambda v: v.y)).alias("ymax"),
-    )
-    keyed, spread = with_bucket(points, size), _spread(boxes, _box_cells(size))
-    inside = point_in_ring(F.col("x"), F.col("y"), F.col("ring"))
-    cond = (keyed.bx == spread.bx) & (keyed.by == spread.by) & inside
-    return keyed.join(spread, cond, how).drop("bx", "by")
+    return join_outlines(points, outline_cells(outline, size), size, lambda inside, d: inside, how)
 
 
 def extract_ways_within(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame, outline: DataFrame, size: float):

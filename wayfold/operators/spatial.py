@@ -12,10 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import box_overlap, dist_euclid, dist_point_box, dist_point_ring, point_in_ring
+from ..functions.geom import box_overlap, dist_euclid, dist_point_box
 from ..functions.maths import bucket
 from ..session import cut
 from .common import keep_first, keep_group_max
+from .outlines import join_outlines, outline_cells
 
 
 def _cells(size: float, reach: int, x: str = "x", y: str = "y") -> Column:
@@ -416,18 +417,7 @@ def clip_to_buffered_outline(points: DataFrame, outlines: DataFrame, reach: floa
 
 
 def _near_rings(points: DataFrame, outlines: DataFrame, reach: float, size: float, how: str, meant) -> DataFrame:
-    boxes = outlines.select(
-        "ring",
-        (F.array_min(F.transform("ring", lambda v: v.x)) - reach).alias("xmin"),
-        (F.array_max(F.transform("ring", lambda v: v.x)) + reach).alias("xmax"),
-        (F.array_min(F.transform("ring", lambda v: v.y)) - reach).alias("ymin"),
-        (F.array_max(F.transform("ring", lambda v: v.y)) + reach).alias("ymax"),
-    )
-    keyed, spread = with_bucket(points, size), _spread(boxes, _box_cells(size))
-    x, y, ring = F.col("x"), F.col("y"), F.col("ring")
-    near = meant(point_in_ring(x, y, ring), dist_point_ring(x, y, ring))
-    cond = (keyed.bx == spread.bx) & (keyed.by == spread.by) & near
-    return keyed.join(spread, cond, how).drop("bx", "by")
+    return join_outlines(points, outline_cells(outlines, size, reach), size, meant, how)
 
 
 def clip_boxes(boxes: DataFrame, windows: DataFrame) -> DataFrame:
