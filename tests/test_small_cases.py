@@ -662,3 +662,58 @@ def test_countries_of_chains_that_go_in_circles(spark):
     rows = [("land", "world", "LL"), ("world", None, None), *chain, ("a", "b", None), ("b", "c", "BB"), ("c", "a", None), ("land/d", "a", None), ("e", "gone", "EE"), ("f", "e", None)]
     found = {r.id: r.country for r in catalogue.region_countries(spark.createDataFrame(rows, "id string, parent string, alpha2 string")).collect()}
     assert found == {"land": "land", **{f"r{i}": "land" for i in range(41)}, "land/d": "land", "e": "e", "f": "e"}
+
+
+def plain_clip(ring, keep):
+    """The part of a convex ring on the side where keep(point) >= 0."""
+    out = []
+    for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        a, b = keep(p), keep(q)
+        if a >= 0:
+            out.append(p)
+        if a * b < 0:
+            u = a / (a - b)
+            out.append((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])))
+    return out
+
+
+def plain_area(ring):
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2 if ring else 0.0
+
+
+def test_strips_cover_their_line_only(spark):
+    from wayfold.operators import osm, shapes
+
+    rng = random.Random(21)
+    paths = {i: [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(rng.randint(1, 4))] for i in range(25)}
+    paths |= {30: [(10.0, 10.0), (10.0, 40.0), (30.0, 40.0), (30.0, 40.0), (20.0, 30.0)], 31: [(0.0, 0.0), (100.0, 100.0)], 32: []}
+    lines = spark.createDataFrame(list(paths.items()), "id int, path array<struct<x: double, y: double>>")
+    half, size, window = 0.5, 10.0, (5.0, 72.0, 8.0, 90.0)
+    strips = osm.line_strips(lines, half)
+    rings = {(r.id, r.part): [(v.x, v.y) for v in r.ring] for r in strips.collect()}
+    segments = {(i, k): (p, q) for i, path in paths.items() for k, (p, q) in enumerate(zip(path, path[1:])) if p != q}  # noqa: B905
+    assert rings.keys() == segments.keys()
+    for key, (p, q) in segments.items():
+        length = math.dist(p, q)
+        assert plain_area(rings[key]) == pytest.approx((length + 2 * half) * 2 * half)
+        u = ((q[0] - p[0]) / length, (q[1] - p[1]) / length)
+        for x, y in rings[key]:
+            along, across = (x - p[0]) * u[0] + (y - p[1]) * u[1], (x - p[0]) * u[1] - (y - p[1]) * u[0]
+            assert min(abs(along + half), abs(along - length - half)) < 1e-9 and abs(abs(across) - half) < 1e-9
+    box = spark.createDataFrame([window], "wxmin double, wxmax double, wymin double, wymax double")
+    found = {(r.id, r.part, r.col, r.row_no): r.area for r in shapes.covered_cells(shapes.clip_rings(strips.select("id", "part", "ring"), box), size).collect()}
+    expected = {}
+    for (i, k), ring in rings.items():
+        for col in range(10):
+            for row in range(10):
+                x0, x1 = max(col * size, window[0]), min((col + 1) * size, window[1])
+                y0, y1 = max(row * size, window[2]), min((row + 1) * size, window[3])
+                piece = ring if x0 < x1 and y0 < y1 else []
+                for keep in (lambda p: p[0] - x0, lambda p: x1 - p[0], lambda p: p[1] - y0, lambda p: y1 - p[1]):  # noqa: B023
+                    piece = plain_clip(piece, keep)
+                if plain_area(piece) > 1e-9:
+                    expected[i, k, col, row] = plain_area(piece)
+    assert {k for k, a in found.items() if a > 1e-9} == expected.keys()
+    assert all(found[k] == pytest.approx(a, abs=1e-9) for k, a in expected.items())
+    # The slanted line meets the cells along it: one of each row and its neighbours at the corners.
+    assert len([k for k in found if k[0] == 31]) < 30

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geom import strip_ring
 from ..functions.tags import any_of, clean, tag
 from .common import keep_first
 from .outlines import join_outlines, outline_cells
@@ -131,24 +132,44 @@ def uninhabited_category(df: DataFrame) -> Column:
     )
 
 
+def uninhabited_features(features: DataFrame) -> DataFrame:
+    """Features without inhabitants with their category; underground parking is none of them."""
+    t = lambda key: clean(tag(features, key))
+    underground = (t("amenity") == "parking") & ((t("parking") == "underground") | (t("location") == "underground"))
+    return tag_filter(features, UNINHABITED).filter(~underground).withColumn("category", uninhabited_category(features))
+
+
 def extract_uninhabited(features: DataFrame, half_width: float = 0.5) -> DataFrame:
     """Uninhabited features as boxes: filtered, categorised, without underground parking.
 
-    `features` has xmin..ymax and `is_line`; lines are widened by half a metre on each side.
+    `features` has xmin..ymax and `is_line`; boxes of lines are widened by half a metre on each side. Where the course of
+    a line is known, `uninhabited_strips` covers no more than the line itself.
     """
-    kept = tag_filter(features, UNINHABITED)
-    t = lambda key: clean(tag(features, key))
-    underground = (t("amenity") == "parking") & ((t("parking") == "underground") | (t("location") == "underground"))
     grow = F.when(F.col("is_line"), F.lit(half_width)).otherwise(0.0)
-    return kept.filter(~underground).withColumns(
+    return uninhabited_features(features).withColumns(
         {
-            "category": uninhabited_category(features),
             "xmin": F.col("xmin") - grow, "xmax": F.col("xmax") + grow,
             "ymin": F.col("ymin") - grow, "ymax": F.col("ymax") + grow,
         }
     )
 
 
+def line_strips(lines: DataFrame, half_width: float = 0.5) -> DataFrame:
+    """One row per segment of each line's `path` (an array of x, y): its number `part` and the `ring` of the strip along it.
+
+    Strips end in square caps, so that those of neighbouring segments overlap at a bend. Segments without length are left out.
+    """
+    ends = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p, i: F.struct(p.alias("p"), F.get(F.col("path"), i + 1).alias("q")))
+    segments = lines.select(*[c for c in lines.columns if c != "path"], F.posexplode(ends).alias("part", "_s")).filter("_s.p != _s.q")
+    ring = strip_ring(F.col("_s.p.x"), F.col("_s.p.y"), F.col("_s.q.x"), F.col("_s.q.y"), half_width)
+    return segments.withColumn("ring", ring).drop("_s")
+
+
+def uninhabited_strips(lines: DataFrame, half_width: float = 0.5) -> DataFrame:
+    """Uninhabited lines (with `path`) as strips along their segments, with their category."""
+    return line_strips(uninhabited_features(lines), half_width)
+
+
 def extract_pois(features: DataFrame, wanted: tuple[str, ...] = POI_TAGS) -> DataFrame:
     """Wanted tags as text columns ('' when missing); features with none of them are dropped."""
     columns = [clean(tag(features, key)).alias(key) for key in wanted]

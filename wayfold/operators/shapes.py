@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import ring_is_valid
+from ..functions.geom import clip_half_plane, clip_to_box, ring_is_valid, shoelace
 
 
 def valid_rings(df: DataFrame) -> DataFrame:
@@ -14,6 +14,48 @@ def valid_rings(df: DataFrame) -> DataFrame:
     return split.filter(ring_is_valid(F.col("ring")))
 
 
+def _extent(ring: str = "ring") -> dict[str, Column]:
+    """Columns xmin to ymax of a ring."""
+    side = lambda fn, axis: fn(F.transform(ring, lambda v: v[axis]))
+    return {f"{axis}{end}": side(fn, axis) for axis in "xy" for end, fn in (("min", F.array_min), ("max", F.array_max))}
+
+
+def _with_area(ring: Column) -> Column:
+    """The ring in a row of its own if it has an area. A generator, as a filter would be pushed down and clip the ring again."""
+    return F.explode(F.filter(F.array(ring), lambda r: (F.size(r) >= 3) & (F.abs(shoelace(r)) > 0))).alias("ring")
+
+
+def clip_rings(parts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Convex rings cut to each window (wxmin, wxmax, wymin, wymax) they overlap; what shares no area with any is dropped.
+
+    Pairs are found by the rings' extents in buckets as wide as the mean side of the windows.
+    """
+    from .spatial import join_intersects
+
+    side = windows.agg(F.avg((F.col("wxmax") - F.col("wxmin") + F.col("wymax") - F.col("wymin")) / 2).alias("s")).first().s
+    named = windows.select(*[F.col(f"w{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+    pairs = join_intersects(parts.withColumns(_extent()), named, float(side or 1.0))
+    cut_ring = clip_to_box(F.col("ring"), F.col("rxmin"), F.col("rxmax"), F.col("rymin"), F.col("rymax"))
+    return pairs.select(*[c for c in parts.columns if c != "ring"], _with_area(cut_ring)).select(*parts.columns)
+
+
+def covered_cells(parts: DataFrame, size: float) -> DataFrame:
+    """Square cells (`col`, `row_no`) that share area with a convex ring, with that `area`; the other columns stay.
+
+    The ring is cut into rows of cells first, so that a slanted strip meets the cells along it, not those of its extent.
+    """
+    others = [c for c in parts.columns if c != "ring"]
+    cell = lambda c: F.floor(F.col(c) / size)
+    boxed = parts.withColumns(_extent()).withColumn("row_no", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
+    low = F.col("row_no") * size
+    band = clip_half_plane(clip_half_plane(F.col("ring"), 0.0, -1.0, -low), 0.0, 1.0, low + size)
+    rows = boxed.select(*others, "row_no", _with_area(band))
+    spread = rows.withColumns(_extent()).withColumn("col", F.explode(F.sequence(cell("xmin"), cell("xmax"))))
+    left = F.col("col") * size
+    piece = clip_half_plane(clip_half_plane(F.col("ring"), -1.0, 0.0, -left), 1.0, 0.0, left + size)
+    return spread.select(*others, "col", "row_no", _with_area(piece)).select(*others, "col", "row_no", F.abs(shoelace(F.col("ring"))).alias("area"))
+
+
 def with_point(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows with both coordinates as points x, y."""
     return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"x": F.col(x), "y": F.col(y)})

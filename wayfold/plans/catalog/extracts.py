@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.maths import round_half_up
 from ...functions.tags import tag_map
 from ...operators import common, osm
-from . import register
+from . import register, rnd
 
 
 @register(
@@ -155,6 +156,46 @@ def uninhabited(v):
     return kept.select("id", "category", "xmin", "xmax", "ymin", "ymax")
 
 
+def way_lines(v):
+    """Ways with their course; a way has at most 2000 nodes by format."""
+    course = v.way_nodes.join(v.nodes, "node_id").groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("_c"))
+    path = F.transform("_c", lambda c: F.struct(c.x.alias("x"), c.y.alias("y")))
+    return course.select("way_id", path.alias("path")).join(tagged(v), "way_id")
+
+
+def corner(no, axis):
+    return round_half_up(F.col("ring")[no][axis], 4).alias(f"{axis}{no + 1}")
+
+
+STRIP = """SELECT l.way_id, CAST(l.seq - 1 AS INTEGER) AS part, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
+    FROM {links} l JOIN {nodes} a ON a.node_id = l.from_node JOIN {nodes} b ON b.node_id = l.to_node JOIN {tagged_ways} t ON t.way_id = l.way_id
+    WHERE t.highway IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary') AND (a.x <> b.x OR a.y <> b.y)"""
+STRIP_CORNERS = ", ".join(
+    f"{rnd(f'{end}x {lon} ux {lat_x} uy')} AS x{no}, {rnd(f'{y} {lon} uy {lat_y} ux')} AS y{no}"
+    for no, (end, y, lon, lat_x, lat_y) in enumerate((("a", "ay", "-", "+", "-"), ("b", "by_", "+", "+", "-"), ("b", "by_", "+", "-", "+"), ("a", "ay", "-", "-", "+")), 1)
+)
+
+
+@register(
+    "A06_line_strips",
+    f"""WITH s AS (SELECT *, (bx - ax) / len * 0.5 AS ux, (by_ - ay) / len * 0.5 AS uy FROM ({STRIP}) g)
+        SELECT way_id, part, 'street' AS category, {STRIP_CORNERS} FROM s""",
+)
+def line_strips(v):
+    strips = osm.uninhabited_strips(way_lines(v))
+    return strips.select("way_id", "part", "category", *[corner(no, axis) for no in range(4) for axis in "xy"])
+
+
+@register("A06_strip_cells")
+def strip_cells(v):
+    """What the strips take from cells of 5 km inside a window; tested by brute force on a fixture."""
+    from ...operators import shapes
+
+    window = v.spark.createDataFrame([(5000.0, 40000.0, 5000.0, 40000.0)], "wxmin double, wxmax double, wymin double, wymax double")
+    strips = osm.uninhabited_strips(way_lines(v)).select("way_id", "part", "category", "ring")
+    return shapes.covered_cells(shapes.clip_rings(strips, window), 5000.0)
+
+
 @register(
     "A07_extract_study_area_pois",
     f"""WITH f AS ({FEATURES.replace(' natural,', ' nat,')})
