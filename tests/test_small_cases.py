@@ -717,3 +717,33 @@ def test_strips_cover_their_line_only(spark):
     assert all(found[k] == pytest.approx(a, abs=1e-9) for k, a in expected.items())
     # The slanted line meets the cells along it: one of each row and its neighbours at the corners.
     assert len([k for k in found if k[0] == 31]) < 30
+
+
+def test_areas_are_polygons_with_holes(spark):
+    """Islands in holes, holes that touch their ring, corners that touch: every cell's centre against the rings drawn."""
+    import json
+
+    from wayfold.operators import shapes
+
+    pictures = {
+        "PA": ["#########", "#.......#", "#.#####.#", "#.#...#.#", "#.#.#.#.#", "#.#...#.#", "#.#####.#", "#.......#", "#########", ".........", "##.......", "##......."],
+        "IA1": ["####", "#.##", "##.#", "####"],
+        "IA2": ["#.#", ".#.", "###"],
+    }
+    size, marks = 100.0, {m: {(x, y) for y, line in enumerate(p) for x, c in enumerate(line) if c == "#"} for m, p in pictures.items()}
+    rows = [(m, x * size, (x + 1) * size, y * size, (y + 1) * size) for m, cells in marks.items() for x, y in cells]
+    cells = spark.createDataFrame(rows, "mode string, xmin double, xmax double, ymin double, ymax double")
+    features = {r.Bereich: r for r in shapes.area_features(cells, size).collect()}
+    assert [features[m].id for m in ("PA", "IA1", "IA2")] == [1, 2, 3]
+    assert {m: (f.n_polygons, f.n_holes) for m, f in features.items()} == {"PA": (4, 2), "IA1": (1, 1), "IA2": (3, 0)}
+    for mode, feature in features.items():
+        shape = json.loads(feature.geometry)
+        assert shape["type"] == ("Polygon" if feature.n_polygons == 1 else "MultiPolygon")
+        parts = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]
+        assert all(ring[0] == ring[-1] for part in parts for ring in part)
+        drawn = [[[tuple(p) for p in ring[:-1]] for ring in part] for part in parts]
+        for x in range(-1, 10):
+            for y in range(-1, 13):
+                at = ((x + 0.5) * size, (y + 0.5) * size)
+                n = sum(plain_inside(*at, part[0]) and not any(plain_inside(*at, hole) for hole in part[1:]) for part in drawn)
+                assert n == ((x, y) in marks[mode]), (mode, x, y)

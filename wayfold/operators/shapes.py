@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import clip_half_plane, clip_to_box, ring_is_valid, shoelace
+from ..session import cut
 
 
 def valid_rings(df: DataFrame) -> DataFrame:
@@ -76,8 +77,6 @@ def outline_rings(edges: DataFrame, by: list[str], size: float) -> DataFrame:
     only at a corner apart. Every edge thus has one successor, and the ring's first edge is found by following
     successors with doubled strides, a logarithmic number of joins for any ring length.
     """
-    from ..session import cut
-
     # An edge's successor starts where it ends; the turn decides between two candidates.
     e = edges.withColumn("edge", F.struct("x1", "y1", "x2", "y2"))
     nxt = e.select(
@@ -120,8 +119,39 @@ def outline_rings(edges: DataFrame, by: list[str], size: float) -> DataFrame:
     )
 
 
+def polygons(rings: DataFrame, by: list[str], size: float) -> DataFrame:
+    """One row per polygon of `outline_rings`: by, `outer` (its ring) and `holes` (an array of rings in the order of their first edges).
+
+    The area lies on the left of every ring, so holes are those that run clockwise. A hole belongs to the narrowest ring of its
+    group around it, found by a spot beside its first edge, which lies inside a cell and hence on no ring.
+    """
+    from .outlines import regions_within
+
+    turned = cut(rings.withColumn("_a", shoelace(F.col("ring"))))
+    outer = turned.filter("_a > 0")
+    step = lambda axis: F.col("ring")[1][axis] - F.col("ring")[0][axis]
+    spot = {"x": F.col("ring")[0]["x"] + (step("x") + step("y")) / 2, "y": F.col("ring")[0]["y"] + (step("y") - step("x")) / 2}
+    holes = turned.filter("_a < 0").withColumns(spot).select(*by, F.col("head").alias("hole"), "x", "y")
+    around = outer.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("head").alias("_outer"), "_a", "ring")
+    pairs = regions_within(holes, around, 0.0, 8 * size, [*[f"_{c}" for c in by], "_outer", "_a"])
+    for c in by:
+        pairs = pairs.filter(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    owner = pairs.groupBy(*by, "hole").agg(F.min_by("_outer", "_a").alias("_of"))
+    owned = turned.withColumnRenamed("head", "hole").join(owner, [*by, "hole"])
+    lists = owned.groupBy(*by, F.col("_of").alias("head")).agg(F.sort_array(F.collect_list(F.struct("hole", "ring"))).alias("_h"))
+    found = outer.join(lists, [*by, "head"], "left")
+    rings_of = F.transform(F.coalesce("_h", F.array()), lambda h: h.ring)
+    return found.select(*by, "head", F.col("ring").alias("outer"), rings_of.alias("holes"))
+
+
+def _closed(ring: Column) -> Column:
+    """A ring as GeoJSON coordinates, its first point repeated at the end."""
+    line = F.transform(ring, lambda p: F.array(p.x, p.y))
+    return F.concat(line, F.slice(line, 1, 1))
+
+
 def area_features(cells: DataFrame, size: float) -> DataFrame:
-    """One feature per area mode with cells: number, mode, cell count, area and the outline as GeoJSON geometry.
+    """One feature per area mode with cells: number, mode, cell count, area and the polygons with their holes as GeoJSON geometry.
 
     Cells of a regular grid (mode, xmin..ymax); modes without cells give no feature and take no number.
     """
@@ -137,15 +167,14 @@ def area_features(cells: DataFrame, size: float) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(m) for m in AREA_MODES]), F.col("mode"))
     facts = facts.withColumn("id", F.row_number().over(Window.orderBy(order)))  # at most three rows
     rings = outline_rings(dissolve_edges(indexed, ["mode"]), ["mode"], size)
-    coordinates = F.transform("ring", lambda p: F.array(p.x, p.y))
-    closed = F.concat(coordinates, F.slice(coordinates, 1, 1))
-    outer = rings.select("mode", "head", closed.alias("line"))
-    shapes = outer.groupBy("mode").agg(F.sort_array(F.collect_list(F.struct("head", "line"))).alias("rings"))
-    geometry = F.to_json(
-        F.struct(
-            F.lit("MultiLineString").alias("type"), F.transform("rings", lambda r: r.line).alias("coordinates")
-        )
-    )
+    parts = polygons(rings, ["mode"], size)
+    coordinates = F.concat(F.array(_closed(F.col("outer"))), F.transform("holes", _closed))
+    shapes = parts.select("mode", "head", coordinates.alias("rings")).groupBy("mode").agg(F.sort_array(F.collect_list(F.struct("head", "rings"))).alias("parts"))
+    many = F.transform("parts", lambda p: p.rings)
+    geometry = F.when(
+        F.size("parts") == 1, F.to_json(F.struct(F.lit("Polygon").alias("type"), many[0].alias("coordinates")))
+    ).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), many.alias("coordinates"))))
+    n_holes = F.aggregate("parts", F.lit(0), lambda s, p: s + F.size(p.rings) - 1)
     return facts.join(shapes, "mode").select(
-        "id", F.col("mode").alias("Bereich"), "cells", "area", F.size("rings").alias("n_rings"), geometry.alias("geometry")
+        "id", F.col("mode").alias("Bereich"), "cells", "area", F.size("parts").alias("n_polygons"), n_holes.alias("n_holes"), geometry.alias("geometry")
     )

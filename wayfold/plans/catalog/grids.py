@@ -161,13 +161,29 @@ def circles(v):
 
 @register(
     "A15_area_features",
-    f"""WITH s AS (SELECT * FROM ({MODES}) m WHERE area_type IS NOT NULL), k AS (SELECT area_type, count(*) AS cells, CAST(sum((xmax - xmin) * (ymax - ymin)) AS DOUBLE) AS area FROM s GROUP BY 1)
-        SELECT row_number() OVER (ORDER BY CASE area_type WHEN 'PA' THEN 0 WHEN 'IA1' THEN 1 ELSE 2 END) AS id, area_type AS Bereich, cells, area FROM k""",
+    f"""WITH s AS (SELECT * FROM ({MODES}) m WHERE area_type IS NOT NULL), k AS (SELECT area_type, count(*) AS cells, CAST(sum((xmax - xmin) * (ymax - ymin)) AS DOUBLE) AS area FROM s GROUP BY 1),
+        i AS (SELECT area_type AS t, CAST(round(xmin / 4500) AS BIGINT) AS ix, CAST(round(ymin / 4500) AS BIGINT) AS iy FROM s),
+        e AS (SELECT a.t, count(*) AS cells, count(r.t) + count(u.t) AS pairs, count(CASE WHEN r.t IS NOT NULL AND u.t IS NOT NULL AND d.t IS NOT NULL THEN 1 END) AS blocks
+          FROM i a LEFT JOIN i r ON r.t = a.t AND r.ix = a.ix + 1 AND r.iy = a.iy LEFT JOIN i u ON u.t = a.t AND u.ix = a.ix AND u.iy = a.iy + 1
+          LEFT JOIN i d ON d.t = a.t AND d.ix = a.ix + 1 AND d.iy = a.iy + 1 GROUP BY a.t)
+        SELECT row_number() OVER (ORDER BY CASE area_type WHEN 'PA' THEN 0 WHEN 'IA1' THEN 1 ELSE 2 END) AS id, area_type AS Bereich, k.cells, area,
+          e.cells - pairs + blocks AS polygons_less_holes, CAST(4 * e.cells - 2 * pairs AS BIGINT) AS sides, area AS drawn_area FROM k JOIN e ON e.t = area_type""",
 )
 def area_features(v):
     cells = selected_cells(v).filter("area_type IS NOT NULL")
     features = shapes.area_features(cells.withColumnRenamed("area_type", "mode"), 4500.0)
-    return features.select(F.col("id").cast("long").alias("id"), "Bereich", "cells", "area")
+    parts = F.from_json("geometry", "coordinates array<array<array<array<double>>>>").coordinates
+    whole = F.when(F.get_json_object("geometry", "$.type") == "Polygon", F.array(F.from_json("geometry", "coordinates array<array<array<double>>>").coordinates)).otherwise(parts)
+    sides = lambda line: F.size(line) - 1
+    turn = lambda line: F.aggregate(
+        F.sequence(F.lit(1), F.size(line) - 1), F.lit(0.0), lambda s, i: s + (line[i - 1][0] * line[i][1] - line[i][0] * line[i - 1][1]) / 2
+    )
+    lines = F.flatten("_parts")
+    return features.withColumn("_parts", whole).select(
+        F.col("id").cast("long").alias("id"), "Bereich", "cells", "area", (F.col("n_polygons") - F.col("n_holes")).cast("long").alias("polygons_less_holes"),
+        F.aggregate(lines, F.lit(0), lambda s, line: s + sides(line)).cast("long").alias("sides"),
+        F.aggregate(lines, F.lit(0.0), lambda s, line: s + turn(line)).alias("drawn_area"),
+    )
 
 
 @register(
