@@ -651,7 +651,8 @@ def test_a_ring_of_many_vertices_is_not_copied(spark):
     assert cells.most < n / 50 and cells["all"] < 2 * n and cells.cells < 101 * 101
     rng = random.Random(3)
     spots = [(i, rng.uniform(0, 2000), rng.uniform(0, 2000)) for i in range(300)]
-    inside = outlines.join_outlines(points(spark, spots), outlines.outline_cells(shape, 20.0), 20.0, lambda within, d: within)
+    inside = spatial.points_in_rings(points(spark, spots), shape.withColumn("name", F.lit("wave")), 20.0)
+    assert inside.columns == ["id", "x", "y", "name"]
     assert {r.id for r in inside.collect()} == {i for i, x, y in spots if plain_inside(x, y, wave)}
 
 

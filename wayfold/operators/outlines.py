@@ -118,7 +118,7 @@ def join_outlines(points: DataFrame, cells: DataFrame, size: float, meant: Calla
     x, y = keyed["x"], keyed["y"]
     d = F.coalesce(dist_point_edges(x, y, cells["edges"]), F.lit(float("inf")))
     cond = (keyed["_cx"] == cells["_cx"]) & (keyed["_cy"] == cells["_cy"]) & meant(is_inside(x, y, cells, size), d)
-    return keyed.join(cells, cond, how).drop("_cx", "_cy")
+    return keyed.join(cells, cond, how).drop(keyed["_cx"], keyed["_cy"])
 
 
 def regions_within(points: DataFrame, regions: DataFrame, reach: float, size: float, keep: Iterable[str]) -> DataFrame:

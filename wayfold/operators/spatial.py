@@ -142,15 +142,11 @@ def semi_join_spatial(points: DataFrame, boxes: DataFrame, size: float) -> DataF
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
-    """Pairs of points and the rings (column `ring`, array of x, y) that contain them."""
-    boxes = rings.withColumns(
-        {
-            "xmin": F.array_min(F.transform("ring", lambda v: v.x)), "xmax": F.array_max(F.transform("ring", lambda v: v.x)),
-            "ymin": F.array_min(F.transform("ring", lambda v: v.y)), "ymax": F.array_max(F.transform("ring", lambda v: v.y)),
-        }
-    )
-    pairs = with_bucket(points, size).join(_spread(boxes, _box_cells(size)), ["bx", "by"])
-    return pairs.filter(point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("bx", "by", "xmin", "xmax", "ymin", "ymax")
+    """Pairs of points and the rings (column `ring`, array of x, y) that contain them; a ring is named by its other columns."""
+    names = [c for c in rings.columns if c != "ring"]
+    cells = outline_cells(rings, size, keep=names)
+    inside = join_outlines(points, cells, size, lambda within, d: within, "inner")
+    return inside.select(*points.columns, *names)
 
 
 def join_circle_boxes(circles: DataFrame, boxes: DataFrame, radius: float, size: float) -> DataFrame:
