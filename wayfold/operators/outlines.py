@@ -57,7 +57,7 @@ def _at_row(y: Column) -> Column:
     return F.col("a.x") + t * (F.col("b.x") - F.col("a.x"))
 
 
-def _edge_cells(edges: DataFrame, size: float, reach: float) -> DataFrame:
+def edge_cells(edges: DataFrame, size: float, reach: float) -> DataFrame:
     """One row per edge and cell that it comes within `reach` of; a margin for rounding may add neighbours."""
     near = reach + size * 1e-9
     rows = _rows(edges, size, near)
@@ -87,8 +87,13 @@ def outline_cells(outlines: DataFrame, size: float, reach: float = 0.0, keep: It
     Cells far from all edges and outside are left out. A row holds the edges of one cell, never a ring.
     """
     keep = list(keep)
-    edges = edges_of(outlines, keep)
-    touched = _edge_cells(edges, size, reach).select("part", *keep, "_cx", "_cy", F.struct("a", "b").alias("e"), F.lit(False).alias("inner"))
+    return index_edges(edges_of(outlines, keep), size, reach, keep)
+
+
+def index_edges(edges: DataFrame, size: float, reach: float = 0.0, keep: Iterable[str] = ()) -> DataFrame:
+    """The index of edges (part, `keep`, a and b); a part may have several rings, of which a point's crossings are counted together."""
+    keep = list(keep)
+    touched = edge_cells(edges, size, reach).select("part", *keep, "_cx", "_cy", F.struct("a", "b").alias("e"), F.lit(False).alias("inner"))
     inner = _inner_corners(edges, size, keep).select("part", *keep, "_cx", "_cy", F.lit(None).cast(touched.schema["e"].dataType).alias("e"), F.lit(True).alias("inner"))
     cells = touched.unionByName(inner).groupBy("part", *keep, "_cx", "_cy")
     return cells.agg(F.collect_list("e").alias("edges"), F.max("inner").alias("inner"))

@@ -71,19 +71,20 @@ def with_xy(df: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def outline_rings(edges: DataFrame, by: list[str], size: float) -> DataFrame:
-    """Rings of an outline given as directed unit edges (x1, y1, x2, y2): one row per group and ring, in metres.
+    """Rings of an outline given as directed edges (x1, y1, x2, y2) in units of `size`: one row per group and ring, in metres.
 
-    The area lies on the left of an edge, so where four edges meet the walk turns left: that keeps cells that touch
+    The area lies on the left of an edge, so where more than two edges meet the walk turns left: that keeps cells that touch
     only at a corner apart. Every edge thus has one successor, and the ring's first edge is found by following
     successors with doubled strides, a logarithmic number of joins for any ring length.
     """
-    # An edge's successor starts where it ends; the turn decides between two candidates.
+    # An edge's successor starts where it ends; the turn decides between candidates.
     e = edges.withColumn("edge", F.struct("x1", "y1", "x2", "y2"))
     nxt = e.select(
         *by, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("edge").alias("next"),
         (F.col("x2") - F.col("x1")).alias("nx"), (F.col("y2") - F.col("y1")).alias("ny"),
     )
-    turn = (F.col("x2") - F.col("x1")) * F.col("ny") - (F.col("y2") - F.col("y1")) * F.col("nx")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    turn = F.atan2(dx * F.col("ny") - dy * F.col("nx"), dx * F.col("nx") + dy * F.col("ny"))
     step = e.join(nxt, [*by, "x2", "y2"]).withColumn("turn", turn)
     step = step.groupBy(*by, "edge").agg(F.max_by("next", "turn").alias("next"))
     now = cut(step.select(*by, "edge", "next", F.least("edge", "next").alias("head")))
@@ -119,18 +120,19 @@ def outline_rings(edges: DataFrame, by: list[str], size: float) -> DataFrame:
     )
 
 
-def polygons(rings: DataFrame, by: list[str], size: float) -> DataFrame:
+def polygons(rings: DataFrame, by: list[str], size: float, beside: float = 0.5) -> DataFrame:
     """One row per polygon of `outline_rings`: by, `outer` (its ring) and `holes` (an array of rings in the order of their first edges).
 
     The area lies on the left of every ring, so holes are those that run clockwise. A hole belongs to the narrowest ring of its
-    group around it, found by a spot beside its first edge, which lies inside a cell and hence on no ring.
+    group around it, found by a spot `beside` the middle of its first edge, in lengths of that edge: half of one lies inside a cell and hence on no
+    ring; 0 is the middle itself, for rings that share no edges.
     """
     from .outlines import regions_within
 
     turned = cut(rings.withColumn("_a", shoelace(F.col("ring"))))
     outer = turned.filter("_a > 0")
     step = lambda axis: F.col("ring")[1][axis] - F.col("ring")[0][axis]
-    spot = {"x": F.col("ring")[0]["x"] + (step("x") + step("y")) / 2, "y": F.col("ring")[0]["y"] + (step("y") - step("x")) / 2}
+    spot = {"x": F.col("ring")[0]["x"] + step("x") / 2 + step("y") * beside, "y": F.col("ring")[0]["y"] + step("y") / 2 - step("x") * beside}
     holes = turned.filter("_a < 0").withColumns(spot).select(*by, F.col("head").alias("hole"), "x", "y")
     around = outer.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("head").alias("_outer"), "_a", "ring")
     pairs = regions_within(holes, around, 0.0, 8 * size, [*[f"_{c}" for c in by], "_outer", "_a"])
