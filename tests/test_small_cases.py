@@ -748,3 +748,75 @@ def test_areas_are_polygons_with_holes(spark):
                 at = ((x + 0.5) * size, (y + 0.5) * size)
                 n = sum(plain_inside(*at, part[0]) and not any(plain_inside(*at, hole) for hole in part[1:]) for part in drawn)
                 assert n == ((x, y) in marks[mode]), (mode, x, y)
+
+
+def test_regions_near_in_kilometres(spark):
+    """Slanted and concave outlines far north, against every edge of every ring: the nearest spot in degrees, measured on the globe."""
+    from wayfold.operators import catalogue
+
+    rng = random.Random(5)
+    rings = {
+        "a": [(10.0, 66.0), (12.5, 66.2), (11.0, 67.0), (12.0, 68.1), (9.5, 67.4)],
+        "b": [(12.6, 66.0), (14.0, 66.4), (13.1, 67.9)],
+        "a/x": [(10.5, 66.3), (11.5, 66.4), (10.9, 66.8)],
+        "far": [(-30.0, -40.0), (-29.0, -40.0), (-29.5, -39.0)],
+    }
+    code = {"a": "AA", "b": "BB", "far": "FF"}
+    regions = spark.createDataFrame([(i, None, code.get(i), ring) for i, ring in rings.items()], "id string, parent string, alpha2 string, ring array<struct<x: double, y: double>>")
+    pts = [(i, rng.uniform(8.5, 15.5), rng.uniform(65.5, 68.6), "bb") for i in range(150)]
+    found = catalogue.regions_near(spark.createDataFrame(pts, "id long, x double, y double, code string"), regions, 40.0, 0.3, degrees=True).collect()
+
+    def km(p, q):
+        half = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2
+        return 6371.009 * 2 * math.asin(math.sqrt(half))
+
+    def spot(x, y, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy)))
+        return a[0] + t * dx, a[1] + t * dy
+
+    def plain(x, y, ring):
+        if plain_inside(x, y, ring):
+            return 0.0
+        spots = [spot(x, y, a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+        return km((x, y), min(spots, key=lambda s: math.hypot(s[0] - x, s[1] - y)))
+
+    want = {}
+    for i, x, y, _ in pts:
+        d = {name: plain(x, y, ring) for name, ring in rings.items()}
+        for country in ("a", "b"):
+            near = [d[r] for r in d if r.split("/")[0] == country and d[r] <= 40.0]
+            if near:
+                want[i, country] = (min(near), d["a/x"] if country == "a" and d["a/x"] <= 40.0 else None)
+    got = {(r.id, r.country): r for r in found}
+    assert set(got) == set(want) and any(v[1] for v in want.values()) and {r.country for r in found} == {"a", "b"}
+    for key, (nearest, sub) in want.items():
+        assert got[key].country_distance == pytest.approx(nearest, abs=1e-6), key
+        assert got[key].region_distance == (None if sub is None else pytest.approx(sub, abs=1e-6)), key
+        assert got[key].country_rank == (1 if key[1] == "b" or (key[0], "b") not in want else 2), key
+
+
+def test_wide_direct_lines(spark):
+    """Two steps on the upper levels and five below, against plain walks over the natural neighbours."""
+    rng = random.Random(9)
+    rows = [(i, i % 5, rng.uniform(0, 1000), rng.uniform(0, 1000), i % 7 != 3, i % 11 != 5) for i in range(40)]
+    zones = spark.createDataFrame(rows, "no long, type_no int, x double, y double, is_from boolean, is_to boolean")
+    found = {(r.level, r.o, r.d) for r in odlines.direct_lines(zones, odlines.STEPS_WIDE).collect()}
+    want, by_no = set(), {r[0]: r for r in rows}
+    for level, steps in ((0, 2), (1, 2), (2, 2), (3, 5), (4, 5)):
+        pairs = delaunay([(r[0], r[2], r[3]) for r in rows if r[1] <= level and (r[4] or r[5])])
+        near = {}
+        for o, d in pairs:
+            near.setdefault(o, set()).add(d)
+        for o in near:
+            reached = {o}
+            for _ in range(steps):
+                reached |= {d for n in reached for d in near[n]}
+            want |= {(level, o, d) for d in reached - {o} if (by_no[o][4] and by_no[d][5]) or (by_no[d][4] and by_no[o][5])}
+    assert found == want and want
+
+
+def test_city_names_without_an_address(spark):
+    rows = [("Göttingen, Land",), (None,), ("",)]
+    got = [r.c for r in spark.createDataFrame(rows, "a string").select(names.clean_city(F.col("a")).alias("c")).collect()]
+    assert got == ["Goettingen", "unknown_place", ""]

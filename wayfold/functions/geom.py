@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6373.0
+MEAN_EARTH_KM = 6371.009
 
 # WGS84 ellipsoid and the universal transverse Mercator grid.
 WGS84_A = 6378137.0
@@ -89,11 +90,11 @@ def dist_euclid(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
 
 
-def dist_haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle kilometres on a sphere of 6373 km."""
+def dist_haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius_km: float = EARTH_KM) -> Column:
+    """Great-circle kilometres, on a sphere of 6373 km unless another is given."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     half = F.pow(F.sin(dlat / 2.0), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2.0), 2.0)
-    return EARTH_KM * 2.0 * F.asin(F.sqrt(half))
+    return radius_km * 2.0 * F.asin(F.sqrt(half))
 
 
 def dist_point_box(x: Column, y: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
@@ -149,8 +150,8 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(ring_edges(ring), F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
 
 
-def dist_point_edges(x: Column, y: Column, edges: Column) -> Column:
-    """Distance from a point to the nearest of some edges (a, b); NULL if there are none."""
+def nearest_on_edges(x: Column, y: Column, edges: Column) -> Column:
+    """(d, x, y): distance to the nearest of some edges (a, b) and the spot on it; NULL if there are none."""
 
     def to_segment(e: Column) -> Column:
         dx, dy = e.b.x - e.a.x, e.b.y - e.a.y
@@ -158,11 +159,17 @@ def dist_point_edges(x: Column, y: Column, edges: Column) -> Column:
         t = F.when(
             length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.a.x) * dx + (y - e.a.y) * dy) / length2))
         ).otherwise(0.0)
-        return dist_euclid(x, y, e.a.x + t * dx, e.a.y + t * dy)
+        px, py = e.a.x + t * dx, e.a.y + t * dy
+        return F.struct(dist_euclid(x, y, px, py).alias("d"), px.alias("x"), py.alias("y"))
 
     return F.array_min(F.transform(edges, to_segment))
 
 
+def dist_point_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Distance from a point to the nearest of some edges (a, b); NULL if there are none."""
+    return nearest_on_edges(x, y, edges).d
+
+
 def dist_point_ring(x: Column, y: Column, ring: Column) -> Column:
     """Distance from a point to the nearest edge of a ring (not 0 inside)."""
     return dist_point_edges(x, y, ring_edges(ring))
@@ -175,7 +182,7 @@ def box_ring(xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
 
 def circle_ring(lat: Column, lon: Column, radius_km: Column, segments: int = 36) -> Column:
     """Closed great-circle ring of `segments` + 1 (lat, lon) points, clockwise from north."""
-    angular = radius_km / F.lit(6371.009)
+    angular = radius_km / F.lit(MEAN_EARTH_KM)
     phi, lam = F.radians(lat), F.radians(lon)
 
     def at(i: Column) -> Column:

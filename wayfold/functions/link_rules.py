@@ -335,6 +335,11 @@ def node_attributes(df: DataFrame) -> DataFrame:
     )
 
 
+def turn_attributes(df: DataFrame) -> DataFrame:
+    """The relation a turn comes from."""
+    return df.withColumn("relation_id", F.col("id").cast("string"))
+
+
 def stop_attributes(df: DataFrame) -> DataFrame:
     """Names, codes and the wheelchair flag of stops, stop points and stop areas; brand of sharing stations."""
     return df.withColumns(

@@ -26,6 +26,7 @@ def name_base(name: Column) -> Column:
 LINE_BREAK = r"(?i)<br\s*/?>"
 COUNTRY_PREFIX = r"^[a-z]{2,3}/"
 NO_REGION_NAME = "unbekannter_name"
+NO_PLACE_NAME = "unknown_place"
 
 
 def title_case(text: Column) -> Column:
@@ -45,13 +46,13 @@ def clean_region_name(name: Column) -> Column:
 
 
 def clean_city(address: Column) -> Column:
-    """File-name form of the first address part."""
+    """File-name form of the first address part; a fixed name where there is no address."""
     text = F.split(address, ",")[0]
     for wide, narrow in TRANSLITERATE_WIDE:
         text = F.replace(text, F.lit(wide), F.lit(narrow))
     text = F.translate(text, TRANSLITERATE_FROM, TRANSLITERATE_TO)
     text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_\s-]", ""))
-    return F.regexp_replace(text, r"[-\s]+", "_")
+    return F.coalesce(F.regexp_replace(text, r"[-\s]+", "_"), F.lit(NO_PLACE_NAME))
 
 
 def extract_key(filename: Column) -> Column:

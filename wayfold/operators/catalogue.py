@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import extract_key
 from ..session import cut, discard
 from .common import keep_first
-from .outlines import regions_within
+from .outlines import regions_within, regions_within_km
 
 
 def region_countries(regions: DataFrame) -> DataFrame:
@@ -34,15 +34,17 @@ def region_countries(regions: DataFrame) -> DataFrame:
     return prefixed.select("id", F.coalesce("country", "_hit").alias("country")).filter("country IS NOT NULL")
 
 
-def regions_near(points: DataFrame, regions: DataFrame, radius: float, size: float) -> DataFrame:
+def regions_near(points: DataFrame, regions: DataFrame, radius: float, size: float, degrees: bool = False) -> DataFrame:
     """Regions within `radius` of each point with their country, ordered as a reader would want them.
 
     `points` has id, x, y and code (the point's own country code); `regions` has id, parent, alpha2 and `ring`.
     The result has one row per point, country and sub-region (sub-region NULL when a country has none): the point's
-    own country first, then by distance; sub-regions by distance.
+    own country first, then by distance; sub-regions by distance. With `degrees`, coordinates are longitudes and
+    latitudes, `size` is in degrees, and the radius and all distances are great-circle kilometres.
     """
     named = regions.select(F.col("id").alias("region"), F.col("parent").alias("_parent"), "ring")
-    near = regions_within(points.select("id", "x", "y", "code"), named, radius, size, ["region", "_parent"]).drop("x", "y")
+    within = regions_within_km if degrees else regions_within
+    near = within(points.select("id", "x", "y", "code"), named, radius, size, ["region", "_parent"]).drop("x", "y")
     home = region_countries(regions).select(F.col("id").alias("region"), "country")
     codes = regions.filter("alpha2 IS NOT NULL").select(F.col("id").alias("country"), "alpha2")
     found = near.join(home, "region").join(codes, "country")

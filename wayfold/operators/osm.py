@@ -189,6 +189,16 @@ def extract_nonresidential(areas: DataFrame, window: DataFrame) -> DataFrame:
     return clip_boxes(parts, window)
 
 
+def nonresidential_within(areas: DataFrame, outlines: DataFrame, size: float, mask: str = "mask") -> DataFrame:
+    """Areas of the catalogue clipped to outlines, one row per area, outline and part with its `outer` ring and `holes`.
+
+    `areas` has id, tags, `ring` and, if there are holes, `hole`: a row per ring. `outlines` has `mask`, `ring` and `hole` likewise.
+    """
+    from .overlay import clip_polygons
+
+    return clip_polygons(areas.filter(any_of(areas, NON_RESIDENTIAL)), outlines, size, mask=mask)
+
+
 def hierarchical_network(
     ways: DataFrame,
     in_core: Column,

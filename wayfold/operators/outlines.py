@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import dist_point_edges, ring_edges
+from ..functions.geom import MEAN_EARTH_KM, bound, dist_haversine, dist_point_edges, nearest_on_edges, ring_edges
+from ..functions.maths import round_half_up
 from ..session import cut
 
 #: Lines of cells stand off round coordinates by these parts of a cell, of which no multiples add up to a round one:
@@ -126,11 +127,34 @@ def join_outlines(points: DataFrame, cells: DataFrame, size: float, meant: Calla
     return keyed.join(cells, cond, how).drop(keyed["_cx"], keyed["_cy"])
 
 
-def regions_within(points: DataFrame, regions: DataFrame, reach: float, size: float, keep: Iterable[str]) -> DataFrame:
-    """Pairs of points and regions at a distance `d` of at most `reach`, 0 inside. The regions' columns `keep` must not clash with the points'."""
+def _near_pairs(points: DataFrame, regions: DataFrame, reach: float, size: float, keep: list[str]) -> tuple[DataFrame, Column, Column]:
+    """Points with the regions of their cell, whether they are inside, and the nearest spot of the region's edge within reach."""
     cells = outline_cells(regions, size, reach, keep)
     keyed = with_cell(points, size)
     pairs = keyed.join(cells, (keyed["_cx"] == cells["_cx"]) & (keyed["_cy"] == cells["_cy"]))
     x, y = keyed["x"], keyed["y"]
-    d = F.when(is_inside(x, y, cells, size), 0.0).otherwise(dist_point_edges(x, y, cells["edges"]))
-    return pairs.withColumn("d", d).filter(F.col("d") <= reach).select(*points.columns, *keep, "d")
+    return pairs, is_inside(x, y, cells, size), nearest_on_edges(x, y, cells["edges"])
+
+
+def regions_within(points: DataFrame, regions: DataFrame, reach: float, size: float, keep: Iterable[str]) -> DataFrame:
+    """Pairs of points and regions at a distance `d` of at most `reach`, 0 inside. The regions' columns `keep` must not clash with the points'."""
+    pairs, inside, near = _near_pairs(points, regions, reach, size, list(keep))
+    return pairs.withColumn("d", F.when(inside, 0.0).otherwise(near.d)).filter(F.col("d") <= reach).select(*points.columns, *keep, "d")
+
+
+def regions_within_km(points: DataFrame, regions: DataFrame, radius_km: float, size: float, keep: Iterable[str]) -> DataFrame:
+    """As `regions_within` for longitudes x and latitudes y in degrees, with `d` the great-circle kilometres, to a micrometre.
+
+    The spot of the edge is the nearest one in degrees. Edges are indexed as far as the radius can reach, in degrees, at the latitude farthest
+    from the equator that a point or its circle has; `size` is in degrees. Outlines across the 180th meridian need to be split there.
+    """
+    high = points.agg(F.max(F.abs("y")).alias("y")).first().y or 0.0
+    wide = math.degrees(radius_km / MEAN_EARTH_KM) * (1 + 1e-9)
+    if high + wide >= 90.0:
+        raise ValueError("circles around the poles are not covered")
+    # A circle's east and west ends lie at asin(sin(r) / cos(lat)) from its centre.
+    reach = math.hypot(wide, math.degrees(math.asin(math.sin(math.radians(wide)) / math.cos(math.radians(high)))))
+    pairs, inside, near = _near_pairs(points, regions, reach, size, list(keep))
+    km = bound(near, lambda p: dist_haversine(F.col("x"), F.col("y"), p.x, p.y, MEAN_EARTH_KM))
+    d = F.when(inside, 0.0).otherwise(round_half_up(km, 9))
+    return pairs.withColumn("d", d).filter(F.col("d") <= radius_km).select(*points.columns, *keep, "d")

@@ -266,7 +266,8 @@ def coerce_schema(v):
 
 REGION_NAMES = """SELECT p_partkey AS id, concat(CASE p_partkey % 3 WHEN 0 THEN 'us/' WHEN 1 THEN '' ELSE 'de/' END, replace(p_name, ' ', '-'),
     CASE p_partkey % 4 WHEN 0 THEN '<br />(state)' WHEN 1 THEN ' & co' ELSE '' END) AS name,
-    concat(CASE p_partkey % 4 WHEN 0 THEN 'Göttingen' WHEN 1 THEN 'Saint-Étienne' WHEN 2 THEN 'São Paulo' ELSE 'Århus' END, ' ', p_name, ', ', p_brand) AS address,
+    CASE WHEN p_partkey % 17 > 0 THEN concat(CASE p_partkey % 4 WHEN 0 THEN 'Göttingen' WHEN 1 THEN 'Saint-Étienne' WHEN 2 THEN 'São Paulo' ELSE 'Århus' END,
+      ' ', p_name, ', ', p_brand) END AS address,
     concat(CASE p_partkey % 3 WHEN 0 THEN '2024-05-06_' ELSE '' END, replace(p_name, ' ', '-'), CASE p_partkey % 4 WHEN 0 THEN '-latest'
       WHEN 1 THEN '-240506' WHEN 2 THEN '-20240506-latest' ELSE '' END, '.osm.pbf') AS filename FROM {part}"""
 
@@ -284,7 +285,7 @@ TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: concat
 @register(
     "B22_name_keys",
     f"""SELECT id, trim(regexp_replace({TITLE.format(r"regexp_replace(replace(regexp_replace(regexp_replace(name, '(?i)<br\s*/?>', ' ', 'g'), '^[a-z]{2,3}/', ''), '-', ' '), '[^\w\s]', ' ', 'g')")}, '\\s+', ' ', 'g')) AS region,
-        regexp_replace(trim(regexp_replace(translate({_wide("split_part(address, ',', 1)")}, '{names.TRANSLITERATE_FROM}', '{names.TRANSLITERATE_TO}'), '[^\\p{{L}}\\w\\s-]', '', 'g')), '[-\\s]+', '_', 'g') AS city,
+        coalesce(regexp_replace(trim(regexp_replace(translate({_wide("split_part(address, ',', 1)")}, '{names.TRANSLITERATE_FROM}', '{names.TRANSLITERATE_TO}'), '[^\\p{{L}}\\w\\s-]', '', 'g')), '[-\\s]+', '_', 'g'), '{names.NO_PLACE_NAME}') AS city,
         regexp_replace(regexp_replace(replace(lower(filename), '.osm.pbf', ''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}_', ''), '(-(latest|\\d{{6}}|\\d{{8}}))+$', '') AS extract_key,
         replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(filename), '^\\d{{4}}-\\d{{2}}-\\d{{2}}_', ''), '-(latest|\\d{{6}})\\.osm\\.pbf$', ''), '.osm.pbf', ''), '-', '', 'g'), '_', '') AS loose_key
         FROM ({REGION_NAMES}) t""".replace("'-', '', 'g'), '_', '')", "'-', '', 'g'), '_', '')"),

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.geom import box_ring, ring_centroid, shoelace
 from ...functions.maths import round_half_up
 from ...functions.tags import tag_map
-from ...operators import common, osm
+from ...operators import common, osm, overlay
 from . import register, rnd
 
 
@@ -235,6 +236,85 @@ def nonresidential(v):
     return osm.extract_nonresidential(areas, window)
 
 
+# An outline for every administrative square: without its upper right quarter, and with a hole in the lower left one.
+def notched(boxes, name, columns):
+    """(name, ring, hole): outlines made of the boxes."""
+    x0, x1, y0, y1 = (F.col(c) for c in ("xmin", "xmax", "ymin", "ymax"))
+    mx, my, w, h = (x0 + x1) / 2, (y0 + y1) / 2, x1 - x0, y1 - y0
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    outer = F.array(at(x0, y0), at(x1, y0), at(x1, my), at(mx, my), at(mx, y1), at(x0, y1))
+    hole = box_ring(x0 + w / 8, x0 + w / 4, y0 + h / 8, y0 + h / 4)
+    rings = F.inline(F.array(F.struct(outer.alias("ring"), F.lit(False).alias("hole")), F.struct(hole.alias("ring"), F.lit(True).alias("hole"))))
+    return boxes.select(F.col(name).alias(columns), rings)
+
+
+def notched_sql(boxes, name):
+    """(mask, sign, box): the same outlines as boxes that are added, and the hole, which is subtracted."""
+    parts = (
+        ("1.0", "xmin", "(xmin + xmax) / 2", "ymin", "ymax"), ("1.0", "(xmin + xmax) / 2", "xmax", "ymin", "(ymin + ymax) / 2"),
+        ("-1.0", "xmin + (xmax - xmin) / 8", "xmin + (xmax - xmin) / 4", "ymin + (ymax - ymin) / 8", "ymin + (ymax - ymin) / 4"),
+    )
+    return " UNION ALL ".join(f"SELECT {name} AS mask, {s} AS sign, {a} AS xmin, {b} AS xmax, {c} AS ymin, {d} AS ymax FROM {boxes}" for s, a, b, c, d in parts)
+
+
+def shared_sql(shapes, masks):
+    """Area and centroid, in hundredths, of what boxes (id, xmin..ymax) share with outlines of boxes."""
+    return f"""WITH s AS ({shapes}), m AS ({masks}), o AS (SELECT s.id, m.mask, sign, greatest(s.xmin, m.xmin) AS xl, least(s.xmax, m.xmax) AS xh,
+          greatest(s.ymin, m.ymin) AS yl, least(s.ymax, m.ymax) AS yh FROM s JOIN m ON s.xmin < m.xmax AND s.xmax > m.xmin AND s.ymin < m.ymax AND s.ymax > m.ymin),
+        a AS (SELECT *, sign * (xh - xl) * (yh - yl) AS area FROM o), t AS (SELECT id, mask, sum(area) AS area, sum(area * (xl + xh) / 2) AS mx, sum(area * (yl + yh) / 2) AS my FROM a GROUP BY 1, 2)
+        SELECT id, mask, CAST(floor(area * 100 + 0.37) AS BIGINT) AS area_100, CAST(floor(mx / area * 100 + 0.37) AS BIGINT) AS cx_100,
+          CAST(floor(my / area * 100 + 0.37) AS BIGINT) AS cy_100 FROM t WHERE area > 0"""
+
+
+def shared_rows(parts):
+    """Area and centroid of all parts and holes together; rings are moved to their first point, so that digits are kept."""
+    ring = F.explode(F.concat(F.array("outer"), "holes")).alias("ring")
+    at = lambda axis: F.col("ring")[0][axis]
+    near = parts.select("id", "mask", ring).withColumns({"x0": at("x"), "y0": at("y")})
+    near = near.withColumn("ring", F.transform("ring", lambda p: F.struct((p.x - F.col("x0")).alias("x"), (p.y - F.col("y0")).alias("y"))))
+    cx, cy = ring_centroid(F.col("ring"))
+    facts = near.select("id", "mask", shoelace(F.col("ring")).alias("area"), (cx + F.col("x0")).alias("cx"), (cy + F.col("y0")).alias("cy"))
+    total = facts.groupBy("id", "mask").agg(F.sum("area").alias("area"), F.sum(F.expr("area * cx")).alias("mx"), F.sum(F.expr("area * cy")).alias("my"))
+    whole = lambda c, name: F.floor(c * 100 + 0.37).cast("long").alias(name)
+    return total.select("id", "mask", whole(F.col("area"), "area_100"), whole(F.col("mx") / F.col("area"), "cx_100"), whole(F.col("my") / F.col("area"), "cy_100"))
+
+
+@register(
+    "A08_nonresidential_within_outlines",
+    shared_sql(
+        f"""WITH f AS ({FEATURES.replace(' natural,', ' nat,')}), hit AS (SELECT * FROM f WHERE {_catalogue_sql()})
+            SELECT id, x AS xmin, x + w * 20 AS xmax, y AS ymin, y + h * 20 AS ymax FROM hit
+            UNION ALL SELECT id, x + w * 40, x + w * 60, y, y + h * 20 FROM hit WHERE NOT is_line""",
+        notched_sql("{admin_zones}", "zone_no"),
+    ),
+)
+def nonresidential_within(v):
+    """Areas of one or two parts, blown up so that many cross an outline."""
+    df, x, y, w, h = features(v), *(F.col(c) for c in "xywh")
+    box = lambda off: box_ring(x + off * w * 20, x + (off + 1) * w * 20, y, y + h * 20)
+    rings = F.when(F.col("is_line"), F.array(box(0))).otherwise(F.array(box(0), box(2)))
+    areas = df.withColumn("ring", F.explode(rings))
+    return shared_rows(osm.nonresidential_within(areas, notched(v.admin_zones, "zone_no", "mask"), 5000.0))
+
+
+@register("A08_nonresidential_parts_within_outlines")
+def nonresidential_parts(v):
+    """The rings themselves; tested by brute force on a fixture."""
+    df, x, y, w, h = features(v), *(F.col(c) for c in "xywh")
+    areas = df.withColumn("ring", box_ring(x, x + w * 20, y, y + h * 20))
+    return osm.nonresidential_within(areas, notched(v.admin_zones, "zone_no", "mask"), 5000.0)
+
+
+@register(
+    "D13_boundaries_within_outlines",
+    shared_sql("SELECT zone_no AS id, xmin, xmax, ymin, ymax FROM {admin_zones}", notched_sql("{regions}", "id")),
+)
+def boundaries_within(v):
+    """Administrative squares clipped to the outlines of regions."""
+    squares = v.admin_zones.select(F.col("zone_no").alias("id"), box_ring(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")]).alias("ring"))
+    return shared_rows(overlay.clip_polygons(squares, notched(v.regions, "id", "mask"), 15000.0))
+
+
 AREA_FLAGS = """SELECT t.way_id, t.highway, t.route, t.junction, max(CASE WHEN abs(n.x - 22500) + abs(n.y - 22500) < 4000 THEN 1 ELSE 0 END) AS core,
     max(CASE WHEN abs(n.x - 22500) + abs(n.y - 22500) < 9000 THEN 1 ELSE 0 END) AS study
     FROM {tagged_ways} t JOIN {way_nodes} w ON w.way_id = t.way_id JOIN {nodes} n ON n.node_id = w.node_id

@@ -179,20 +179,19 @@ def region_table(v):
 BOX_D = "sqrt(pow(greatest(r.xmin - p.x, 0.0, p.x - r.xmax), 2) + pow(greatest(r.ymin - p.y, 0.0, p.y - r.ymax), 2))"
 
 
-@register(
-    "D11_regions_near_points",
-    f"""WITH r AS ({REGION_TABLE}), p AS ({SEEKERS}), near AS (SELECT p.id, p.code, r.id AS region, r.parent, {BOX_D} AS d,
+def near_sql(region_sql, seekers, distance, radius):
+    return f"""WITH r AS ({region_sql}), p AS ({seekers}), near AS (SELECT p.id, p.code, r.id AS region, r.parent, {distance} AS d,
           coalesce(CASE WHEN r.alpha2 IS NOT NULL THEN r.id END, r.parent, split_part(r.id, '/', 1)) AS country
-          FROM p JOIN r ON {BOX_D} <= 20000),
+          FROM p JOIN r ON {distance} <= {radius}),
         c AS (SELECT id, country, min(d) AS cd, max(CASE WHEN concat('a', substr(country, 2)) = code THEN 1 ELSE 0 END) AS own FROM near GROUP BY id, country),
         cr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY own DESC, cd, country) AS country_rank FROM c),
         s AS (SELECT id, country, region, d, row_number() OVER (PARTITION BY id, country ORDER BY d, region) AS region_rank FROM near WHERE region <> country)
         SELECT cr.id, cr.country, CAST(cr.country_rank AS INTEGER) AS country_rank, cr.own AS is_primary, {rnd('cr.cd', 3)} AS country_distance,
           coalesce(s.region, '-') AS region, CAST(coalesce(s.region_rank, 0) AS INTEGER) AS region_rank
-        FROM cr LEFT JOIN s ON s.id = cr.id AND s.country = cr.country""",
-)
-def regions_near(v):
-    near = catalogue.regions_near(v.sql(SEEKERS), region_table(v), 20000.0, 60000.0)
+        FROM cr LEFT JOIN s ON s.id = cr.id AND s.country = cr.country"""
+
+
+def near_rows(near):
     return near.select(
         "id", "country", "country_rank", F.col("is_primary").cast("int").alias("is_primary"),
         round_half_up(F.col("country_distance"), 3).alias("country_distance"), F.coalesce("region", F.lit("-")).alias("region"),
@@ -200,6 +199,27 @@ def regions_near(v):
     )
 
 
+@register("D11_regions_near_points", near_sql(REGION_TABLE, SEEKERS, BOX_D, 20000))
+def regions_near(v):
+    return near_rows(catalogue.regions_near(v.sql(SEEKERS), region_table(v), 20000.0, 60000.0))
+
+
+# The same regions and points on the globe: 60 km of the plane are a degree.
+GLOBE_SEEKERS = f"SELECT id, 6 + x / 60000.0 AS x, 47 + y / 60000.0 AS y, code FROM ({SEEKERS}) s"
+GLOBE_REGIONS = f"""SELECT id, parent, alpha2, 6 + xmin / 60000.0 AS xmin, 6 + xmax / 60000.0 AS xmax, 47 + ymin / 60000.0 AS ymin, 47 + ymax / 60000.0 AS ymax
+    FROM ({REGION_TABLE}) g"""
+SPOT_X, SPOT_Y = "least(greatest(p.x, r.xmin), r.xmax)", "least(greatest(p.y, r.ymin), r.ymax)"
+GLOBE_D = rnd(
+    f"""2 * 6371.009 * asin(sqrt(pow(sin(radians({SPOT_Y} - p.y) / 2), 2) + cos(radians(p.y)) * cos(radians({SPOT_Y})) * pow(sin(radians({SPOT_X} - p.x) / 2), 2)))""", 9
+)
+
+
+@register("D11_regions_near_points_km", near_sql(GLOBE_REGIONS, GLOBE_SEEKERS, GLOBE_D, 20))
+def regions_near_km(v):
+    regions = v.sql(GLOBE_REGIONS).withColumn("ring", box_ring(F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax")))
+    return near_rows(catalogue.regions_near(v.sql(GLOBE_SEEKERS), regions, 20.0, 1.0, degrees=True))
+
+
 REFS = """SELECT o_custkey AS study, o_orderkey AS seq,
     CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN c_nationkey % 5 = 4 THEN 'none' ELSE concat('n', CAST(c_nationkey AS VARCHAR(5))) END END AS region,
     CASE WHEN o_orderkey % 3 = 1 THEN concat('2024-01-02_n', CAST(o_orderkey % 25 AS VARCHAR(5)), '-latest.osm.pbf') END AS filename,

@@ -146,6 +146,18 @@ def node_attributes(v):
     )
 
 
+@register(
+    "B18_turn_attributes",
+    """SELECT a.from_node, a.to_node AS via_node, b.to_node, CAST(a.way_id AS VARCHAR) AS relation_id FROM {links} a JOIN {links} b ON b.way_id = a.way_id
+       AND b.seq = a.seq + 1""",
+)
+def turn_attributes(v):
+    """Turns from each link of a way to its next; the way stands for the relation."""
+    after = v.links.select(F.col("way_id").alias("id"), (F.col("seq") - 1).alias("seq"), "to_node")
+    turns = v.links.select(F.col("way_id").alias("id"), "seq", "from_node", F.col("to_node").alias("via_node")).join(after, ["id", "seq"])
+    return lr.turn_attributes(turns).select("from_node", "via_node", "to_node", "relation_id")
+
+
 @register(
     "B18_stop_attributes",
     f"""SELECT id, coalesce(name, ref) AS stop_name, ref AS stop_code, CASE WHEN wheelchair = 'yes' THEN 1 ELSE 0 END AS wheelchair_flag,
