@@ -55,7 +55,13 @@ IMPUTED = f"""{MEANS}, {_offers('maxspeed')}, {_offers('lanes')}, bs AS ({_union
         WHEN maxspeed IS NOT NULL THEN concat('[OSM-Original] ', maxspeed, ' -> Template-Matched:')
         WHEN sval IS NOT NULL AND abs(sval - ms) <= 30 THEN concat('[Neighbor-Match] From Neighbor ID ', CAST(snid AS VARCHAR), ' (', CAST(sval AS VARCHAR), ' km/h) -> Template-Matched:')
         WHEN sval IS NOT NULL THEN concat('[Neighbor-No-Match] Neighbor ID ', CAST(snid AS VARCHAR), ' (', CAST(sval AS VARCHAR), ' km/h) rejected vs. Regional Avg (', format('{{:.1f}}', ms), ' km/h) -> Regional Fallback applied -> Template-Matched:')
-        ELSE concat('[Regional-Average] Type ''', highway, ''' regional mean = ', format('{{:.1f}}', ms), ' km/h -> Template-Matched:') END AS speed_text FROM raw)"""
+        ELSE concat('[Regional-Average] Type ''', highway, ''' regional mean = ', format('{{:.1f}}', ms), ' km/h -> Template-Matched:') END AS speed_text,
+      CASE WHEN lanes IS NOT NULL AND l IS NULL THEN concat('[OSM-Original] Invalid (', lanes, ') -> Fallback to Regional Avg (', format('{{:.1f}}', ml), ' lanes) -> Template-Matched:')
+        WHEN lanes IS NOT NULL AND l > 8 THEN concat('[OSM-Unplausible] Raw: ', lanes, ' lanes -> Capped to Template-Max:')
+        WHEN lanes IS NOT NULL THEN concat('[OSM-Original] ', lanes, ' lanes -> Template-Matched:')
+        WHEN lval IS NOT NULL AND abs(lval - ml) <= 2 THEN concat('[Neighbor-Match] From Neighbor ID ', CAST(lnid AS VARCHAR), ' (', CAST(lval AS VARCHAR), ' lanes) -> Template-Matched:')
+        WHEN lval IS NOT NULL THEN concat('[Neighbor-No-Match] Neighbor ID ', CAST(lnid AS VARCHAR), ' (', CAST(lval AS VARCHAR), ' lanes) rejected vs. Regional Avg (', format('{{:.1f}}', ml), ' lanes) -> Regional Fallback applied -> Template-Matched:')
+        ELSE concat('[Regional-Average] Type ''', highway, ''' regional mean = ', format('{{:.1f}}', ml), ' lanes (rounded: ', CAST(fl AS VARCHAR), ') -> Template-Matched:') END AS lanes_text FROM raw)"""
 
 
 @register("N01_way_topology", "SELECT way_id, arg_min(node_id, seq) AS first_node, arg_max(node_id, seq) AS last_node, count(*) AS n_nodes FROM {way_nodes} GROUP BY way_id")
@@ -88,10 +94,11 @@ def brackets(v):
 @register(
     "N04_provenance",
     f"""{MATCHED} SELECT way_id, coalesce(maxspeed, 'missing') AS maxspeed_original, coalesce(lanes, 'missing') AS lanes_original,
-        concat(speed_text, ' ', CAST(target_speed AS VARCHAR), ' km/h') AS maxspeed_source FROM fin""",
+        concat(speed_text, ' ', CAST(target_speed AS VARCHAR), ' km/h') AS maxspeed_source,
+        concat(lanes_text, ' ', CAST(target_lanes AS VARCHAR), ' lanes') AS lanes_source FROM fin""",
 )
 def provenance(v):
-    return net.provenance(matched(v)).select("way_id", "maxspeed_original", "lanes_original", "maxspeed_source")
+    return net.provenance(matched(v)).select("way_id", "maxspeed_original", "lanes_original", "maxspeed_source", "lanes_source")
 
 
 @register(
