@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,15 +13,21 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def stored(df, folder):
+    """`df` as a table whose size the planner knows."""
+    df.write.parquet(str(folder / "table"))
+    return df.sparkSession.read.parquet(str(folder / "table"))
+
+
 def scattered(n, seed, x0=0.0, y0=0.0, extent=20000.0):
     rng = random.Random(seed)
     return [(i, x0 + rng.random() * extent, y0 + rng.random() * extent) for i in range(n)]
 
 
-def test_copies_for_distance_pairs_are_not_broadcast(spark):
+def test_copies_for_distance_pairs_are_not_broadcast(spark, tmp_path):
     rows = scattered(300, 1)
     df = spark.createDataFrame([*rows, (300, rows[0][1] + 1000.0, rows[0][2])], "id long, x double, y double")
-    rows = [tuple(r) for r in df.collect()]
+    rows, df = [tuple(r) for r in df.collect()], stored(df, tmp_path)
     for strict in (False, True):
         pairs = spatial.join_distance(df, spatial.as_right(df), 1000.0, strict)
         assert "Broadcast" not in plan(pairs)
@@ -47,3 +54,36 @@ def test_far_points_meet_the_rim_of_a_crowd(spark):
     for i, x, y in far:
         best = sorted((math.sqrt((rx - x) ** 2 + (ry - y) ** 2), rid) for rid, rx, ry in crowd)[:3]
         assert [found[i][n] for n in (1, 2, 3)] == [rid for _, rid in best]
+
+
+def test_what_origins_know_that_lack_nothing_is_not_searched(spark, monkeypatch):
+    from wayfold.operators import odlines
+
+    zones = spark.createDataFrame(
+        [(n, 4 if n < 4 else n % 4, float(n), 0.0, True, True) for n in range(12)], "no long, type_no int, x double, y double, is_from boolean, is_to boolean"
+    )
+    # Zone 0 has its three suppliers, zone 1 has one, zones 2 and 3 have none.
+    edges = spark.createDataFrame([(4, 0, 4), (4, 0, 5), (4, 0, 6), (4, 1, 4), (4, 2, 3)], "level int, o long, d long")
+    seen = []
+
+    def search(*args, **named):
+        seen.append(named["skip"])
+        return spatial.join_knn(*args, **named)
+
+    monkeypatch.setattr(odlines, "join_knn", search)
+    found = {(r.o, r.d) for r in odlines.complete_suppliers(edges, zones, 3).collect()}
+    assert sorted(r.id.no for r in seen[0].collect()) == [1, 2]
+    added = {(1, 5), (1, 6), (2, 4), (2, 5), (2, 6), (3, 4), (3, 5), (3, 6)}
+    assert found == {(0, 4), (0, 5), (0, 6), (1, 4), (2, 3)} | added | {(d, o) for o, d in added}
+
+
+def test_copies_for_nearest_neighbours_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rows = scattered(200, 5)
+    df = stored(spark.createDataFrame(rows, "id long, x double, y double"), tmp_path)
+    written, cut = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda t: (written.append(plan(t)), cut(t))[1])
+    found = {r.id: r.rid for r in spatial.join_knn(df, spatial.as_right(df), 1, exclude_same=True).collect()}
+    searches = [p for p in written if "WindowGroupLimit" in p or "Window" in p]
+    assert searches and not re.search(r"BroadcastHashJoin \[.*Inner", searches[0])
+    for i, x, y in rows:
+        assert found[i] == min((math.sqrt((b - x) ** 2 + (c - y) ** 2), j) for j, b, c in rows if j != i)[1]
