@@ -40,11 +40,27 @@ def cells_along_path(cells: DataFrame, segments: DataFrame, size: float) -> Data
     keyed = cells.withColumns(
         {"bx": bucket((F.col("xmin") + F.col("xmax")) / 2, size), "by": bucket((F.col("ymin") + F.col("ymax")) / 2, size)}
     )
-    pairs = touched.join(keyed, ["bx", "by"])
+    # Written, so that a grid of few cells goes to the segments, however many rows it was made from.
+    pairs = touched.join(cut(keyed), ["bx", "by"])
     hit = segment_hits_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "xmin", "xmax", "ymin", "ymax")])
     return pairs.filter(hit).drop("bx", "by")
 
 
+#: Segments whose distinct cells one task counts.
+COUNTED = 200_000
+
+
+def count_cells_along(cells: DataFrame, segments: DataFrame, size: float, by: str, counted: int = COUNTED) -> DataFrame:
+    """Per path (`by`) of segments the number of distinct cells it touches, `cells`, and the `total` of the cell numbers over its segments.
+
+    A segment becomes a row per cell only in the task that counts its path's cells, and there are tasks enough that none counts many more than `counted` segments'.
+    """
+    known = cut(segments.select(by, "x1", "y1", "x2", "y2"))
+    tasks = max(math.ceil(known.count() / counted), 1)
+    touched = cells_along_path(cells, known.repartition(tasks, by), size)
+    return touched.groupBy(by).agg(F.count_distinct("cell_id").alias("cells"), F.sum("cell_id").alias("total"))
+
+
 def dissolve_edges(cells: DataFrame, by: list[str]) -> DataFrame:
     """Outline of a union of grid cells (ix, iy) as directed unit edges, counter-clockwise around the area.
 

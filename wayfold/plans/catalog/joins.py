@@ -277,8 +277,7 @@ _EY, _LY = _slab("s.y1", "s.y2", "c.ymin", "c.ymax")
         AND greatest({_EX}, {_EY}, 0.0) <= least({_LX}, {_LY}, 1.0) GROUP BY s.way_id""",
 )
 def along_ways(v):
-    touched = grid.cells_along_path(v.cells, v.sql(SEGMENTS), 4500.0)
-    return touched.groupBy("way_id").agg(F.count_distinct("cell_id").alias("cells"), F.sum("cell_id").alias("total"))
+    return grid.count_cells_along(v.cells, v.sql(SEGMENTS), 4500.0, "way_id")
 
 
 
