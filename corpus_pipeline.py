@@ -18,6 +18,15 @@ TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 BLOCK = 4 << 20
 
 
+#: Bytes of rows that go to a Python worker at a time. Batches lie in the memory of the executor's JVM and of the worker, on their way there and back, and both keep some of it for the stages after.
+BATCH = 2 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From here on rows go to Python in batches of about BATCH bytes, whatever the length of their texts. No result depends on batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 #: Columns that a stage may read or change; all others are handed on under numbers, whatever they are called.
 COLUMNS = ("doc_id", "text", "n_chars")
 
@@ -29,6 +38,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest, which is fitted on labelled rows of the input tables."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = _numbered(docs)
     forest = quality_rules.fit_rules(rows.select("doc_id", "text"), labels)
@@ -39,6 +49,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of similar texts: that with the least doc_id. Rows are judged by their texts: those that share a doc_id are in one class only if
     their texts are. Rows without a doc_id are in no class and stay."""
+    _small_batches(spark)
     rows = _numbered(docs)
     repeats = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeats.isEmpty():  # ids are as good as numbers of rows, which would have to be written with the texts
@@ -62,11 +73,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by its kind."""
+    _small_batches(spark)
     return secrets.mask_secrets(_numbered(docs)).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    _small_batches(spark)
     import public_tokenizers
 
     packed = packing.pack(_numbered(docs), public_tokenizers.path(TOKENIZER), END_ID, CAPACITY, BLOCK)
