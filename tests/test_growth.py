@@ -87,3 +87,46 @@ def test_copies_for_nearest_neighbours_are_not_broadcast(spark, tmp_path, monkey
     assert searches and not re.search(r"BroadcastHashJoin \[.*Inner", searches[0])
     for i, x, y in rows:
         assert found[i] == min((math.sqrt((b - x) ** 2 + (c - y) ** 2), j) for j, b, c in rows if j != i)[1]
+
+
+def within_steps(rows, k):
+    to = {}
+    for a, b in rows:
+        if a is not None and b is not None:
+            to.setdefault(a, set()).add(b)
+    wanted = set()
+    for a in to:
+        front, seen = {a}, set()
+        for _ in range(k):
+            front = {c for b in front for c in to.get(b, ())}
+            seen |= front
+        wanted |= {(a, b) for b in seen if a != b}
+    return sorted(wanted)
+
+
+def test_paths_of_a_dense_relation_are_not_listed(spark, monkeypatch):
+    from wayfold.operators import graph
+
+    rng = random.Random(11)
+    dense = [(rng.randrange(60) * 10**12, rng.randrange(60) * 10**12) for _ in range(400)] + [(10**12, 10**12), (None, 0), (0, None), (7, 0), (7, 0)]
+    sparse = [(i, i + 1) for i in range(400)] + [(400, 0), (5, 5), (None, 3), (3, None)]
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda t: (written.append(plan(t)), cut(t))[1])
+    monkeypatch.setattr(graph, "ORIGINS", 17)
+    for rows, bitmaps in ((dense, True), (sparse, False)):
+        edges = spark.createDataFrame(rows, "a long, b long")
+        for k in (1, 2, 3):
+            written.clear()
+            found = graph.k_step(edges, k, "a", "b")
+            assert found.columns == ["a", "b"]
+            assert sorted((r.a, r.b) for r in found.collect()) == within_steps(rows, k)
+            assert sum("bitmap_or_agg" in p for p in written) == (k - 1 if bitmaps else 0)
+
+
+def test_bitmaps_of_several_blocks(spark):
+    from wayfold.operators import graph
+
+    rows = [(i, i + 1) for at in (0, 16383, 32766, 39990) for i in range(at, at + 4)] + [(39994, 0), (2, 39999), (32768, 16384), (39999, 5)]
+    edges, nodes = spark.createDataFrame(rows, "o long, d long"), spark.range(40000).withColumnRenamed("id", "node")
+    found = graph._k_step_bitmaps(edges, nodes, 40000, 3).collect()
+    assert sorted((r.o, r.d) for r in found) == within_steps(rows, 3)
