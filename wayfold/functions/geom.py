@@ -222,31 +222,6 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-# ---- convex rings cut by half planes ---------------------------------------------------------------------------------------------
-
-
-def clip_half_plane(ring: Column, a: float | Column, b: float | Column, c: Column) -> Column:
-    """The part of a convex ring where a x + b y <= c; empty where nothing is left."""
-
-    def kept(corners: Column) -> Column:
-        def at(p: Column, i: Column) -> Column:
-            q = F.element_at(corners, (i + 1) % F.size(corners) + 1)
-            u = p.s / (p.s - q.s)
-            cut = F.struct((p.v.x + u * (q.v.x - p.v.x)).alias("x"), (p.v.y + u * (q.v.y - p.v.y)).alias("y"))
-            return F.array_compact(F.array(F.when(p.s <= 0, p.v), F.when(p.s * q.s < 0, cut)))
-
-        return F.flatten(F.transform(corners, at))
-
-    return bound(F.transform(ring, lambda v: F.struct(v.alias("v"), (v.x * a + v.y * b - c).alias("s"))), kept)
-
-
-def clip_to_box(ring: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
-    """The part of a convex ring inside a box."""
-    for a, b, c in ((-1.0, 0.0, -xmin), (1.0, 0.0, xmax), (0.0, -1.0, -ymin), (0.0, 1.0, ymax)):
-        ring = clip_half_plane(ring, a, b, c)
-    return ring
-
-
 def strip_ring(x1: Column, y1: Column, x2: Column, y2: Column, half: float) -> Column:
     """Ring of the points within `half` across a segment, as far beyond its ends (square caps); corners are NULL where the ends are one point."""
     length = dist_euclid(x1, y1, x2, y2)

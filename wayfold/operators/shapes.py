@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.geom import clip_half_plane, clip_to_box, ring_is_valid, shoelace
+from ..functions.geom import ring_is_valid, shoelace
+from ..functions.rings import clip_half_plane, extents, flat_rings, nested_rings, picked, signed_areas
 from ..session import cut
 
+_RING = "array<struct<x:double,y:double>>"
+#: Corners that a task cuts at a time.
+CORNERS = 1 << 18
+
 
 def valid_rings(df: DataFrame) -> DataFrame:
     """One row per part (`parts` is an array of rings) that is a proper ring, numbered within its shape."""
@@ -21,9 +31,28 @@ def _extent(ring: str = "ring") -> dict[str, Column]:
     return {f"{axis}{end}": side(fn, axis) for axis in "xy" for end, fn in (("min", F.array_min), ("max", F.array_max))}
 
 
-def _with_area(ring: Column) -> Column:
-    """The ring in a row of its own if it has an area. A generator, as a filter would be pushed down and clip the ring again."""
-    return F.explode(F.filter(F.array(ring), lambda r: (F.size(r) >= 3) & (F.abs(shoelace(r)) > 0))).alias("ring")
+def _with_area(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rings have an area, and all areas."""
+    area = signed_areas(x, y, at)
+    return np.flatnonzero((np.diff(at) >= 3) & ~(np.abs(area) <= 0)), area
+
+
+def _copies(counts: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows `owner`, each as often as it counts, and the copy's number, some at a time, so that about `CORNERS` corners are held."""
+    ends = np.cumsum(counts)
+    step = max(1, CORNERS // max(int(np.diff(at).max(initial=1)), 1))
+    for low in range(0, int(ends[-1]) if len(ends) else 0, step):
+        copy = np.arange(low, min(low + step, int(ends[-1])))
+        owner = np.searchsorted(ends, copy, side="right")
+        yield owner, copy - (ends[owner] - counts[owner])
+
+
+def _cells_between(low: np.ndarray, high: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """First cell of each span and their number; spans without coordinates have none."""
+    if np.isinf(low).any() or np.isinf(high).any():
+        raise ValueError("a ring has no end")
+    first, last = np.floor(low / size), np.floor(high / size)
+    return first, np.where(np.isnan(first), 0.0, last - first + 1).astype("int64")
 
 
 def clip_rings(parts: DataFrame, windows: DataFrame) -> DataFrame:
@@ -34,10 +63,24 @@ def clip_rings(parts: DataFrame, windows: DataFrame) -> DataFrame:
     from .spatial import join_intersects
 
     side = windows.agg(F.avg((F.col("wxmax") - F.col("wxmin") + F.col("wymax") - F.col("wymin")) / 2).alias("s")).first().s
-    named = windows.select(*[F.col(f"w{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
-    pairs = join_intersects(parts.withColumns(_extent()), named, float(side or 1.0))
-    cut_ring = clip_to_box(F.col("ring"), F.col("rxmin"), F.col("rxmax"), F.col("rymin"), F.col("rymax"))
-    return pairs.select(*[c for c in parts.columns if c != "ring"], _with_area(cut_ring)).select(*parts.columns)
+    # Written, so that the planner sees how few they are: rings shuffled by bucket would all meet in the buckets of one window.
+    named = cut(windows.select(*[F.col(f"w{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")]))
+    columns = parts.columns
+    pairs = join_intersects(parts.withColumn("ring", F.col("ring").cast(_RING)).withColumns(_extent()), named, float(side or 1.0))
+
+    def cut_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, at = flat_rings(batch.column("ring"))
+            for a, b, c in ((-1.0, 0.0, "rxmin"), (1.0, 0.0, "rxmax"), (0.0, -1.0, "rymin"), (0.0, 1.0, "rymax")):
+                bound = batch.column(c).to_numpy(zero_copy_only=False)
+                x, y, at = clip_half_plane(x, y, at, a, b, bound if a + b > 0 else -bound)
+            kept, _ = _with_area(x, y, at)
+            rest = batch.take(pa.array(kept))
+            ring = nested_rings(*picked(x, y, at, kept))
+            yield pa.RecordBatch.from_arrays([ring if c == "ring" else rest.column(c) for c in columns], names=columns)
+
+    found = pairs.select(*columns, *[F.col(c).cast("double").alias(c) for c in ("rxmin", "rxmax", "rymin", "rymax")])
+    return found.mapInArrow(cut_rings, found.select(*columns).schema)
 
 
 def covered_cells(parts: DataFrame, size: float) -> DataFrame:
@@ -46,15 +89,31 @@ def covered_cells(parts: DataFrame, size: float) -> DataFrame:
     The ring is cut into rows of cells first, so that a slanted strip meets the cells along it, not those of its extent.
     """
     others = [c for c in parts.columns if c != "ring"]
-    cell = lambda c: F.floor(F.col(c) / size)
-    boxed = parts.withColumns(_extent()).withColumn("row_no", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
-    low = F.col("row_no") * size
-    band = clip_half_plane(clip_half_plane(F.col("ring"), 0.0, -1.0, -low), 0.0, 1.0, low + size)
-    rows = boxed.select(*others, "row_no", _with_area(band))
-    spread = rows.withColumns(_extent()).withColumn("col", F.explode(F.sequence(cell("xmin"), cell("xmax"))))
-    left = F.col("col") * size
-    piece = clip_half_plane(clip_half_plane(F.col("ring"), -1.0, 0.0, -left), 1.0, 0.0, left + size)
-    return spread.select(*others, "col", "row_no", _with_area(piece)).select(*others, "col", "row_no", F.abs(shoelace(F.col("ring"))).alias("area"))
+    given = parts.select(*others, F.col("ring").cast(_RING).alias("_ring"))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, at = flat_rings(batch.column("_ring"))
+            low, high = extents(y, at)
+            first, rows = _cells_between(low, high, size)
+            for ring, step in _copies(rows, at):
+                row = first[ring] + step
+                band = clip_half_plane(*picked(x, y, at, ring), 0.0, -1.0, -(row * size))
+                band = clip_half_plane(*band, 0.0, 1.0, row * size + size)
+                kept, _ = _with_area(*band)
+                ring, row, band = ring[kept], row[kept], picked(*band, kept)
+                start, columns = _cells_between(*extents(band[0], band[2]), size)
+                for piece, step in _copies(columns, band[2]):
+                    col = start[piece] + step
+                    cell = clip_half_plane(*picked(*band, piece), -1.0, 0.0, -(col * size))
+                    kept, area = _with_area(*clip_half_plane(*cell, 1.0, 0.0, col * size + size))
+                    of = piece[kept]
+                    rest = batch.take(pa.array(ring[of]))
+                    facts = [pa.array(col[kept].astype("int64")), pa.array(row[of].astype("int64")), pa.array(np.abs(area[kept]))]
+                    yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in others], *facts], names=[*others, "col", "row_no", "area"])
+
+    facts = [StructField("col", LongType()), StructField("row_no", LongType()), StructField("area", DoubleType())]
+    return given.mapInArrow(cells, StructType([*[parts.schema[c] for c in others], *facts]))
 
 
 def with_point(df: DataFrame, x: str, y: str) -> DataFrame:

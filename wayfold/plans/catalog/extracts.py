@@ -158,10 +158,12 @@ def uninhabited(v):
 
 
 def way_lines(v):
-    """Ways with their course; a way has at most 2000 nodes by format."""
-    course = v.way_nodes.join(v.nodes, "node_id").groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("_c"))
+    """Uninhabited ways with their course; a way has at most 2000 nodes by format."""
+    ways = osm.uninhabited_features(tagged(v))
+    course = v.way_nodes.join(ways.select("way_id"), "way_id", "left_semi").join(v.nodes, "node_id")
+    course = course.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("_c"))
     path = F.transform("_c", lambda c: F.struct(c.x.alias("x"), c.y.alias("y")))
-    return course.select("way_id", path.alias("path")).join(tagged(v), "way_id")
+    return course.select("way_id", path.alias("path")).join(ways.drop("category"), "way_id")
 
 
 def corner(no, axis):
