@@ -79,3 +79,33 @@ def extents(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if len(some):
         low[some], high[some] = np.fmin.reduceat(values, at[some]), np.fmax.reduceat(values, at[some])
     return low, high
+
+
+def walked(owner: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directed edges of groups in the order of their rings, each from its least edge: edge numbers, where each ring begins, and which groups are simple.
+
+    Simple: at every corner one edge begins and one ends. The edges of other groups are left out.
+    """
+    begins, ends = np.lexsort((y1, x1, owner)), np.lexsort((y2, x2, owner))
+    simple = np.ones(groups, dtype=bool)
+    met = (owner[begins] == owner[ends]) & (x1[begins] == x2[ends]) & (y1[begins] == y2[ends])
+    simple[owner[begins][~met]] = False
+    again = (np.diff(owner[begins]) == 0) & (np.diff(x1[begins]) == 0) & (np.diff(y1[begins]) == 0)
+    simple[owner[begins][1:][again]] = False
+    # From here on an edge's number is its place among the beginnings; groups are together there and among the ends.
+    begins, ends = begins[simple[owner[begins]]], ends[simple[owner[ends]]]
+    n = len(begins)
+    place = np.zeros(len(owner), dtype="int64")
+    place[begins] = np.arange(n)
+    following = np.empty(n, dtype="int64")
+    following[place[ends]] = np.arange(n)
+    rounds = int(np.bincount(owner).max(initial=1)).bit_length()
+    head, hop = np.arange(n), following
+    for _ in range(rounds):
+        head, hop = np.minimum(head, head[hop]), hop[hop]
+    left, hop = np.append(np.ones(n, dtype="int64"), 0), np.append(np.where(following == head, n, following), n)
+    for _ in range(rounds):
+        left, hop = left + left[hop], hop[hop]
+    order = np.lexsort((-left[:n], head))
+    firsts = np.flatnonzero(np.diff(head[order], prepend=-1))
+    return begins[order], np.append(firsts, n), simple

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.geom import ring_is_valid, shoelace
-from ..functions.rings import clip_half_plane, extents, flat_rings, nested_rings, picked, signed_areas
+from ..functions.rings import clip_half_plane, extents, flat_rings, nested_rings, picked, signed_areas, walked
 from ..session import cut
 
 _RING = "array<struct<x:double,y:double>>"
@@ -129,9 +129,49 @@ def with_xy(df: DataFrame, ring: str = "ring") -> DataFrame:
     return df.withColumns({"x": cx, "y": cy})
 
 
+#: Edges of a group whose rings one task walks without joins.
+FEW = 256
+
+
 def outline_rings(edges: DataFrame, by: list[str], size: float) -> DataFrame:
     """Rings of an outline given as directed edges (x1, y1, x2, y2) in units of `size`: one row per group and ring, in metres.
 
+    Groups of few edges that meet nowhere but end to end are walked in their task (`_walked`), all others by joins (`_rings_by_joins`).
+    """
+    sizes = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= FEW).select(*by)
+    ends = F.struct("x1", "y1", "x2", "y2")
+    # Both sides come shuffled by group, and the lists need no other shuffle.
+    lists = edges.select(*by, "x1", "y1", "x2", "y2").join(sizes.hint("merge"), by).groupBy(*by).agg(F.collect_set(ends).alias("edges"))
+    tried = cut(lists.mapInArrow(_walked(by), StructType([*lists.schema.fields, StructField("walked", LongType())])))
+    point = lambda e: F.struct((e.x1 * size).alias("x"), (e.y1 * size).alias("y"))
+    near = tried.filter("walked = 1").select(*by, F.col("edges")[0].alias("head"), F.transform("edges", point).alias("ring"))
+    solved = tried.filter("walked = 1").select(*by).distinct()
+    rest = cut(edges.join(solved.hint("merge"), by, "left_anti"))
+    return near if rest.isEmpty() else near.unionByName(_rings_by_joins(rest, by, size))
+
+
+def _walked(by: list[str]):
+    """Groups' lists of edges to one row per ring with its edges in order from the least, or, where not every corner has one edge in and one out, the group as it is."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("edges")
+            edges = lists.flatten()
+            owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order, at, simple = walked(owner, *[edges.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")], len(batch))
+            whole = np.flatnonzero(~simple)
+            rings = pa.ListArray.from_arrays(pa.array(at, pa.int32()), edges.take(pa.array(order)))
+            left = lists.take(pa.array(whole))
+            for rows, made, flag in ((owner[order[at[:-1]]], rings, 1), (whole, left, 0)):
+                of = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*[of.column(c) for c in by], made.cast(lists.type), pa.array(np.full(len(rows), flag))], names=[*by, "edges", "walked"])
+
+    return walk
+
+
+def _rings_by_joins(edges: DataFrame, by: list[str], size: float) -> DataFrame:
+    """`outline_rings` for edges of any number.
+
     The area lies on the left of an edge, so where more than two edges meet the walk turns left: that keeps cells that touch
     only at a corner apart. Every edge thus has one successor, and the ring's first edge is found by following
     successors with doubled strides, a logarithmic number of joins for any ring length.
