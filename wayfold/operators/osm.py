@@ -162,7 +162,8 @@ def line_strips(lines: DataFrame, half_width: float = 0.5) -> DataFrame:
     ends = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda p, i: F.struct(p.alias("p"), F.get(F.col("path"), i + 1).alias("q")))
     segments = lines.select(*[c for c in lines.columns if c != "path"], F.posexplode(ends).alias("part", "_s")).filter("_s.p != _s.q")
     ring = strip_ring(F.col("_s.p.x"), F.col("_s.p.y"), F.col("_s.q.x"), F.col("_s.q.y"), half_width)
-    return segments.withColumn("ring", ring).drop("_s")
+    # A generator, as an expression would be worked out again for every use of the ring.
+    return segments.withColumn("ring", F.explode(F.array(ring))).drop("_s")
 
 
 def uninhabited_strips(lines: DataFrame, half_width: float = 0.5) -> DataFrame:
