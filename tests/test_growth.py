@@ -124,6 +124,78 @@ def test_paths_of_a_dense_relation_are_not_listed(spark, monkeypatch):
             assert sum("bitmap_or_agg" in p for p in written) == (k - 1 if bitmaps else 0)
 
 
+def test_dense_relations_between_known_nodes_are_written_as_words(spark, monkeypatch):
+    """Nodes with places: neither edges nor paths are written one by one, whatever the ids, their repeats and their gaps."""
+    from wayfold.operators import graph
+
+    rng = random.Random(12)
+    dense = [(3 * rng.randrange(200), 3 * ((rng.randrange(200) + 90) % 200)) for _ in range(3000)] + [(3, 3), (None, 0), (0, None), (6, 9), (6, 9)]
+    sparse = [(3 * i, 3 * i + 3) for i in range(199)] + [(5, 5), (None, 3), (3, None)]
+    nodes = spark.createDataFrame([(i, i % 7) for i in range(600)] + [(0, 5), (9, None), (None, 1)], "node long, place long")
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda t: (written.append((t.columns, plan(t))), cut(t))[1])
+    monkeypatch.setattr(graph, "ORIGINS", 50)
+    monkeypatch.setattr(graph, "LISTED", 1000)
+    for rows, bitmaps in ((dense, True), (sparse, False)):
+        edges = spark.createDataFrame(rows, "a long, b long")
+        for k in (1, 2, 3):
+            written.clear()
+            found = graph.k_step(edges, k, "a", "b", nodes=nodes)
+            assert found.columns == ["a", "b"]
+            assert sorted((r.a, r.b) for r in found.collect()) == within_steps(rows, k)
+            assert sum("bitmap_or_agg" in p for _, p in written) == (k - 1 if bitmaps else 0)
+            assert not bitmaps or not any({"o", "d"} & set(columns) for columns, _ in written)
+
+
+def test_edges_beside_the_given_nodes_are_refused(spark):
+    from wayfold.operators import graph
+
+    edges, nodes = spark.createDataFrame([(1, 2), (2, 3)], "o long, d long"), spark.createDataFrame([(1, 0), (2, 0)], "node long, place long")
+    with pytest.raises(Exception, match="ends at none of the nodes"):
+        graph.k_step(edges, 2, nodes=nodes)
+
+
+def test_products_of_bitmaps_take_rows_together():
+    """Runs of 64 and 8 neighbours, whole or with gaps, and blocks that are all reached: the same bits as row by row."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wayfold.operators import graph
+
+    rng = np.random.default_rng(4)
+
+    def bitmaps(rows):
+        return pa.array([np.packbits(r, bitorder="little").tobytes() for r in rows], type=pa.binary())
+
+    held = np.concatenate([np.arange(256), np.arange(300, 420, 2), [5000, 32767]])
+    reach = np.zeros((len(held), graph.BITS), dtype=bool)
+    reach[np.arange(len(held)), rng.integers(0, graph.BITS, len(held))] = True
+    asked = np.zeros((6, graph.BITS), dtype=bool)
+    asked[0, :256] = True
+    asked[1, 3:250] = True
+    asked[2] = True
+    asked[3] = rng.random(graph.BITS) < 0.5
+    asked[4, 421:4000] = True  # nobody there
+    asked[5, [7, 5000, 32767]] = True
+    mine = pa.table([pa.array(range(1, 7), type=pa.int64()), pa.array([9] * 6, type=pa.int64()), bitmaps(asked)], names=["_a", "_block", "_bits"])
+    theirs = pa.table([pa.array(held + graph.BITS + 1, type=pa.int64()), bitmaps(reach)], names=["_row", "_held"])
+    found = graph._product(mine, theirs).to_pydict()
+    wanted = {i + 1: reach[asked[i][held]].any(axis=0) for i in range(6)}
+    assert found["_a"] == [1, 2, 3, 4, 6] and found["_block"] == [9] * 5
+    for a, bits in zip(found["_a"], found["_bits"]):
+        assert (np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool) == wanted[a]).all()
+
+
+def test_near_places_have_near_positions(spark):
+    from wayfold.functions.geom import z_order
+
+    rows = [(x, y) for x in range(-4, 4) for y in range(-4, 4)]
+    points = spark.createDataFrame([(10.0 * x + 3, 10.0 * y + 3) for x, y in rows], "x double, y double")
+    found = [r.z for r in points.select(z_order(F.col("x"), F.col("y"), 10.0).alias("z")).collect()]
+    plain = [sum(((x & 0x7FFFFFFF) >> i & 1) << 2 * i | ((y & 0x7FFFFFFF) >> i & 1) << 2 * i + 1 for i in range(31)) for x, y in rows]
+    assert found == plain and len(set(found)) == 64
+
+
 def test_bitmaps_of_several_blocks(spark):
     from wayfold.operators import graph
 
