@@ -307,3 +307,41 @@ def test_no_table_that_grows_is_broadcast_for_nearest_points(spark, monkeypatch)
     found = network.zone_category(zones.repartition(2), nodes.repartition(2))
     assert len(written) > 5 and not [p for p in [*written, plan(found)] if "Broadcast" in p]
     assert found.filter("distance < 99999").count() > 40
+
+
+@pytest.mark.parametrize("wanted", [0, 3, 70])
+def test_edges_pass_the_completion_of_suppliers_without_a_shuffle(spark, tmp_path, wanted):
+    """Origins with many, few and no suppliers, one-way edges, two levels: as counted by hand, with and without word that no edge is there twice."""
+    from wayfold.operators import odlines
+
+    rng = random.Random(wanted)
+    zones = [(i, i % 5, rng.uniform(0, 100), rng.uniform(0, 100), i % 7 != 3, True) for i in range(120)] + [(None, 4, 1.0, 1.0, True, True), (500, 4, 2.0, 3.0, True, True)]
+    edges = {(level, a, b) for level in (2, 4) for a in range(100) for b in rng.sample(range(120), (0, 1, 2, 3, 5, 40)[a % 6]) if a != b}
+    tier, where = {z[0]: z[1] for z in zones}, {z[0]: (z[2], z[3]) for z in zones}
+    told = {z[0] for z in zones if z[4] and z[0] is not None}
+    wanted_rows = set(edges)
+    for level in (2, 4):
+        for o in (i for i in told if tier[i] == level):
+            mine = {d for n, a, d in edges if n == level and a == o}
+            lacks = wanted - sum(d in told and tier[d] < level for d in mine)
+            offers = sorted((math.dist(where[o], where[s]), s) for s in told if tier[s] < level and s not in mine)
+            for _, d in offers[: max(lacks, 0)]:
+                wanted_rows |= {(level, o, d), (level, d, o)}
+    frame = spark.createDataFrame(zones, "no long, type_no int, x double, y double, is_from boolean, is_to boolean")
+    once, twice = (spark.createDataFrame(sorted(edges) * n, "level int, o long, d long") for n in (1, 2))
+    for rows, distinct in ((once, True), (twice, False)):
+        found = odlines.complete_suppliers(stored(rows, tmp_path / str(distinct)), frame, wanted, distinct)
+        assert sorted((r.level, r.o, r.d) for r in found.collect()) == sorted(wanted_rows)
+        assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate") != distinct
+
+
+def test_completed_suppliers_of_repeated_zones_are_told_once(spark, tmp_path):
+    from wayfold.plans import catalog
+
+    catalog.load()
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect()]
+    for name, some in (("once", rows), ("twice", rows + rows[:4])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(some, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / name / "supplier.parquet"))
+    once, twice = (sorted(map(tuple, catalog.QUERIES["O04_supplier_completion"](spark, str(tmp_path / n)).collect())) for n in ("once", "twice"))
+    assert len(twice) == len(set(twice)) and len(once) == len(set(once)) > 0
